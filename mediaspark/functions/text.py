@@ -30,29 +30,39 @@ def is_blank(text: Column | str) -> Column:
     return text.isNull() | (strip(text) == "")
 
 
+# The white space that a plain \\s does not cover: mapped to a blank first, as
+# one translate and a plain split are several times faster than a split on the
+# whole class.
+_WIDE_SPACE = (
+    "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def _split_words(text: Column, drop: str = "") -> Column:
+    """Pieces between white space (empty pieces kept), ``drop`` characters removed."""
+    return F.split(F.translate(text, _WIDE_SPACE + drop, " " * len(_WIDE_SPACE)), r"\s+")
+
+
 def words(text: Column | str) -> Column:
     """Words between white space; blank text gives an empty array."""
-    return F.filter(F.split(col(text), f"{SPACE}+"), lambda w: w != "")
+    return F.filter(_split_words(col(text)), lambda w: w != "")
 
 
 def word_count(text: Column | str) -> Column:
     return F.size(words(text))
 
 
-def _remove(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def normal_tokens(text: Column | str, dashes: bool = True) -> Column:
     """Lower-case words without punctuation, in order, repeats kept."""
     chars = PUNCTUATION_AND_DASHES if dashes else PUNCTUATION
-    return words(F.lower(_remove(col(text), chars)))
+    return F.filter(_split_words(F.lower(col(text)), chars), lambda w: w != "")
 
 
 def overlap_tokens(text: Column | str) -> Column:
     """Distinct tokens that count in a keyword match: low-signal words and
     one-letter tokens dropped."""
-    tokens = F.split(F.lower(_remove(col(text), PUNCTUATION_AND_DASHES)), f"{SPACE}+")
+    tokens = _split_words(F.lower(col(text)), PUNCTUATION_AND_DASHES)
     return F.array_distinct(
         F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*LOW_SIGNAL_WORDS))
     )

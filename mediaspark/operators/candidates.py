@@ -11,6 +11,7 @@ from mediaspark.functions.media import known_low_res
 from mediaspark.functions.text import overlap_tokens
 from mediaspark.operators.retrieval import clip_phrases, provider_active, provider_rank, retrieve, weighted_tokens
 from mediaspark.operators.terms import Category, first_banned_by_category
+from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import salted_join
 
 CLIP_KEY = ("project_id", "clip_number")
@@ -32,7 +33,7 @@ def score_candidates(
     denylists are matched once per entry, not once per beat.
     """
     phrases = clip_phrases(clips)
-    found = retrieve(phrases, hits, weights, per_page)
+    found = written(retrieve(phrases, hits, weights, per_page), "found")
 
     keyword = weighted_tokens(clips.select(F.col("canva_keyword").alias("query")), "query", weights)
     keyword = keyword.select(F.col("query").alias("canva_keyword"), F.col("weighted").alias("keyword_tokens"))

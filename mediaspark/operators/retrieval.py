@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from mediaspark import config as C
 from mediaspark.functions.scoring import WEIGHT_UNIT, rarity
-from mediaspark.functions.text import overlap_tokens
+from mediaspark.functions.text import normal_tokens, overlap_tokens
+from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import salted_join, top_per_group
 
 # Phrases of up to this many tokens (search phrases have two to four words)
@@ -27,7 +28,7 @@ SUBSET_TOKENS = 6
 
 def word_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
     """Relative frequency and rarity weight of every token of a corpus."""
-    tokens = texts.select(F.explode(_all_tokens(text)).alias("token"))
+    tokens = texts.select(F.explode(normal_tokens(text)).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     # one-row side: the corpus total
@@ -36,12 +37,6 @@ def word_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
     return out.select("token", "n", frequency.alias("frequency"), rarity(frequency).alias("weight"))
 
 
-def _all_tokens(text: str) -> Column:
-    from mediaspark.functions.text import normal_tokens
-
-    return F.filter(normal_tokens(text), lambda t: F.length(t) > 0)
-
-
 def weighted_tokens(phrases: DataFrame, phrase: str, weights: DataFrame) -> DataFrame:
     """(phrase, weighted): distinct phrases with their tokens as a sorted
     array of struct(token, w)."""
@@ -94,7 +89,7 @@ def _set_heads(sets: DataFrame, postings: DataFrame, entries: DataFrame, per_pag
     anchored = salted_join(postings, several, ["token"], spread=["entry"])
     full = (
         anchored.join(entries.select("entry", "tokens"), "entry")
-        .where(F.size(F.array_intersect("need", "tokens")) == F.size("need"))
+        .where(F.forall("need", lambda t: F.array_contains("tokens", t)))
         .select("set_key", "source", "entry")
     )
     heads_several = top_per_group(full, ["set_key", "source"], [F.col("entry")], per_page)
@@ -118,8 +113,10 @@ def retrieve(
     (1..per_page), entry, matched and total weight.  With ``fill`` entries
     without any overlap take the free places, in index order.
     """
-    weighted = weighted_tokens(phrases.select("query"), "query", weights)
-    entries = catalogue.select(F.col(entry).alias("entry"), "source", overlap_tokens(text).alias("tokens"))
+    weighted = written(weighted_tokens(phrases.select("query"), "query", weights), "phrases")
+    entries = written(
+        catalogue.select(F.col(entry).alias("entry"), "source", overlap_tokens(text).alias("tokens")), "entries"
+    )
     postings = entries.select("entry", "source", F.explode("tokens").alias("token"))
 
     short = weighted.where(F.size("weighted") <= SUBSET_TOKENS)

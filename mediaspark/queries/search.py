@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaspark.operators import candidates as cand
 from mediaspark.operators import ranking, retrieval, tiers
+from mediaspark.plans.materialise import written
 from mediaspark.queries import oracle as O
 from mediaspark.queries.registry import register
 from mediaspark.views import CATEGORIES, Views
@@ -17,7 +18,7 @@ def weights(v: Views) -> DataFrame:
 
 
 def candidates(v: Views) -> DataFrame:
-    return cand.score_candidates(v.clips, v.hits, v.vectors, weights(v), CATEGORIES)
+    return cand.score_candidates(v.clips, v.hits, v.vectors, written(weights(v), "weights"), CATEGORIES)
 
 
 def searched(v: Views, high_score: float = 90.0, library_score: float = 75.0) -> DataFrame:

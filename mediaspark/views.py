@@ -15,6 +15,7 @@ from mediaspark.functions.media import valid_visual_type
 from mediaspark.functions.text import longest_first, overlap_tokens
 from mediaspark.operators.terms import Category
 from mediaspark.session import tune
+from mediaspark.sources.tables import read_table
 
 # Categories of the test projects, with terms that occur in the
 # generated prose.
@@ -76,6 +77,10 @@ FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
 TABLES = ("documents", "conversations", "embeddings", "events", "pages", "labels", "benchmark")
+SPREAD_KEYS = {
+    "documents": ("doc_id",), "conversations": ("conv_id", "turn"), "embeddings": ("vec_id",), "events": ("event_id",),
+    "pages": ("page_id",), "labels": ("doc_id",), "benchmark": ("item_id",),
+}
 VIEWS = {
     "hits": HITS_SQL, "clips": CLIPS_SQL, "progress": PROGRESS_SQL,
     "spans": SPANS_SQL, "files": FILES_SQL, "library_index": INDEX_SQL,
@@ -90,9 +95,15 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = tune(spark)
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self._read(name)
+        return self._tables[name]
+
+    def _read(self, name: str) -> DataFrame:
+        return read_table(self.spark, f"{self.folder}/{name}.parquet", *SPREAD_KEYS.get(name, ()))
 
     def _view(self, name: str) -> DataFrame:
         sql = VIEWS[name]

@@ -108,3 +108,26 @@ def block_scan(
     for name in previous:
         out = out.withColumn(name, F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}"))["v"])
     return out.select(*df.columns, *running, *previous)
+
+
+def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str = "rank") -> DataFrame:
+    """1-based rank inside a group of any size.
+
+    Rows are range-partitioned by (group, order), so a large group spans
+    several sorted partitions; a row's rank is its place in its partition plus
+    the group's rows in earlier partitions.  The partitioned rows are written
+    once, as the partition numbers must be the same for both uses.
+    """
+    from mediaspark.plans.materialise import written
+
+    parts = df.repartitionByRange(*[F.col(c) for c in [*group, *order]])
+    parts = written(parts.withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = parts.withColumn(
+        "_place", F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))
+    )
+    sizes = parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    # one row per group and range partition
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    ranked = inside.join(offsets, [*group, "_part"])
+    return ranked.withColumn(rank, (F.col("_place") + F.col("_offset")).cast("long")).drop("_place", "_offset", "_part")

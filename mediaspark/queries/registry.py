@@ -46,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     from mediaspark.queries import (  # noqa: F401
         search,
+        timing,
     )

@@ -114,11 +114,16 @@ class Views:
     def hits(self) -> DataFrame:
         return self._view("hits")
 
+    @cached_property
+    def clip_rows(self) -> DataFrame:
+        """Beats as they arrive: free-form visual types, no search phrases."""
+        return self._view("clips")
+
     @cached_property
     def clips(self) -> DataFrame:
         """Beats with valid visual types and the three kinds of search phrase."""
         tokens = overlap_tokens("script_beat")
-        ranked = self._view("clips").withColumn("visual_type", valid_visual_type("visual_type"))
+        ranked = self.clip_rows.withColumn("visual_type", valid_visual_type("visual_type"))
         ranked = ranked.withColumn("_long", longest_first(tokens))
         phrase = lambda a, n: F.array_join(F.slice("_long", a, n), " ")
         return ranked.select(

@@ -17,7 +17,9 @@ from mediaspark.plans.skew import BLOCK, block_scan
 FRAME_BUCKET = 900
 
 
-def caption_lines(words: DataFrame, rows: DataFrame, size: int = C.WORDS_PER_CAPTION_LINE, block: int = BLOCK) -> DataFrame:
+def caption_lines(
+    words: DataFrame, size: int = C.WORDS_PER_CAPTION_LINE, longest: int | None = None, block: int = BLOCK
+) -> DataFrame:
     """Lines of ``size`` words that run across row borders.
 
     ``words`` comes from ``word_timings``.  The place of a word in its project
@@ -25,7 +27,7 @@ def caption_lines(words: DataFrame, rows: DataFrame, size: int = C.WORDS_PER_CAP
     the words themselves are never sorted per project.
     """
     counts = words.where(F.col("pos") == 0).select("project_id", "clip_number", "n_words")
-    offsets = block_scan(counts, ("project_id",), "clip_number", {"offset": ("sum", F.col("n_words"))}, block=block)
+    offsets = block_scan(counts, ("project_id",), "clip_number", {"offset": ("sum", F.col("n_words"))}, longest=longest, block=block)
     placed = words.join(offsets.select("project_id", "clip_number", "offset"), ["project_id", "clip_number"])
     placed = placed.withColumn("_place", F.col("offset") + F.col("pos"))
     placed = placed.withColumn("line_no", F.floor(F.col("_place") / size).cast("long"))
@@ -112,10 +114,10 @@ def cues(rows: DataFrame, text: str = "script_beat", lines_per_cue: int = C.CAPT
     )
 
 
-def number_cues(cue_rows: DataFrame, block: int = BLOCK) -> DataFrame:
+def number_cues(cue_rows: DataFrame, longest: int | None = None, block: int = BLOCK) -> DataFrame:
     """1-based number of every cue within its project."""
     counted = block_scan(
-        cue_rows, ("project_id",), "clip_number", {"_before": ("count", F.lit(1))}, order=("part",), block=block
+        cue_rows, ("project_id",), "clip_number", {"_before": ("count", F.lit(1))}, order=("part",), longest=longest, block=block
     )
     return counted.withColumn("cue_no", (F.col("_before") + 1).cast("long")).drop("_before")
 

@@ -14,20 +14,20 @@ from mediaspark.plans.skew import BLOCK, block_scan
 PROJECT = ("project_id",)
 
 
-def pace_timing(beats: DataFrame, block: int = BLOCK) -> DataFrame:
+def pace_timing(beats: DataFrame, longest: int | None = None, block: int = BLOCK) -> DataFrame:
     """Start and end of every beat from its word count, one after the other."""
     length = F.greatest(
         F.lit(C.MIN_CLIP_SECONDS),
         F.least(F.lit(C.MAX_CLIP_SECONDS), F.coalesce("word_count", F.lit(0)).cast("double") / C.WORDS_PER_SECOND),
     )
-    timed = block_scan(beats.withColumn("_d", length), PROJECT, "clip_number", {"start_s": ("sum", F.col("_d"))}, block=block)
+    timed = block_scan(beats.withColumn("_d", length), PROJECT, "clip_number", {"start_s": ("sum", F.col("_d"))}, longest=longest, block=block)
     timed = timed.withColumn("start_s", F.col("start_s").cast("double"))
     timed = timed.withColumn("end_s", F.col("start_s") + F.col("_d")).drop("_d")
     start, end = code_pair("start_s", "end_s")
     return timed.withColumn("start", start).withColumn("end", end)
 
 
-def floor_cascade(spans: DataFrame, block: int = BLOCK) -> DataFrame:
+def floor_cascade(spans: DataFrame, longest: int | None = None, block: int = BLOCK) -> DataFrame:
     """Spoken spans with minimum lengths: no row starts before the previous
     one ends, none is shorter than the floor, and rows behind the end of the
     transcript get a fixed length.
@@ -39,9 +39,9 @@ def floor_cascade(spans: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.withColumn(
         "_m", F.when(~F.col("exhausted"), F.greatest("span_end", F.col("span_start") + C.MIN_SPOKEN_SECONDS))
     )
-    rows = block_scan(rows, PROJECT, "clip_number", {"_w0": ("sum", F.col("_inc"))}, block=block)
+    rows = block_scan(rows, PROJECT, "clip_number", {"_w0": ("sum", F.col("_inc"))}, longest=longest, block=block)
     rows = rows.withColumn("_lift", F.col("_m") - (F.col("_w0") + F.col("_inc")))
-    rows = block_scan(rows, PROJECT, "clip_number", {"_top": ("max", F.col("_lift"))}, block=block)
+    rows = block_scan(rows, PROJECT, "clip_number", {"_top": ("max", F.col("_lift"))}, longest=longest, block=block)
     previous = F.col("_w0") + F.greatest(F.lit(0.0), F.coalesce("_top", F.lit(0.0)))
     end = F.col("_w0") + F.col("_inc") + F.greatest(F.lit(0.0), F.coalesce("_top", F.lit(0.0)), F.coalesce("_lift", F.lit(0.0)))
     start = F.when(F.col("exhausted"), previous).otherwise(F.greatest("span_start", previous))
@@ -55,16 +55,16 @@ def with_codes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", start).withColumn("end", end)
 
 
-def force_contiguity(rows: DataFrame, order: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+def force_contiguity(rows: DataFrame, order: tuple[str, ...] = (), longest: int | None = None, block: int = BLOCK) -> DataFrame:
     """Every row starts where the previous one ends (ends never move)."""
-    rows = block_scan(rows, PROJECT, "clip_number", previous={"_prev_end": F.col("end")}, order=order, block=block)
+    rows = block_scan(rows, PROJECT, "clip_number", previous={"_prev_end": F.col("end")}, order=order, longest=longest, block=block)
     return rows.withColumn("start", F.coalesce("_prev_end", "start")).drop("_prev_end")
 
 
-def contiguity_violations(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+def contiguity_violations(rows: DataFrame, longest: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs of neighbours where one does not start at the end of the other."""
     before = F.struct(F.col("clip_number"), F.col("end"))
-    rows = block_scan(rows, PROJECT, "clip_number", previous={"_before": before}, block=block)
+    rows = block_scan(rows, PROJECT, "clip_number", previous={"_before": before}, longest=longest, block=block)
     return rows.where(F.col("_before.end") != F.col("start")).select(
         "project_id", F.col("_before.clip_number").alias("clip_number"), F.col("_before.end").alias("end"),
         F.col("clip_number").alias("next_clip_number"), F.col("start").alias("next_start"),
@@ -72,12 +72,12 @@ def contiguity_violations(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def split_long_rows(
-    rows: DataFrame, longest: float = C.MAX_ON_SCREEN_SECONDS, block: int = BLOCK
+    rows: DataFrame, limit: float = C.MAX_ON_SCREEN_SECONDS, longest: int | None = None, block: int = BLOCK
 ) -> DataFrame:
-    """Cuts rows longer than ``longest`` into equal parts, each with its share
+    """Cuts rows longer than ``limit`` into equal parts, each with its share
     of the words, and numbers the rows anew."""
     rows = rows.withColumn("_d", span_seconds("start", "end"))
-    rows = rows.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_d") / longest)).cast("int"))
+    rows = rows.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_d") / limit)).cast("int"))
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     begin = to_seconds("start").cast("double")
     chunk = F.col("_d") / F.col("_n")
@@ -97,7 +97,7 @@ def split_long_rows(
     rows = rows.withColumn("script_beat", F.when(single, F.col("script_beat")).otherwise(text))
     rows = rows.withColumn("start", F.col("_s")).withColumn("end", F.col("_e"))
     rows = rows.withColumn("part", F.col("_i") + 1).drop("_words", "_s", "_e", "_d", "_n", "_i")
-    rows = block_scan(rows, PROJECT, "clip_number", {"_before": ("count", F.lit(1))}, order=("part",), block=block)
+    rows = block_scan(rows, PROJECT, "clip_number", {"_before": ("count", F.lit(1))}, order=("part",), longest=longest, block=block)
     return (
         rows.withColumnRenamed("clip_number", "parent_clip")
         .withColumn("clip_number", (F.col("_before") + 1).cast("int"))

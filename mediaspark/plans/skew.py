@@ -50,15 +50,18 @@ def block_scan(
     running: Mapping[str, tuple[str, Column]] | None = None,
     previous: Mapping[str, Column] | None = None,
     order: Sequence[str] = (),
+    longest: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """Running aggregates over an ordered group of any length.
 
-    A plain window would put a whole group into one task.  Here the group is
-    cut into blocks of consecutive integer positions; the window runs inside a
-    block, and a second small window over one row per block carries the total
-    of all earlier blocks in.  The join that brings the carry back uses the
-    partitioning the first window already made.
+    A plain window would put a whole group into one task.  It is used only
+    when the highest position (``longest``; counted here when not given) shows
+    that every group fits into one block.  Otherwise groups are cut into
+    blocks of consecutive integer positions; the window runs inside a block,
+    and a second small window over one row per block carries the total of all
+    earlier blocks in.  The join that brings the carry back is on
+    (group, block), so a long group stays spread.
 
     ``running``: output -> (op, expr) with op in sum/max/min/count; the value
     covers all rows *before* the current one (null, or 0 for sum and count,
@@ -69,27 +72,40 @@ def block_scan(
     running = dict(running or {})
     previous = dict(previous or {})
     ops = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+    keys = [position, *order]
+    if longest is None:
+        longest = df.agg(F.max(position)).first()[0] or 0
+    if longest < block:
+        plain = W.partitionBy(*group).orderBy(*keys)
+        before = plain.rowsBetween(W.unboundedPreceding, -1)
+        out = df
+        for name, (op, expr) in running.items():
+            value = ops[op](expr).over(before)
+            out = out.withColumn(name, F.coalesce(value, F.lit(0)) if op in ("sum", "count") else value)
+        for name, expr in previous.items():
+            out = out.withColumn(name, F.lag(expr).over(plain))
+        return out
+
+    from mediaspark.plans.materialise import written
+
     staged = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)).cast("long"))
     for name, (_, expr) in running.items():
         staged = staged.withColumn(f"_v_{name}", expr)
     for name, expr in previous.items():
         staged = staged.withColumn(f"_p_{name}", F.struct(expr.alias("v")))
-    # name the row order once: position first, then the tie-breakers
-    keys = [position, *order]
+    staged = written(staged, "scan")
     inside = W.partitionBy(*group, "_block").orderBy(*keys)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
-    local = staged
-    totals = []
+    local, totals = staged, []
     for name, (op, _) in running.items():
         local = local.withColumn(f"_l_{name}", ops[op](f"_v_{name}").over(before))
         totals.append(ops[op](f"_v_{name}").alias(f"_t_{name}"))
     for name in previous:
         local = local.withColumn(f"_l_{name}", F.lag(f"_p_{name}").over(inside))
         totals.append(F.max_by(f"_p_{name}", F.struct(*keys)).alias(f"_t_{name}"))
-    per_block = staged.groupBy(*group, "_block").agg(*totals)
+    carry = staged.groupBy(*group, "_block").agg(*totals)
     across = W.partitionBy(*group).orderBy("_block")
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
-    carry = per_block
     for name, (op, _) in running.items():
         fold = F.sum if op == "count" else ops[op]
         carry = carry.withColumn(f"_c_{name}", fold(f"_t_{name}").over(earlier))

@@ -47,4 +47,5 @@ def _load() -> None:
     from mediaspark.queries import (  # noqa: F401
         search,
         timing,
+        library,
     )

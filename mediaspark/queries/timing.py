@@ -98,12 +98,12 @@ O.CTES.update(CTES)
 
 def cascaded(v: Views) -> DataFrame:
     """Cascaded spans with codes and the text of their beats."""
-    rows = timeline.with_codes(timeline.floor_cascade(v.spans))
+    rows = timeline.with_codes(timeline.floor_cascade(v.spans, longest=v.longest))
     return rows.join(v.clip_rows.select("project_id", "clip_number", "script_beat"), ["project_id", "clip_number"])
 
 
 def contiguous(v: Views) -> DataFrame:
-    return timeline.force_contiguity(cascaded(v))
+    return timeline.force_contiguity(cascaded(v), longest=v.longest)
 
 
 def entries(v: Views) -> DataFrame:
@@ -140,12 +140,12 @@ def entries(v: Views) -> DataFrame:
 @register("pace_timing", O.query(
     "SELECT project_id, clip_number, start_s, end_s, start_code AS start, end_code AS \"end\" FROM paced"))
 def pace_timing(v: Views) -> DataFrame:
-    return timeline.pace_timing(v.clip_rows).select("project_id", "clip_number", "start_s", "end_s", "start", "end")
+    return timeline.pace_timing(v.clip_rows, longest=v.longest).select("project_id", "clip_number", "start_s", "end_s", "start", "end")
 
 
 @register("floor_cascade", O.query("SELECT project_id, clip_number, start_s, end_s FROM cascade"))
 def floor_cascade(v: Views) -> DataFrame:
-    return timeline.floor_cascade(v.spans).select("project_id", "clip_number", "start_s", "end_s")
+    return timeline.floor_cascade(v.spans, longest=v.longest).select("project_id", "clip_number", "start_s", "end_s")
 
 
 @register("force_contiguity", O.query(
@@ -159,7 +159,7 @@ SELECT project_id, clip_number, end_code AS "end", next_clip_number, next_start
  SELECT *, lead(clip_number) OVER w AS next_clip_number, lead(start_code) OVER w AS next_start FROM coded
  WINDOW w AS (PARTITION BY project_id ORDER BY clip_number)) WHERE next_start <> end_code"""))
 def contiguity_violations(v: Views) -> DataFrame:
-    return timeline.contiguity_violations(cascaded(v))
+    return timeline.contiguity_violations(cascaded(v), longest=v.longest)
 
 
 @register("split_long_rows", O.query("""
@@ -167,7 +167,7 @@ SELECT project_id, parent_clip, part, clip_number, end_code AS "end",
  coalesce(lag(end_code) OVER (PARTITION BY project_id ORDER BY clip_number), start_code) AS start, script_beat
 FROM split_rows"""))
 def split_long_rows(v: Views) -> DataFrame:
-    rows = timeline.split_long_rows(contiguous(v))
+    rows = timeline.split_long_rows(contiguous(v), longest=v.longest)
     return timeline.force_contiguity(rows).select(
         "project_id", "parent_clip", "part", "clip_number", "start", "end", "script_beat"
     )
@@ -185,7 +185,7 @@ def word_timings(v: Views) -> DataFrame:
 
 def _lines(v: Views) -> DataFrame:
     rows = contiguous(v)
-    return captions.caption_lines(timeline.word_timings(rows), rows)
+    return captions.caption_lines(timeline.word_timings(rows), longest=v.longest)
 
 
 @register("caption_lines", O.query("SELECT project_id, line_no, start_frame, end_frame, line FROM lines"))
@@ -254,7 +254,7 @@ JOIN (SELECT project_id, max(end_s) AS last_end, CAST(sum(word_count) AS BIGINT)
 def tail_gap(v: Views) -> DataFrame:
     audio = v.spans.groupBy("project_id").agg(F.max("span_end").alias("audio_end"))
     said = v.clip_rows.groupBy("project_id").agg(F.sum(word_count("script_beat")).alias("n_words"))
-    rows = timeline.pace_timing(v.clip_rows).select("project_id", "end_s", F.col("word_count").alias("n_words"))
+    rows = timeline.pace_timing(v.clip_rows, longest=v.longest).select("project_id", "end_s", F.col("word_count").alias("n_words"))
     return timeline.tail_gap(audio.join(said, "project_id"), rows)
 
 

@@ -119,6 +119,11 @@ class Views:
         """Beats as they arrive: free-form visual types, no search phrases."""
         return self._view("clips")
 
+    @cached_property
+    def longest(self) -> int:
+        """Number of beats of the longest project."""
+        return int(self.table("conversations").agg(F.max("turn")).first()[0] or 0) + 1
+
     @cached_property
     def clips(self) -> DataFrame:
         """Beats with valid visual types and the three kinds of search phrase."""

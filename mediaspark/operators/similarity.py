@@ -86,9 +86,10 @@ def near_pairs(
         "cell", F.pmod(number, F.col("homes")).cast("int").alias("hb"),
         F.explode(F.sequence(F.lit(0), F.col("visitors") - 1)).alias("vb"), "id", "vector",
     )
+    # fresh column names on the second side, as both come from one table
     visitors = sized.select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("hb"),
-        F.pmod(number, F.col("visitors")).cast("int").alias("vb"), "id", "vector",
+        F.col("cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("hb"),
+        F.pmod(number, F.col("visitors")).cast("int").alias("vb"), F.col("id").alias("id"), F.col("vector").alias("vector"),
     )
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

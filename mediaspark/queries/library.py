@@ -19,13 +19,13 @@ PAIR_THRESHOLD = 0.4
 O.CTES.update({
     "hashed": "SELECT name, folder, doc_id, size, content, sha256(content) AS hash FROM files",
     "index_hashed": "SELECT name, folder, doc_id, caption, sha256(caption) AS hash FROM library_index",
-    "similar": f"""
+    "alike": f"""
 SELECT id_a, id_b, score FROM (SELECT x.vec_id AS id_a, y.vec_id AS id_b,
   round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1] * p[2])), 9) AS score
  FROM vectors x JOIN vectors y ON x.vec_id < y.vec_id) WHERE score >= {PAIR_THRESHOLD}E0""",
     "clusters": """
 SELECT id, min(other) AS cluster FROM (
- WITH RECURSIVE edges AS (SELECT id_a AS u, id_b AS v FROM similar UNION SELECT id_b, id_a FROM similar),
+ WITH RECURSIVE edges AS (SELECT id_a AS u, id_b AS v FROM alike UNION SELECT id_b, id_a FROM alike),
  reach AS (SELECT u AS id, u AS other FROM edges UNION SELECT r.id, e.v FROM reach r JOIN edges e ON r.other = e.u)
  SELECT * FROM reach) GROUP BY id""",
     "present": """
@@ -55,7 +55,7 @@ def exact_dedup(v: Views) -> DataFrame:
     return dedup.exact_duplicates(dedup.content_hash(v.files)).select("name", "hash", "keep_name", "duplicate")
 
 
-@register("near_dup_pairs", O.query("SELECT id_a, id_b, score FROM similar"))
+@register("near_dup_pairs", O.query("SELECT id_a, id_b, score FROM alike"))
 def near_dup_pairs(v: Views) -> DataFrame:
     items = v.vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return similarity.near_pairs(items, PAIR_THRESHOLD)

@@ -45,7 +45,8 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from mediaspark.queries import (  # noqa: F401
+        filters,
+        library,
         search,
         timing,
-        library,
     )

@@ -77,8 +77,7 @@ def emphasised(words: DataFrame, emphasis: DataFrame) -> DataFrame:
     ).drop("_clean")
 
 
-@F.pandas_udf("array<string>")
-def wrap_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _wrap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Lines of at most the caption width, by the rules of the standard
     library's text wrapping (long words broken, breaks after hyphens)."""
     wrapper = textwrap.TextWrapper(width=C.CAPTION_WIDTH)
@@ -86,6 +85,11 @@ def wrap_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: wrapper.wrap(t) or [t])
 
 
+def wrap_lines(text: Column) -> Column:
+    """The lines a text is wrapped into."""
+    return F.pandas_udf(_wrap, "array<string>")(text)
+
+
 def cues(rows: DataFrame, text: str = "script_beat", lines_per_cue: int = C.CAPTION_LINES) -> DataFrame:
     """Two-line caption cues; a row's time is shared out by words."""
     begin, finish = to_seconds("start").cast("double"), to_seconds("end").cast("double")

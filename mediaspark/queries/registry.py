@@ -47,6 +47,7 @@ def _load() -> None:
     from mediaspark.queries import (  # noqa: F401
         filters,
         library,
+        projects,
         search,
         timing,
     )

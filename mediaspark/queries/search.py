@@ -45,7 +45,7 @@ def retrieval_topk(v: Views) -> DataFrame:
 
 
 _SCORED = (
-    "project_id, clip_number, tier, phrase_no, source, CAST(pos AS INT) AS pos, doc_id, "
+    "project_id, clip_number, tier, CAST(phrase_no AS INT) AS phrase_no, source, CAST(pos AS INT) AS pos, doc_id, "
     "round(semantic, 9) AS semantic, round(keyword_match, 9) AS keyword_match, score"
 )
 
@@ -86,7 +86,7 @@ def diagnostics_top3(v: Views) -> DataFrame:
 
 
 _ROW = "project_id, clip_number, source, tier, phrase_no, pos, doc_id, score"
-_ROW_SQL = "project_id, clip_number, source, tier, phrase_no, CAST(pos AS INT) AS pos, doc_id, score"
+_ROW_SQL = "project_id, clip_number, source, tier, CAST(phrase_no AS INT) AS phrase_no, CAST(pos AS INT) AS pos, doc_id, score"
 
 
 @register("tier_escalation", O.query(f"SELECT {_ROW_SQL} FROM escalated"))

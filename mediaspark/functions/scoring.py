@@ -12,6 +12,7 @@ from mediaspark.functions.vectors import clamped_cosine
 # Rarity weights are kept as integers (units of 1e-9) so that sums of weights,
 # and with them ties, do not depend on the order of addition.
 WEIGHT_UNIT = 1_000_000_000
+SPELLED_TOKENS = 4
 
 
 def rarity(frequency: Column | str) -> Column:
@@ -25,12 +26,23 @@ def rarity(frequency: Column | str) -> Column:
 
 
 def matched_weight(weighted: Column | str, tokens: Column | str) -> Column:
-    """Weight of the query tokens (array of struct(token, w)) found in a text."""
-    return F.aggregate(
+    """Weight of the query tokens (array of struct(token, w)) found in a text.
+
+    Phrases have a few words; those are spelled out, as a plain array_contains
+    is compiled and a lambda is not.  Longer ones go through the lambda.
+    """
+    nothing = F.lit(0).cast("long")
+    spelled = nothing
+    for i in range(SPELLED_TOKENS):
+        item = F.get(col(weighted), F.lit(i))
+        found = (F.size(col(weighted)) > i) & F.array_contains(col(tokens), item["token"])
+        spelled = spelled + F.when(found, item["w"]).otherwise(nothing)
+    general = F.aggregate(
         F.filter(col(weighted), lambda s: F.array_contains(col(tokens), s["token"])),
-        F.lit(0).cast("long"),
+        nothing,
         lambda total, s: total + s["w"],
     )
+    return F.when(F.size(col(weighted)) <= SPELLED_TOKENS, spelled).otherwise(general)
 
 
 def total_weight(weighted: Column | str) -> Column:

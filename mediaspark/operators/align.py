@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mediaspark import config as C
 from mediaspark.functions.text import PUNCTUATION_AND_DASHES, normal_tokens, word_count
 from mediaspark.plans.materialise import written
-from mediaspark.plans.skew import BLOCK, block_scan
+from mediaspark.plans.skew import BLOCK, block_scan, by_key
 
 # Projects up to this many beats (and this many words for each) are walked in
 # one group.
@@ -198,8 +198,8 @@ def transcript_spans(
         asked.select("project_id").distinct(), "project_id", "left_semi"
     )
     spans = (
-        short_beats.groupBy("project_id")
-        .cogroup(short_words.select("project_id", "word_idx", "token").groupBy("project_id"))
+        by_key(short_beats, "project_id").groupBy("project_id")
+        .cogroup(by_key(short_words.select("project_id", "word_idx", "token"), "project_id").groupBy("project_id"))
         .applyInArrow(_walk, SPAN)
     )
     if not long.isEmpty():

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from mediaspark import config as C
 from mediaspark.operators.candidates import CLIP_KEY
 from mediaspark.plans.materialise import written
-from mediaspark.plans.skew import block_scan, salted_join, top_per_group
+from mediaspark.plans.skew import block_scan, by_key, salted_join, top_per_group
 
 GROUP_CLIPS = 2000
 
@@ -298,7 +298,7 @@ def assign(beats: DataFrame, rules: Rules = Rules(), group_clips: int = GROUP_CL
     sizes = beats.groupBy("project_id").agg(F.count("*").alias("_n"))
     long = written(sizes.where(F.col("_n") > group_clips).select("project_id"), "long")
     short = beats.join(long, "project_id", "left_anti")
-    walked = short.groupBy("project_id").applyInArrow(_walk(rules), OUTCOME)
+    walked = by_key(short, "project_id").groupBy("project_id").applyInArrow(_walk(rules), OUTCOME)
     if long.isEmpty():
         return walked
     settled = _settle(beats.join(long, "project_id", "left_semi"), rules)

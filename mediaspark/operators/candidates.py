@@ -53,10 +53,11 @@ def score_candidates(
     wanted = found.select(F.col("entry").alias("doc_id")).distinct()
     entries = (
         hits.join(wanted, "doc_id", "left_semi")
+        .withColumn("_lower", F.lower("text"))
         .select(
             F.col("doc_id").alias("entry"), "source_id", "width", "height", "media_type", "duration", "text", "vec_id",
             overlap_tokens("text").alias("tokens"),
-            first_banned_by_category("text", categories).alias("banned_by"),
+            first_banned_by_category("_lower", categories, lowered=True).alias("banned_by"),
         )
         .join(vectors, "vec_id").drop("vec_id")
     )

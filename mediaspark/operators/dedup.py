@@ -65,7 +65,8 @@ def unique_names(
     (blank captions) is ranked over many tasks.
     """
     key = ["folder", "slug", "ext"]
-    ranked = group_rank(files.withColumn("slug", caption_slug(caption)), key, [order], "_k")
+    named = files.withColumn("slug", caption_slug(caption)).drop(caption)
+    ranked = group_rank(named, key, [order], "_k")
     number = F.col("_k")
     if taken is not None:
         stem = F.regexp_extract("new_name", r"^(.*)(\.[^.]*)$", 1)

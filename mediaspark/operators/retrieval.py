@@ -12,6 +12,8 @@ is looked up through its rarest token only, and each task keeps at most
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,13 @@ def _subsets(phrases: DataFrame) -> DataFrame:
     )
 
 
+def _holds_all(tokens: str, need: str, most: int) -> Column:
+    """Whether an array holds all of up to ``most`` values; spelled out, as a
+    plain array_contains is compiled and a lambda is not."""
+    tests = [(F.size(need) <= i) | F.array_contains(F.col(tokens), F.get(F.col(need), F.lit(i))) for i in range(most)]
+    return reduce(lambda a, b: a & b, tests)
+
+
 def _set_heads(sets: DataFrame, postings: DataFrame, entries: DataFrame, per_page: int) -> DataFrame:
     """First entries, per source, of every token set."""
     distinct = sets.dropDuplicates(["set_key"]).select("set_key", "members")
@@ -89,7 +98,7 @@ def _set_heads(sets: DataFrame, postings: DataFrame, entries: DataFrame, per_pag
     anchored = salted_join(postings, several, ["token"], spread=["entry"])
     full = (
         anchored.join(entries.select("entry", "tokens"), "entry")
-        .where(F.forall("need", lambda t: F.array_contains("tokens", t)))
+        .where(_holds_all("tokens", "need", SUBSET_TOKENS))
         .select("set_key", "source", "entry")
     )
     heads_several = top_per_group(full, ["set_key", "source"], [F.col("entry")], per_page)

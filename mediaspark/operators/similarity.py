@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mediaspark import config as C
 from mediaspark.plans.materialise import written
-from mediaspark.plans.skew import top_per_group
+from mediaspark.plans.skew import by_key, top_per_group
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
@@ -102,7 +102,7 @@ def near_pairs(
         return pd.DataFrame({"id_a": a[keep], "id_b": b[keep], "score": scores[i, j][keep]})
 
     keys = ["cell", "hb", "vb"]
-    return homes.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInPandas(
+    return by_key(homes, *keys).groupBy(*keys).cogroup(by_key(visitors, *keys).groupBy(*keys)).applyInPandas(
         compare, f"id_a {id_type}, id_b {id_type}, score double"
     )
 
@@ -148,7 +148,8 @@ def nearest(
             "similarity": scores[rows, cols],
         })
 
-    found = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(
+    keys = ["qb", "ib"]
+    found = by_key(q, *keys).groupBy(*keys).cogroup(by_key(i, *keys).groupBy(*keys)).applyInPandas(
         best, f"query_id {q_type}, item_id {i_type}, similarity double"
     )
     return top_per_group(found, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediaspark.functions.text import col, strip
+from mediaspark.functions.text import col
 
 # What may stand next to a whole word.
 BEFORE = r"(^|[^\p{L}\p{N}_])"
@@ -33,17 +34,17 @@ def _quote(term: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", term)
 
 
-def any_term_pattern(terms: Iterable[str]) -> str:
-    """One pattern for a whole list; matches nothing for an empty list."""
-    body = "|".join(_quote(t.lower()) for t in terms)
-    return f"{BEFORE}(?:{body}){AFTER}" if body else r"[^\s\S]"
+def term_pattern(term: str) -> str:
+    """Pattern of one lower-case term.  The term itself comes first, so that
+    the search skips to its occurrences; only there the neighbours are tested."""
+    quoted = _quote(term)
+    return rf"{quoted}(?<![\p{{L}}\p{{N}}_]{quoted})s?(?![\p{{L}}\p{{N}}_])"
 
 
-def mentions_any(text: Column | str, terms: Iterable[str]) -> Column:
-    terms = list(terms)
-    if not terms:
-        return F.lit(False)
-    return F.lower(col(text)).rlike(any_term_pattern(terms))
+def mentions_any(text: Column | str, terms: Iterable[str], lowered: bool = False) -> Column:
+    body = col(text) if lowered else F.lower(col(text))
+    tests = [body.rlike(term_pattern(t.lower())) for t in terms]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 def violates(keyword: Column | str, category: Column | str, categories: Iterable[Category]) -> Column:
@@ -68,28 +69,28 @@ def make_all_safe(keywords: Column | str, category: Column | str, categories: It
     return F.transform(col(keywords), lambda k: make_safe(k, category, categories))
 
 
-def first_banned(text: Column | str, cfg: Category) -> Column:
-    """First banned term of a catalogue text that mentions no positive term."""
-    lowered = F.lower(strip(col(text)))
+def first_banned(text: Column | str, cfg: Category, lowered: bool = False) -> Column:
+    """First banned term, in list order, of a catalogue text that mentions no
+    positive term.  ``lowered`` says that the text is in lower case already."""
+    body = col(text) if lowered else F.lower(col(text))
     named = F.lit(None).cast("string")
     for term in reversed(cfg.banned):
-        named = F.when(lowered.rlike(any_term_pattern([term])), F.lit(term)).otherwise(named)
-    if not cfg.banned:
+        named = F.when(body.rlike(term_pattern(term.lower())), F.lit(term)).otherwise(named)
+    if not cfg.positive:
         return named
-    # one test of the whole denylist first: most texts mention nothing
-    return F.when(lowered.rlike(any_term_pattern(cfg.banned)) & ~mentions_any(lowered, cfg.positive), named)
+    return F.when(~mentions_any(body, cfg.positive, True), named)
 
 
-def first_banned_by_category(text: Column | str, categories: Iterable[Category]) -> Column:
+def first_banned_by_category(text: Column | str, categories: Iterable[Category], lowered: bool = False) -> Column:
     """map(category key -> first banned term or null) of a text."""
-    return F.create_map(*[x for c in categories for x in (F.lit(c.key), first_banned(text, c))])
+    return F.create_map(*[x for c in categories for x in (F.lit(c.key), first_banned(text, c, lowered))])
 
 
 def first_banned_from_arrays(text: Column | str, banned: Column | str, positive: Column | str) -> Column:
     """The same test with the term lists in columns, for category tables too
     large to be spelled out as expressions.  The plain substring test runs
     first, so a pattern is built only for terms that do occur."""
-    lowered = F.lower(strip(col(text)))
+    lowered = F.lower(col(text))
 
     def found(term: Column) -> Column:
         quoted = F.regexp_replace(F.lower(term), r"([\\.^$|?*+()\[\]{}\-])", r"\\$1")

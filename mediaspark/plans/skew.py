@@ -36,6 +36,16 @@ def salted_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning for a costly Python group step.
+
+    Python work is heavy for its bytes, so its partitions must not be merged
+    by size the way adaptive execution does; a named count keeps them apart.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *[F.col(k) for k in keys])
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each group.  The rank filter lets Spark cut every
     map task down to ``k`` rows per group before the shuffle."""

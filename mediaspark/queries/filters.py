@@ -33,8 +33,9 @@ def denylist_keywords(v: Views) -> DataFrame:
 
 @register("denylist_candidates", O.query("SELECT doc_id, key AS category, term AS banned_term FROM banned_rows WHERE term IS NOT NULL"))
 def denylist_candidates(v: Views) -> DataFrame:
-    named = terms.first_banned_by_category("text", CATEGORIES)
-    rows = v.hits.select("doc_id", F.explode(named).alias("category", "banned_term"))
+    lowered = v.hits.select("doc_id", F.lower("text").alias("_lower"))
+    named = terms.first_banned_by_category("_lower", CATEGORIES, lowered=True)
+    rows = lowered.select("doc_id", F.explode(named).alias("category", "banned_term"))
     return rows.where(F.col("banned_term").isNotNull())
 
 
@@ -43,7 +44,7 @@ def denylist_by_table(v: Views) -> DataFrame:
     """The same with the term lists in a table instead of in the plan."""
     rows = [(c.key, list(c.banned), list(c.positive)) for c in CATEGORIES]
     lists = v.spark.createDataFrame(rows, "category string, banned array<string>, positive array<string>")
-    keyed = v.hits.select("doc_id", "text", F.explode(F.array(*[F.lit(c.key) for c in CATEGORIES])).alias("category"))
+    keyed = v.hits.select("doc_id", F.lower("text").alias("text"), F.explode(F.array(*[F.lit(c.key) for c in CATEGORIES])).alias("category"))
     joined = keyed.join(lists, "category")
     return joined.select(
         "doc_id", "category", terms.first_banned_from_arrays("text", "banned", "positive").alias("banned_term")

@@ -6,8 +6,9 @@ with every entry holding it.  Instead the entries are looked up per *token
 set*, not per phrase: the best entries of a phrase are, by rising weight, the
 first entries (in index order) that hold a subset of its tokens, so it is
 enough to know the first ``per_page`` entries of each distinct subset.  A set
-is looked up through its rarest token only, and each task keeps at most
-``per_page`` entries per set before anything is shuffled.
+is looked up through its rarest token only (for common tokens first in the head
+of the list), and each task keeps at most ``per_page`` entries per set before
+anything is shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from mediaspark.plans.skew import salted_join, top_per_group
 # Phrases of up to this many tokens (search phrases have two to four words)
 # are looked up by subset; longer ones go through the plain index join.
 SUBSET_TOKENS = 6
+# A token held by more entries than this is common; of its list the first
+# HEAD_ENTRIES of every source are tried before the rest.
+LONG_LIST = 20_000
+HEAD_ENTRIES = 64
 
 
 def word_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -81,8 +86,15 @@ def _holds_all(tokens: str, need: str, most: int) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def _verified(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows (set_key, need, source, entry) whose entry holds the whole set."""
+    kept = rows.join(entries.select("entry", "tokens"), "entry").where(_holds_all("tokens", "need", SUBSET_TOKENS))
+    return kept.select("set_key", "source", "entry")
+
+
 def _set_heads(sets: DataFrame, postings: DataFrame, entries: DataFrame, per_page: int) -> DataFrame:
-    """First entries, per source, of every token set."""
+    """First entries, per source, of every token set, looked up through the
+    rarest token of the set."""
     distinct = sets.dropDuplicates(["set_key"]).select("set_key", "members")
     wanted = distinct.select(
         "set_key",
@@ -90,19 +102,54 @@ def _set_heads(sets: DataFrame, postings: DataFrame, entries: DataFrame, per_pag
         F.array_max(F.transform("members", lambda s: F.struct(s["w"], s["token"])))["token"].alias("token"),
     )
     single = wanted.where(F.size("need") == 1).select("token")
-    heads_single = top_per_group(
+    heads = top_per_group(
         salted_join(postings, single, ["token"], "left_semi", spread=["entry"]),
         ["token", "source"], [F.col("entry")], per_page,
     ).select(F.col("token").alias("set_key"), "source", "entry")
     several = wanted.where(F.size("need") > 1)
+    # no list is longer than the catalogue
+    if entries.count() > LONG_LIST:
+        several = written(several, "sets")
+        anchors = salted_join(postings, several.select("token").distinct(), ["token"], "left_semi", spread=["entry"])
+        sizes = anchors.groupBy("token").agg(F.count("*").alias("n"))
+        long = written(sizes.where(F.col("n") > LONG_LIST).select("token"), "long")
+        if not long.isEmpty():
+            common = several.join(long, "token", "left_semi")
+            several = several.join(long, "token", "left_anti")
+            heads = heads.unionByName(_common_heads(common, long, postings, entries, per_page))
     anchored = salted_join(postings, several, ["token"], spread=["entry"])
-    full = (
-        anchored.join(entries.select("entry", "tokens"), "entry")
-        .where(_holds_all("tokens", "need", SUBSET_TOKENS))
-        .select("set_key", "source", "entry")
+    found = top_per_group(_verified(anchored, entries), ["set_key", "source"], [F.col("entry")], per_page)
+    return heads.unionByName(found.drop("rank"))
+
+
+def _common_heads(
+    common: DataFrame, long: DataFrame, postings: DataFrame, entries: DataFrame, per_page: int
+) -> DataFrame:
+    """Sets of common tokens only.  The head of the token's list settles most
+    of them, however many entries hold the token; only sets that are still
+    short of a page go through the rest of the list."""
+    depth = max(HEAD_ENTRIES, per_page)
+    lists = written(
+        top_per_group(
+            salted_join(postings, long, ["token"], "left_semi", spread=["entry"]),
+            ["token", "source"], [F.col("entry")], depth + 1, "place",
+        ),
+        "lists",
+    )
+    near = salted_join(lists.where(F.col("place") <= depth), common, ["token"], spread=["entry"])
+    heads = written(
+        top_per_group(_verified(near, entries), ["set_key", "source"], [F.col("entry")], per_page).drop("rank"), "heads"
+    )
+    longer = lists.where(F.col("place") > depth).select("token", "source", F.col("entry").alias("beyond"))
+    full = heads.groupBy("set_key", "source").agg(F.count("*").alias("n")).where(F.col("n") >= per_page)
+    short = written(
+        common.join(longer, "token").join(full.select("set_key", "source"), ["set_key", "source"], "left_anti"), "short"
     )
-    heads_several = top_per_group(full, ["set_key", "source"], [F.col("entry")], per_page)
-    return heads_single.unionByName(heads_several.drop("rank"))
+    if short.isEmpty():
+        return heads
+    rest = salted_join(postings, short, ["token", "source"], spread=["entry"]).where(F.col("entry") >= F.col("beyond"))
+    deep = top_per_group(_verified(rest, entries), ["set_key", "source"], [F.col("entry")], per_page).drop("rank")
+    return top_per_group(heads.unionByName(deep), ["set_key", "source"], [F.col("entry")], per_page).drop("rank")
 
 
 def retrieve(

@@ -56,6 +56,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC -XX:ReservedCodeCacheSize=512m")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))

@@ -36,11 +36,14 @@ def brute_retrieve(phrases, entries, weight, per_page, sources):
     return out
 
 
-@pytest.mark.parametrize("limit", [6, 2])
-def test_retrieval_equals_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit, head, long", [(6, 64, 10**6), (2, 64, 10**6), (6, 3, 20), (6, 40, 60)])
+def test_retrieval_equals_brute_force(spark, monkeypatch, limit, head, long):
     """One token is in nearly every entry; with the low limit most phrases
-    take the index join instead of the subset look-up."""
+    take the index join instead of the subset look-up, and with the low bound
+    on lists common tokens go through their heads first."""
     monkeypatch.setattr(retrieval, "SUBSET_TOKENS", limit)
+    monkeypatch.setattr(retrieval, "HEAD_ENTRIES", head)
+    monkeypatch.setattr(retrieval, "LONG_LIST", long)
     rng = random.Random(3)
     sources = ("a", "b", "c")
     entries = [

@@ -265,10 +265,8 @@ SELECT request_id, n_keys, problem, CASE WHEN problem IS NULL THEN CASE WHEN n_k
  FROM grouped g LEFT JOIN cats p ON g.low = p.key LEFT JOIN terms t ON g.request_id = t.request_id)"""))
 def category_merge(v: Views) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
-    size = v.table("documents").agg(F.count("*").alias("_size"))
-    # one-row side: the number of documents
-    rows = v.table("conversations").join(F.broadcast(size), F.lit(True))
-    number = F.when(conv % 3 == 0, conv * 4 + 1 + turn % 3).when(conv % 3 == 1, (conv * 13 + turn) % F.col("_size")).otherwise(conv)
+    rows = v.table("conversations")
+    number = F.when(conv % 3 == 0, conv * 4 + 1 + turn % 3).when(conv % 3 == 1, (conv * 13 + turn) % v.n_documents).otherwise(conv)
     key = F.concat(F.lit("cat_"), number.cast("string"), F.when(conv % 11 == 10, F.lit("x")).otherwise(F.lit("")))
     merged = cats.merge_requests(rows.select(conv.alias("request_id"), turn.alias("pos"), key.alias("key")), _categories(v))
     return merged.select("request_id", "n_keys", "problem", "key", "display_name",

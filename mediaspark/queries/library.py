@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.functions.text import keywords_from_csv, keywords_to_csv, longest_first, overlap_tokens, query_text
-from mediaspark.operators import dedup, library, ranking, retrieval, similarity
+from mediaspark.functions.vectors import dot
+from mediaspark.operators import dedup, library, ranking, reports, retrieval, similarity
 from mediaspark.plans.materialise import written
 from mediaspark.queries import oracle as O
 from mediaspark.queries import search, timing
@@ -205,8 +206,6 @@ def _pool(v: Views) -> DataFrame:
     pool = pool.join(vectors.select("vec_id", F.col("embedding").alias("a")), "vec_id").join(
         vectors.select(F.col("vec_id").alias("hit_vec"), F.col("embedding").alias("b")), "hit_vec"
     )
-    from mediaspark.functions.vectors import dot
-
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(dot("a", "b"), 9)))
     return pool.select(
         "project_id", "clip_number", "source", "source_id", "media_type", "width", "height", "duration", "place",
@@ -298,3 +297,44 @@ def library_upsert(v: Views) -> DataFrame:
         "id", "version", "description", "keywords_csv", F.size(decoded).alias("n_keywords"),
         query_text("description", decoded).alias("query_text"),
     )
+
+
+FOLDERS = ("de", "en", "es", "fr")
+
+O.CTES["folder_entries"] = f"""
+SELECT i.folder, i.doc_id, {O.overlap_tokens('i.caption')} AS tokens FROM library_index i SEMI JOIN files f ON i.name = f.name"""
+
+
+@register("library_retrieval", O.query("""
+SELECT query, folder, CAST(pos AS INT) AS pos, doc_id, matched FROM (
+ SELECT *, row_number() OVER (PARTITION BY query, folder ORDER BY matched DESC, doc_id) AS pos FROM (
+  SELECT q.query, e.folder, e.doc_id, CAST(coalesce(m.matched, 0) AS BIGINT) AS matched
+  FROM (SELECT DISTINCT query FROM phrase_rows WHERE tier < 3) q CROSS JOIN folder_entries e
+  LEFT JOIN (SELECT query, doc_id, sum(w) AS matched FROM query_tokens JOIN (
+   SELECT doc_id, unnest(tokens) AS token FROM folder_entries) USING (token) GROUP BY query, doc_id) m
+  ON q.query = m.query AND e.doc_id = m.doc_id)) WHERE pos <= 5"""))
+def library_retrieval(v: Views) -> DataFrame:
+    """Search of several library folders: a page per folder, entries without a
+    file skipped before the page is cut."""
+    catalogue = v.library_index.join(v.files.select("name"), "name", "left_semi")
+    catalogue = catalogue.select(F.col("folder").alias("source"), "doc_id", F.col("caption").alias("text"))
+    phrases = retrieval.clip_phrases(v.clips).where(F.col("tier") < 3)
+    found = retrieval.retrieve(phrases, catalogue, search.weights(v), sources=FOLDERS)
+    return found.select("query", F.col("source").alias("folder"), "pos", F.col("entry").alias("doc_id"), "matched")
+
+
+@register("duplicate_report", O.query("""
+SELECT id_a, id_b, '- **clip_' || CAST(id_a AS VARCHAR) || '**: ' || a.text || chr(10) || '- **clip_' || CAST(id_b AS VARCHAR)
+ || '**: ' || b.text || chr(10) AS captions FROM alike JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b"""))
+def duplicate_report(v: Views) -> DataFrame:
+    """Report blocks of the near-duplicate pairs, without their heading line."""
+    texts = v.table("documents").select("doc_id", "text")
+    rows = near_dup_pairs(v).join(
+        texts.select(F.col("doc_id").alias("id_a"), F.col("text").alias("caption_a")), "id_a"
+    ).join(texts.select(F.col("doc_id").alias("id_b"), F.col("text").alias("caption_b")), "id_b")
+    named = rows.withColumns({
+        "name_a": F.concat(F.lit("clip_"), F.col("id_a").cast("string")),
+        "name_b": F.concat(F.lit("clip_"), F.col("id_b").cast("string")),
+    })
+    lines = reports.duplicate_lines(named, "id_a", "id_b")
+    return lines.select("id_a", "id_b", F.regexp_replace("block", r"^[^\n]*\n\n", "").alias("captions"))

@@ -200,15 +200,13 @@ FROM entries e LEFT JOIN (SELECT * FROM judged WHERE problem IS NULL) j
 UNION ALL SELECT project_id, clip_number, NULL, NULL, NULL, problem, 'rejected' FROM judged WHERE problem IS NOT NULL"""))
 def swap_edit(v: Views) -> DataFrame:
     rows = timing.entries(v)
-    size = v.table("documents").agg(F.count("*").alias("_size"))
     asked = rows.select("project_id", "clip_number", "conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("alternate_index"))
-    # one-row side: the number of documents
-    asked = asked.join(F.broadcast(size), F.lit(True)).withColumn(
-        "doc_id", (F.col("conv_id") * 17 + (F.col("turn") + F.col("alternate_index")) * 3) % F.col("_size")
+    asked = asked.withColumn(
+        "doc_id", (F.col("conv_id") * 17 + (F.col("turn") + F.col("alternate_index")) * 3) % v.n_documents
     )
     alternates = asked.join(v.hits.select("doc_id", "source", "source_id", "media_type"), "doc_id").withColumn(
         "score", F.lit(40.0) + F.col("doc_id") % 60
-    ).drop("conv_id", "turn", "_size")
+    ).drop("conv_id", "turn")
     off = F.when(F.col("conv_id") % 10 == 9, 100).otherwise(0)
     edits = rows.where(F.col("turn") % 2 == 0).select(
         "project_id", (F.col("clip_number") + off).alias("clip_number"), (F.col("turn") % 4).cast("int").alias("alternate_index")

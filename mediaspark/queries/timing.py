@@ -110,11 +110,8 @@ def entries(v: Views) -> DataFrame:
     """A resolved timeline: contiguous beats with an asset each, some held
     back as placeholders and some handed to generation."""
     rows = contiguous(v).select("project_id", "clip_number", "start", "end")
-    size = v.table("documents").agg(F.count("*").alias("_size"))
     beats = v.clips.drop("phrases", "vec_id", "word_count").join(rows, ["project_id", "clip_number"])
-    # one-row side: the number of documents
-    beats = beats.join(F.broadcast(size), F.lit(True))
-    beats = beats.withColumn("doc_id", (F.col("conv_id") * 17 + F.col("turn") * 3) % F.col("_size")).drop("_size")
+    beats = beats.withColumn("doc_id", (F.col("conv_id") * 17 + F.col("turn") * 3) % v.n_documents)
     assets = v.hits.select(
         "doc_id", "source", "source_id", "media_type", F.col("text").alias("selected_text"),
         F.col("duration").alias("asset_seconds"), "width", "height",

@@ -119,6 +119,10 @@ class Views:
         """Beats as they arrive: free-form visual types, no search phrases."""
         return self._view("clips")
 
+    @cached_property
+    def n_documents(self) -> int:
+        return self.table("documents").count()
+
     @cached_property
     def longest(self) -> int:
         """Number of beats of the longest project."""

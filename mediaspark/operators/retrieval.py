@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark import config as C
-from mediaspark.functions.scoring import WEIGHT_UNIT, rarity
+from mediaspark.functions.scoring import WEIGHT_UNIT, rarity, total_weight
 from mediaspark.functions.text import normal_tokens, overlap_tokens
 from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import salted_join, top_per_group
@@ -61,8 +61,8 @@ def entry_tokens(catalogue: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _subsets(phrases: DataFrame) -> DataFrame:
-    """(query, set_key, set_weight, members) for every non-empty subset."""
-    parts = phrases.withColumn(
+    """(query, total, set_key, set_weight, members) for every non-empty subset."""
+    parts = phrases.withColumn("total", total_weight("weighted")).withColumn(
         "_members",
         F.explode(
             F.expr(
@@ -72,9 +72,9 @@ def _subsets(phrases: DataFrame) -> DataFrame:
         ),
     )
     return parts.select(
-        "query",
+        "query", "total",
         F.array_join(F.transform("_members", lambda s: s["token"]), " ").alias("set_key"),
-        F.aggregate("_members", F.lit(0).cast("long"), lambda a, s: a + s["w"]).alias("set_weight"),
+        total_weight("_members").alias("set_weight"),
         F.col("_members").alias("members"),
     )
 
@@ -178,38 +178,39 @@ def retrieve(
     short = weighted.where(F.size("weighted") <= SUBSET_TOKENS)
     sets = _subsets(short)
     heads = _set_heads(sets, postings, entries, per_page)
-    found = sets.select("query", "set_key", F.col("set_weight").alias("matched")).join(heads, "set_key").select(
-        "query", "source", "entry", "matched"
-    )
+    columns = ["query", "source", "entry", "matched", "total"]
+    found = sets.select("query", "total", "set_key", F.col("set_weight").alias("matched")).join(heads, "set_key").select(*columns)
 
-    long = weighted.where(F.size("weighted") > SUBSET_TOKENS).select("query", F.explode("weighted").alias("t"))
-    long = long.select("query", F.col("t.token").alias("token"), F.col("t.w").alias("w"))
+    long = weighted.where(F.size("weighted") > SUBSET_TOKENS)
+    long = long.select("query", total_weight("weighted").alias("total"), F.explode("weighted").alias("t"))
+    long = long.select("query", "total", F.col("t.token").alias("token"), F.col("t.w").alias("w"))
     by_index = (
         salted_join(postings, long, ["token"], spread=["entry"])
-        .groupBy("query", "source", "entry")
+        .groupBy("query", "total", "source", "entry")
         .agg(F.sum("w").alias("matched"))
     )
-    found = found.unionByName(by_index)
+    by_index = top_per_group(by_index, ["query", "source"], [F.desc("matched"), F.col("entry")], per_page)
+    found = found.unionByName(by_index.select(*columns))
 
     if fill:
         # at most per_page entries per source
         first = top_per_group(entries.select("source", "entry"), ["source"], [F.col("entry")], per_page).drop("rank")
         spare = (
             phrases.select("query").distinct()
+            .join(weighted.select("query", total_weight("weighted").alias("total")), "query", "left")
             .withColumn("source", F.explode(F.array(*[F.lit(s) for s in sources])))
             .join(first, "source")
-            .select("query", "source", "entry", F.lit(0).cast("long").alias("matched"))
+            .select(
+                "query", "source", "entry", F.lit(0).cast("long").alias("matched"), F.coalesce("total", F.lit(0)).alias("total")
+            )
         )
         found = found.unionByName(spare)
 
-    best = found.groupBy("query", "source", "entry").agg(F.max("matched").alias("matched"))
+    # one shuffle for both steps; a (query, source) group holds a page per subset
+    placed = found.repartition("query", "source")
+    best = placed.groupBy("query", "source", "entry").agg(F.max("matched").alias("matched"), F.max("total").alias("total"))
     ranked = top_per_group(best, ["query", "source"], [F.desc("matched"), F.col("entry")], per_page, "pos")
-    totals = weighted.select(
-        "query", F.aggregate("weighted", F.lit(0).cast("long"), lambda a, s: a + s["w"]).alias("total")
-    )
-    return ranked.join(totals, "query", "left").select(
-        "query", "source", "pos", "entry", "matched", F.coalesce("total", F.lit(0)).alias("total")
-    )
+    return ranked.select("query", "source", "pos", "entry", "matched", "total")
 
 
 def clip_phrases(clips: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.functions.text import longest_first, overlap_tokens
@@ -27,8 +27,12 @@ def _land(v: Views, *columns) -> DataFrame:
     return v.table("documents").select(F.to_json(F.struct(*columns)).alias("body"))
 
 
-_ID = F.col("doc_id")
-_FULL = F.col("text")
+def _id() -> Column:
+    return F.col("doc_id")
+
+
+def _full() -> Column:
+    return F.col("text")
 
 
 @register("catalog_pexels_videos", _hit_sql(
@@ -38,12 +42,12 @@ _FULL = F.col("text")
 def catalog_pexels_videos(v: Views) -> DataFrame:
     """Items whose file list is empty come out as nothing."""
     rendition = lambda link, w, h: F.struct(F.lit(link).alias("link"), F.lit(w).alias("width"), F.lit(h).alias("height"))
-    files = F.when(_ID % 3 == 0, F.array(rendition("u1", 640, 360), rendition("u2", 1920, 1080), rendition("u3", 1920, 1080)))
+    files = F.when(_id() % 3 == 0, F.array(rendition("u1", 640, 360), rendition("u2", 1920, 1080), rendition("u3", 1920, 1080)))
     files = files.otherwise(F.array(rendition("u1", 1280, 720), rendition("u2", 1280, 720)))
-    files = F.when(_ID % 10 == 9, F.slice(files, 1, 0)).otherwise(files)
-    url = F.concat(F.lit("https://a.example/video/road-number-"), "lang", F.lit("-"), _ID.cast("string"), F.lit("/"))
+    files = F.when(_id() % 10 == 9, F.slice(files, 1, 0)).otherwise(files)
+    url = F.concat(F.lit("https://a.example/video/road-number-"), "lang", F.lit("-"), _id().cast("string"), F.lit("/"))
     return catalogs.pexels_videos(_land(
-        v, _ID.alias("id"), url.alias("url"), (_ID % 40).alias("duration"), files.alias("video_files")))
+        v, _id().alias("id"), url.alias("url"), (_id() % 40).alias("duration"), files.alias("video_files")))
 
 
 @register("catalog_pixabay_videos", _hit_sql(
@@ -53,11 +57,11 @@ def catalog_pexels_videos(v: Views) -> DataFrame:
 def catalog_pixabay_videos(v: Views) -> DataFrame:
     clip = lambda url, w, h: F.struct(F.lit(url).alias("url"), F.lit(w).alias("width"), F.lit(h).alias("height"))
     videos = F.struct(
-        F.when(_ID % 4 == 0, clip("L", 1920, 1080)).alias("large"), F.when(_ID % 4 < 2, clip("M", 1280, 720)).alias("medium"),
-        F.when(_ID % 4 < 3, F.struct(F.lit("T").alias("url"))).alias("tiny"),
+        F.when(_id() % 4 == 0, clip("L", 1920, 1080)).alias("large"), F.when(_id() % 4 < 2, clip("M", 1280, 720)).alias("medium"),
+        F.when(_id() % 4 < 3, F.struct(F.lit("T").alias("url"))).alias("tiny"),
     )
     return catalogs.pixabay_videos(_land(
-        v, _ID.alias("id"), _FULL.alias("tags"), (_ID % 30).alias("duration"), videos.alias("videos")))
+        v, _id().alias("id"), _full().alias("tags"), (_id() % 30).alias("duration"), videos.alias("videos")))
 
 
 @register("catalog_pexels_images", _hit_sql(
@@ -65,11 +69,11 @@ def catalog_pixabay_videos(v: Views) -> DataFrame:
     "CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END", "FROM documents WHERE doc_id % 3 <> 2"))
 def catalog_pexels_images(v: Views) -> DataFrame:
     src = F.struct(
-        F.when(_ID % 3 == 0, F.lit("big")).otherwise(F.lit("")).alias("large2x"),
-        F.when(_ID % 3 == 2, F.lit("")).otherwise(F.lit("orig")).alias("original"),
+        F.when(_id() % 3 == 0, F.lit("big")).otherwise(F.lit("")).alias("large2x"),
+        F.when(_id() % 3 == 2, F.lit("")).otherwise(F.lit("orig")).alias("original"),
     )
     return catalogs.pexels_images(_land(
-        v, _ID.alias("id"), F.when(_ID % 2 == 0, _FULL).alias("alt"), F.lit(1200).alias("width"), F.lit(800).alias("height"),
+        v, _id().alias("id"), F.when(_id() % 2 == 0, _full()).alias("alt"), F.lit(1200).alias("width"), F.lit(800).alias("height"),
         src.alias("src")))
 
 
@@ -78,22 +82,22 @@ def catalog_pexels_images(v: Views) -> DataFrame:
     "FROM documents WHERE doc_id % 5 <> 0"))
 def catalog_pixabay_images(v: Views) -> DataFrame:
     return catalogs.pixabay_images(_land(
-        v, _ID.alias("id"), _FULL.alias("tags"), F.when(_ID % 5 != 0, F.concat(F.lit("big"), "lang")).alias("largeImageURL"),
-        (_ID % 4000).alias("imageWidth"), F.lit(900).alias("imageHeight")))
+        v, _id().alias("id"), _full().alias("tags"), F.when(_id() % 5 != 0, F.concat(F.lit("big"), "lang")).alias("largeImageURL"),
+        (_id() % 4000).alias("imageWidth"), F.lit(900).alias("imageHeight")))
 
 
 @register("catalog_coverr", _hit_sql(
     "coverr", "doc_id", "CASE WHEN doc_id % 2 = 0 THEN 'dl' ELSE 'mp4' END", "'video'", "1920", "1080", "doc_id % 20",
     "lang || ' ' || text || CASE doc_id % 3 WHEN 0 THEN ' one two' WHEN 1 THEN ' single' ELSE '' END", "FROM documents"))
 def catalog_coverr(v: Views) -> DataFrame:
-    urls = F.struct(F.lit("mp4").alias("mp4"), F.when(_ID % 2 == 0, F.lit("dl")).otherwise(F.lit("")).alias("mp4_download"))
-    base = [_ID.cast("string").alias("id"), F.col("lang").alias("title"), _FULL.alias("description"),
-            F.lit(1920).alias("max_width"), F.lit(1080).alias("max_height"), (_ID % 20).alias("duration"), urls.alias("urls")]
+    urls = F.struct(F.lit("mp4").alias("mp4"), F.when(_id() % 2 == 0, F.lit("dl")).otherwise(F.lit("")).alias("mp4_download"))
+    base = [_id().cast("string").alias("id"), F.col("lang").alias("title"), _full().alias("description"),
+            F.lit(1920).alias("max_width"), F.lit(1080).alias("max_height"), (_id() % 20).alias("duration"), urls.alias("urls")]
     d = v.table("documents")
     tagged = F.to_json(F.struct(*base, F.array(F.lit("one"), F.lit("two")).alias("tags")))
     single = F.to_json(F.struct(*base, F.lit("single").alias("tags")))
     bare = F.to_json(F.struct(*base))
-    return catalogs.coverr(d.select(F.when(_ID % 3 == 0, tagged).when(_ID % 3 == 1, single).otherwise(bare).alias("body")))
+    return catalogs.coverr(d.select(F.when(_id() % 3 == 0, tagged).when(_id() % 3 == 1, single).otherwise(bare).alias("body")))
 
 
 _LICENCE = """CASE doc_id % 4 WHEN 0 THEN 'https://creativecommons.org/publicdomain/zero/1.0/'
@@ -112,9 +116,9 @@ def licence_allowlist(v: Views) -> DataFrame:
 
 def _licence():
     return (
-        F.when(_ID % 4 == 0, F.lit("https://creativecommons.org/publicdomain/zero/1.0/"))
-        .when(_ID % 4 == 1, F.lit("http://creativecommons.org/licenses/by/4.0/"))
-        .when(_ID % 4 == 2, F.lit("https://creativecommons.org/licenses/by-nc/4.0/"))
+        F.when(_id() % 4 == 0, F.lit("https://creativecommons.org/publicdomain/zero/1.0/"))
+        .when(_id() % 4 == 1, F.lit("http://creativecommons.org/licenses/by/4.0/"))
+        .when(_id() % 4 == 2, F.lit("https://creativecommons.org/licenses/by-nc/4.0/"))
     )
 
 
@@ -126,13 +130,13 @@ def _licence():
     "lang || ' ' || text || ' one two'", "FROM documents WHERE doc_id % 4 IN (0, 1) AND doc_id % 7 <> 6"))
 def catalog_archive(v: Views) -> DataFrame:
     d = v.table("documents")
-    name = F.concat(F.lit("item"), _ID.cast("string"))
+    name = F.concat(F.lit("item"), _id().cast("string"))
     items = d.select(F.to_json(F.struct(
-        name.alias("identifier"), F.col("lang").alias("title"), _FULL.alias("description"),
+        name.alias("identifier"), F.col("lang").alias("title"), _full().alias("description"),
         F.array(F.lit("one"), F.lit("two")).alias("subject"), _licence().alias("licenseurl"))).alias("body"))
     file = lambda n, w, h, s: F.struct(F.lit(n).alias("name"), F.lit(w).alias("width"), F.lit(h).alias("height"), F.lit(s).alias("length"))
-    listing = F.when(_ID % 7 == 6, F.array(file("notes.txt", "", "", ""))).when(
-        _ID % 3 == 0, F.array(file("a.jpg", "n/a", "", ""), file("B.OGV", "640", "480", "12.5"), file("c.mp4", "1", "1", "1"))
+    listing = F.when(_id() % 7 == 6, F.array(file("notes.txt", "", "", ""))).when(
+        _id() % 3 == 0, F.array(file("a.jpg", "n/a", "", ""), file("B.OGV", "640", "480", "12.5"), file("c.mp4", "1", "1", "1"))
     ).otherwise(F.array(file("x.xml", "", "", ""), file("a.jpg", "n/a", "", "")))
     files = d.select(name.alias("identifier"), F.posexplode(listing).alias("pos", "f")).select("identifier", "pos", "f.*")
     return catalogs.internet_archive(items, files)
@@ -142,9 +146,9 @@ def catalog_archive(v: Views) -> DataFrame:
     "nasa", "'n' || CAST(doc_id AS VARCHAR)", "'p' || lang", "'image'", "0", "0", "0", "text", "FROM documents WHERE doc_id % 4 <> 0"))
 def catalog_nasa(v: Views) -> DataFrame:
     link = lambda rel, href: F.struct(F.lit(rel).alias("rel"), href.alias("href"))
-    links = F.when(_ID % 4 == 0, F.array(link("captions", F.lit("c")))).otherwise(
+    links = F.when(_id() % 4 == 0, F.array(link("captions", F.lit("c")))).otherwise(
         F.array(link("captions", F.lit("c")), link("preview", F.concat(F.lit("p"), "lang")), link("preview", F.lit("late"))))
-    data = F.array(F.struct(F.concat(F.lit("n"), _ID.cast("string")).alias("nasa_id"), _FULL.alias("title")))
+    data = F.array(F.struct(F.concat(F.lit("n"), _id().cast("string")).alias("nasa_id"), _full().alias("title")))
     return catalogs.nasa(_land(v, data.alias("data"), links.alias("links")))
 
 
@@ -153,11 +157,11 @@ def catalog_nasa(v: Views) -> DataFrame:
     "CASE WHEN doc_id % 3 = 0 THEN 'a.JPG' ELSE 'b.png' END", "'image'", "800", "600", "0", "text",
     "FROM documents WHERE doc_id % 3 <> 2"))
 def catalog_wikimedia(v: Views) -> DataFrame:
-    url = F.when(_ID % 3 == 0, F.lit("a.JPG")).when(_ID % 3 == 1, F.lit("b.png")).otherwise(F.lit("c.svg"))
+    url = F.when(_id() % 3 == 0, F.lit("a.JPG")).when(_id() % 3 == 1, F.lit("b.png")).otherwise(F.lit("c.svg"))
     page = F.struct(
-        F.when(_ID % 2 == 0, _ID).alias("pageid"), _FULL.alias("title"),
+        F.when(_id() % 2 == 0, _id()).alias("pageid"), _full().alias("title"),
         F.array(F.struct(url.alias("url"), F.lit(800).alias("width"), F.lit(600).alias("height"))).alias("imageinfo"))
-    body = F.to_json(F.create_map(_ID.cast("string"), page))
+    body = F.to_json(F.create_map(_id().cast("string"), page))
     return catalogs.wikimedia(v.table("documents").select(body.alias("body")))
 
 
@@ -165,8 +169,8 @@ def catalog_wikimedia(v: Views) -> DataFrame:
 SELECT lang AS folder, 'clip_' || CAST(doc_id AS VARCHAR) || '.mp4' AS name, text AS caption, 1280 AS width, 720 AS height,
  CAST(doc_id % 9 AS DOUBLE) AS duration FROM documents"""))
 def index_entries(v: Views) -> DataFrame:
-    entry = F.struct(_FULL.alias("caption"), F.lit(1280).alias("width"), F.lit(720).alias("height"), (_ID % 9).alias("duration"))
-    name = F.concat(F.lit("clip_"), _ID.cast("string"), F.lit(".mp4"))
+    entry = F.struct(_full().alias("caption"), F.lit(1280).alias("width"), F.lit(720).alias("height"), (_id() % 9).alias("duration"))
+    name = F.concat(F.lit("clip_"), _id().cast("string"), F.lit(".mp4"))
     landed = v.table("documents").select(F.col("lang").alias("folder"), F.to_json(F.create_map(name, entry)).alias("body"))
     return library.index_entries(landed).drop("hash")
 
@@ -182,7 +186,7 @@ def transcript_words(v: Views) -> DataFrame:
     item = F.transform(words("text"), lambda w, i: F.struct(
         F.concat(F.lit(" "), w).alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.4).alias("end")))
     half = F.floor(F.size("_i") / 2).cast("int")
-    rows = v.table("documents").select(_ID.cast("string").alias("project_id"), item.alias("_i"))
+    rows = v.table("documents").select(_id().cast("string").alias("project_id"), item.alias("_i"))
     segments = F.array(
         F.struct(F.slice("_i", 1, half).alias("words")), F.struct(F.array().cast(
             "array<struct<word:string,start:double,end:double>>").alias("words")),
@@ -205,12 +209,12 @@ def _categories(v: Views) -> DataFrame:
     key = lambda n: F.concat(F.lit("cat_"), n.cast("string"))
     ranked = longest_first(overlap_tokens("text"))
     return v.table("documents").select(
-        key(_ID).alias("key"), F.concat_ws(" ", "lang", "source", _ID.cast("string")).alias("display_name"),
+        key(_id()).alias("key"), F.concat_ws(" ", "lang", "source", _id().cast("string")).alias("display_name"),
         F.slice(ranked, 1, 3).alias("banned"), F.array().cast("array<string>").alias("positive"),
         F.concat(F.lit("safe "), "lang").alias("safe"), (F.col("lang") == "en").alias("use_archive"),
-        F.when(_ID % 3 == 0, F.lit("")).otherwise(F.col("lang")).alias("library_path"),
-        F.when(_ID % 4 != 0, F.when(_ID % 31 == 5, F.lit("gone")).otherwise(key(_ID - _ID % 4))).alias("parent_key"),
-        (_ID % 5 == 0).alias("is_custom"),
+        F.when(_id() % 3 == 0, F.lit("")).otherwise(F.col("lang")).alias("library_path"),
+        F.when(_id() % 4 != 0, F.when(_id() % 31 == 5, F.lit("gone")).otherwise(key(_id() - _id() % 4))).alias("parent_key"),
+        (_id() % 5 == 0).alias("is_custom"),
     )
 
 
@@ -227,7 +231,7 @@ SELECT key, display_name, FALSE AS is_custom FROM cats WHERE key NOT IN (SELECT
 UNION ALL SELECT c.key, 'custom ' || c.display_name, TRUE FROM cats c JOIN labels l ON c.key = 'cat_' || CAST(l.doc_id AS VARCHAR)"""))
 def category_overlay(v: Views) -> DataFrame:
     rows = _categories(v).drop("is_custom")
-    labelled = v.table("labels").select(F.concat(F.lit("cat_"), _ID.cast("string")).alias("key"))
+    labelled = v.table("labels").select(F.concat(F.lit("cat_"), _id().cast("string")).alias("key"))
     custom = rows.join(labelled, "key").withColumn("display_name", F.concat(F.lit("custom "), "display_name"))
     return cats.overlay(rows, custom).select("key", "display_name", "is_custom")
 

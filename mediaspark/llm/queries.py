@@ -41,3 +41,10 @@ def op4_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
 
     out = minimax_shards(table(spark, folder, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query()
+def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    from mediaspark.llm.fingerprints import edited_likeness
+
+    return edited_likeness(table(spark, folder, "documents"))

@@ -48,3 +48,10 @@ def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     from mediaspark.llm.fingerprints import edited_likeness
 
     return edited_likeness(table(spark, folder, "documents"))
+
+
+@_query()
+def op6_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    from mediaspark.llm.pii import personal_data
+
+    return personal_data(table(spark, folder, "documents"))

@@ -106,7 +106,7 @@ def minimax_shards(docs: DataFrame, shards: int = 40, text: str = "text", key: s
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     sized = docs.select(F.col(key).alias("_id"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("_text"))
     sized = stored(sized, "sizes")
-    groups = sized.groupBy("_text").agg(F.min("_id").alias("_first"), F.sum("size").alias("_bytes"))
+    groups = stored(sized.groupBy("_text").agg(F.min("_id").alias("_first"), F.sum("size").alias("_bytes")), "groups")
     largest = [(r["_text"], r["_bytes"]) for r in groups.orderBy(F.desc("_bytes"), "_first", "_text").limit(shards).collect()]
     left, alone = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"], []
     for name, size in largest:
@@ -117,7 +117,8 @@ def minimax_shards(docs: DataFrame, shards: int = 40, text: str = "text", key: s
     own = F.lit(None).cast("int")
     for i, name in enumerate(alone):
         own = F.when(F.col("_text") == F.lit(name), F.lit(i)).otherwise(own)
-    # the left side may hold one text in a third of its rows: a sort-merge join, which adaptive execution splits
+    # the left side may hold one text in a third of its rows: a sort-merge join of two stored tables, whose hot
+    # partitions adaptive execution can split as no aggregate stands between exchange and join
     placed = sized.join(groups.select("_text", "_first").hint("merge"), "_text").withColumn("_own", own)
     rest = F.col("_own").isNull()
     sums = {"_end": F.when(rest, F.col("size")).otherwise(F.lit(0)).cast("long"), "_nth": F.when(rest, F.lit(1)).otherwise(F.lit(0)).cast("long"), "_row": F.lit(1).cast("long")}

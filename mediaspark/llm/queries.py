@@ -55,3 +55,39 @@ def op6_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     from mediaspark.llm.pii import personal_data
 
     return personal_data(table(spark, folder, "documents"))
+
+
+@_query()
+def op7_template_windows(spark: SparkSession, folder: str) -> DataFrame:
+    from mediaspark.llm.templates import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS id, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY 2, 3),
+marks AS (SELECT id, n, hash(unnest(s)) AS h FROM classes),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h) AS r FROM marks),
+heads AS (SELECT id, n, h FROM ranked WHERE r <= n - (9 * n + 9) // 10 + 1),
+near AS (SELECT DISTINCT a.id AS a, b.id AS b FROM heads a JOIN heads b ON a.h = b.h AND a.id < b.id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+links AS (
+  SELECT a, b FROM near JOIN classes x ON x.id = a JOIN classes y ON y.id = b
+  WHERE 190 * len(list_intersect(x.s, y.s)) >= 90 * (x.n + y.n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT id, id AS r FROM classes UNION SELECT reach.id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+named AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(named.component_id, sets.doc_id) AS component_id
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN named ON named.id = classes.id
+"""
+
+
+@_query(_OP2_SQL)
+def op2_parity_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    from mediaspark.llm.parity_join import similarity_components
+
+    return similarity_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

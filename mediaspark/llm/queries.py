@@ -91,3 +91,12 @@ def op2_parity_sketch(spark: SparkSession, folder: str) -> DataFrame:
     from mediaspark.llm.parity_join import similarity_components
 
     return similarity_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query()
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from mediaspark.llm.tokens import token_files
+
+    return token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -100,3 +100,12 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from mediaspark.llm.tokens import token_files
 
     return token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query()
+def op9_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    from mediaspark.llm.weak_quality import classify
+
+    scored = classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.where("accepted").select("doc_id", "p_quality", "p_toxic")

@@ -71,9 +71,10 @@ def chunks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.
         row = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each text and one more) of the words."""
-    ink = ~SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, ink_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each text and one more) of the words: runs
+    of bytes that are no white space, or that ``ink_of`` marks."""
+    ink = ~SPACE[data] if ink_of is None else ink_of[data]
     head = np.ones(len(data) + 1, dtype=bool)
     head[1:-1] = ~ink[:-1]
     head[offsets[offsets < len(data)]] = True
@@ -86,10 +87,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of letters: A-Z, a-z and all of other scripts.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, ink_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z in lower case, and the first word of each
     text and one more."""
-    starts, ends, firsts = word_bounds(data, offsets)
+    starts, ends, firsts = word_bounds(data, offsets, ink_of)
     return window(prefix_sums(LOWER[data]), starts, ends), firsts
 
 

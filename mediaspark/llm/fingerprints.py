@@ -117,8 +117,9 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     halves = own.groupBy("id").agg(F.max(F.floor(F.char_length("body") / 2)).cast("int").alias("half"))
     owners = stored(next_ids(halves), "owners")
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  null as a key that joins
-    own = own.select(name("id").alias("_k"), "id", "body")
+    # null as a key that joins; both joins read the same two columns and so share one exchange of the texts
+    name = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit(""))
+    own = own.select(name("id").alias("_k"), "body")
     links = owners.select(name("id").alias("_k"), name("owner").alias("_owner"), "owner_half")
     sent = own.hint("merge").join(links, "_k").select(
         F.col("_owner").alias("_k"),
@@ -128,7 +129,7 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     sent = sent.groupBy("_k").agg(F.min(F.struct("lead", "lead_set")).alias("next"))
     n = F.char_length("body")
     whole = own.hint("merge").join(sent, "_k").select(
-        F.col("id").alias(key), n.cast("long").alias("n_chars"),
+        F.when(F.col("_k") != "", F.expr("substr(_k, 2)").cast(docs.schema[key].dataType)).alias(key), n.cast("long").alias("n_chars"),
         F.concat(F.expr("left(body, char_length(body) - cast(floor(char_length(body) / 2) as int))"),
                  F.expr("left(next.lead, cast(floor(char_length(body) / 2) as int))")).alias("edited"),
         fingerprint(F.col("body"), k, w).alias("marks"), F.col("next.lead_set").alias("lead_set"),

@@ -109,3 +109,17 @@ def op9_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
 
     scored = classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.where("accepted").select("doc_id", "p_quality", "p_toxic")
+
+
+def labelled_languages(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """(doc_id, domain): the language of the rows that the labels call good."""
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(good, "doc_id", "left_semi")
+
+
+@_query()
+def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from mediaspark.llm.mixing import mixture
+
+    docs = table(spark, folder, "documents")
+    return mixture(docs, labelled_languages(spark, folder, docs))

@@ -123,3 +123,10 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return mixture(docs, labelled_languages(spark, folder, docs))
+
+
+@_query()
+def op5_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
+    from mediaspark.llm.repeats import without_repeats
+
+    return without_repeats(table(spark, folder, "documents"))

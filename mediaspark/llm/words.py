@@ -103,7 +103,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     """Sorted distinct hashes of the runs of ``n`` words of each text; with
     fewer words all of them are one run; without words there is none."""
     hashes, firsts = word_hashes(data, offsets)
-    turn = [_U(2 * i + 1) * _U(0x9E3779B97F4A7C15) for i in range(n)]
+    turn = [_U((2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64) for i in range(n)]
     runs = np.zeros(max(0, len(hashes) - n + 1), dtype=_U)
     for i in range(n):
         runs += hashes[i : i + len(runs)] * turn[i]

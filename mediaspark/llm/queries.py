@@ -130,3 +130,10 @@ def op5_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
     from mediaspark.llm.repeats import without_repeats
 
     return without_repeats(table(spark, folder, "documents"))
+
+
+@_query()
+def op3_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from mediaspark.llm.ctw import scores
+
+    return scores(table(spark, folder, "documents"))

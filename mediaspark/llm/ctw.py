@@ -221,7 +221,7 @@ def fit(rows: DataFrame, depth: int) -> Model:
     return model
 
 
-def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 4) -> DataFrame:
+def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 5) -> DataFrame:
     """One row per input row: key, held_out, n_tokens, n_known, train_tokens,
     base_score, score, bits_per_byte.
 

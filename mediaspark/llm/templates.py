@@ -136,5 +136,5 @@ def contaminated(
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates; rows without a
     key stay."""
-    found = stored(contaminated(docs, items, key=key, **options).select(key), "leaks")
-    return docs.join(found, key, "left_anti")
+    found = stored(contaminated(docs, items, key=key, **options).select(F.col(key).alias("_leak")), "leaks")
+    return docs.join(found, F.col(key) == F.col("_leak"), "left_anti")

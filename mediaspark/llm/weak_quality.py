@@ -185,17 +185,31 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds:
     return weights
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """One row per input row: key, p_quality, p_toxic, accepted.
-
-    A row is accepted if ``p_quality`` is at least ``threshold`` and ``p_toxic``
-    below it.  Null and empty texts get the votes of a text that is too short
-    for an opinion; repeated rows are rows of their own; without labelled rows
-    the learned word list is empty; labels of null keys or values are left out;
-    an empty table gives no rows; other columns are not read.
-    """
+class Scorer:
+    """The learned word list and the weights of both questions."""
+
+    def __init__(self, listed: np.ndarray, weights: list[np.ndarray]):
+        self.listed, self.weights = listed, weights
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(p_quality, p_toxic) of each text."""
+        out = []
+        for a, b, data, offsets in chunks(texts):
+            cast, hashes, firsts = votes(data, offsets, self.listed)
+            z = np.zeros((2, b - a))
+            for i in range(b - a):
+                for q, side in enumerate(_SIDES):
+                    place, value = _features(cast[i], hashes[firsts[i] : firsts[i + 1]], side)
+                    z[q, i] = self.weights[q][place] @ value + self.weights[q][-1]
+            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        p = np.concatenate(out, axis=1) if out else np.zeros((2, 0))
+        return p[0], 1 - p[1]
+
+
+def train_scorer(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Scorer:
+    """Fits the label model on the votes of all rows and the scorers on a
+    bounded sample of them."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
     listed = spark.sparkContext.broadcast(word_list(docs, labels, text, key))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
@@ -238,27 +252,39 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     for side, known in zip(_SIDES, belief, strict=True):
         target = np.array([known[tuple(int(x) for x in v[side])] for v, _ in taken])
         fitted.append(_fit([_features(v, w, side) for v, w in taken], target).astype(np.float32))
-    weights = spark.sparkContext.broadcast(fitted)
+    return Scorer(listed.value, fitted)
+
+
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """One row per input row: key, p_quality, p_toxic, accepted.
+
+    A row is accepted if ``p_quality`` is at least ``threshold`` and ``p_toxic``
+    below it.  Null and empty texts get the votes of a text that is too short
+    for an opinion; repeated rows are rows of their own; without labelled rows
+    the learned word list is empty; labels of null keys or values are left out;
+    an empty table gives no rows; other columns are not read.
+    """
+    scorer = docs.sparkSession.sparkContext.broadcast(train_scorer(docs, labels, text, key))
+    kind = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
-                cast, hashes, firsts = votes(data, offsets, listed.value)
-                out = np.zeros((2, b - a))
-                for i in range(b - a):
-                    for q, side in enumerate(_SIDES):
-                        place, value = _features(cast[i], hashes[firsts[i] : firsts[i + 1]], side)
-                        out[q, i] = weights.value[q][place] @ value + weights.value[q][-1]
-                p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p[0]), pa.array(1 - p[1])], names=["id", "p_quality", "p_toxic"])
-
-    scored = rows.mapInArrow(score, f"id {kind}, p_quality double, p_toxic double")
+            good, toxic = scorer.value(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(toxic)], names=["id", "p_quality", "p_toxic"])
+
+    scored = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(score, f"id {kind}, p_quality double, p_toxic double")
     accepted = (F.col("p_quality") >= threshold) & (F.col("p_toxic") < threshold)
     return scored.select(F.col("id").alias(key), "p_quality", "p_toxic", accepted.alias("accepted"))
 
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts."""
-    bad = stored(classify(docs, labels, text, key, **options).where("not accepted").select(key).distinct(), "rejected")
-    name = F.col(key)
-    return docs.alias("d").join(bad.withColumnRenamed(key, "_gone"), name.eqNullSafe(F.col("_gone")), "left_anti")
+def accepted_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    scorer = docs.sparkSession.sparkContext.broadcast(train_scorer(docs, labels, text, key))
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, toxic = scorer.value(batch.column(place))
+            yield batch.filter(pa.array((good >= threshold) & (toxic < threshold)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -44,8 +44,8 @@ MAYBE = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 LOOSE = {
     "email": r"(?i)\b[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,63}){1,4}\b",
     "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])",
-    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9A-Za-z.-])",
-    "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9A-Za-z]|[.-][0-9])",
+    "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])",
 }
 LOOSE_MAYBE = {"email": r"(?i)[\[( ]dot[\]) ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:[0-9a-f]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"[0-9]{3}[.-][0-9]{4}"}
 CUES = {
@@ -159,28 +159,33 @@ def _voted(text: Column, kind: str) -> Column:
 FEATURES = ("kind", "form", "known", "context", "size")
 
 
-def reliabilities(counts: dict[tuple, int], rounds: int = 30) -> tuple[dict[str, dict], dict[tuple, float]]:
-    """Expectation maximisation: per labeler the smoothed share of each vote
-    among personal data and among the rest, and the posterior of each pattern.
-    Starts from the majority of votes."""
+def reliabilities(counts: dict[tuple, int], rounds: int = 30) -> tuple[dict[str, tuple[float, float]], dict[tuple, float]]:
+    """Expectation maximisation: per labeler the share of votes for personal
+    data, among what isn't and what is, and the posterior of each pattern.
+
+    A vote of 0 is no evidence.  First guesses (0.1 and 0.9) count as 10 votes,
+    and the prior as 10 spans, half of them personal, so that the sides keep
+    their meaning however few candidates there are.
+    """
     labelers = FEATURES[1:4]
-    belief = {p: 1 / (1 + math.exp(-2 * sum(p[1:4]))) for p in counts}
-    shares: dict[str, dict] = {}
+    shares = {name: (0.1, 0.9) for name in labelers}
+    prior, belief = 0.5, dict.fromkeys(counts, 0.5)
     for _ in range(rounds):
-        whole = sum(counts.values()) + 2
-        prior = (sum(n * belief[p] for p, n in counts.items()) + 1) / whole
-        shares = {}
-        for i, name in enumerate(labelers):
-            table = {v: [1.0, 1.0] for v in (-1, 0, 1)}
-            for p, n in counts.items():
-                table[p[1 + i]][1] += n * belief[p]
-                table[p[1 + i]][0] += n * (1 - belief[p])
-            ones, noughts = sum(t[1] for t in table.values()), sum(t[0] for t in table.values())
-            shares[name] = {v: (t[0] / noughts, t[1] / ones) for v, t in table.items()}
         for p in counts:
             odds = math.log(prior) - math.log(1 - prior)
-            odds += sum(math.log(shares[n][p[1 + i]][1]) - math.log(shares[n][p[1 + i]][0]) for i, n in enumerate(labelers))
+            for i, name in enumerate(labelers):
+                rest, own = shares[name]
+                odds += {1: math.log(own / rest), -1: math.log((1 - own) / (1 - rest)), 0: 0.0}[p[1 + i]]
             belief[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        prior = (sum(n * belief[p] for p, n in counts.items()) + 5) / (sum(counts.values()) + 10)
+        for i, name in enumerate(labelers):
+            found = [10 * 0.1, 10 * 0.9]
+            cast = [10.0, 10.0]
+            for p, n in counts.items():
+                for side, share in enumerate((1 - belief[p], belief[p])):
+                    found[side] += n * share * (p[1 + i] > 0)
+                    cast[side] += n * share * (p[1 + i] != 0)
+            shares[name] = (found[0] / cast[0], found[1] / cast[1])
     return shares, belief
 
 

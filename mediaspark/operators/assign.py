@@ -103,8 +103,10 @@ def _key(c: dict) -> str:
 
 
 def _fits(c: dict) -> bool:
+    """A file of exactly the frame's shape is only scaled, whatever its size;
+    any other must not be too small to crop or pad."""
     w, h = c["file_width"], c["file_height"]
-    return w > 0 and h > 0 and min(w, h) >= C.MIN_DIMENSION
+    return w > 0 and h > 0 and (abs(w / h - 16 / 9) < C.EXACT_RATIO_TOLERANCE or min(w, h) >= C.MIN_DIMENSION)
 
 
 def _decide(beat: dict, uses: dict[str, int], images: int, videos: int, downloads: int, rules: Rules) -> dict:

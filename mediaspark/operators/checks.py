@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaspark import config as C
@@ -47,14 +48,14 @@ def swap_alternates(entries: DataFrame, alternates: DataFrame, edits: DataFrame)
     ``alternates``: project_id, clip_number, alternate_index, source,
     source_id, media_type, score.  An edit is rejected when its row or
     alternate does not exist, or when another row of the project shows that
-    asset already.
+    asset already.  An asset that an edit frees counts as used until the next
+    batch.
     """
     key = ["project_id", "clip_number"]
+    # the asset as a whole: every column that both tables have
+    asset = [c for c in alternates.columns if c in entries.columns and c not in key]
     chosen = edits.join(entries.select(*key, F.lit(True).alias("_row")), key, "left").join(
-        alternates.select(*key, "alternate_index", F.col("source").alias("new_source"),
-                          F.col("source_id").alias("new_source_id"), F.col("media_type").alias("new_media_type"),
-                          F.col("score").alias("new_score")),
-        [*key, "alternate_index"], "left",
+        alternates.select(*key, "alternate_index", *[F.col(c).alias(f"new_{c}") for c in asset]), [*key, "alternate_index"], "left",
     )
     shown = entries.where(F.col("source").isNotNull()).select(
         "project_id", F.col("clip_number").alias("used_by"), F.col("source").alias("new_source"),
@@ -75,8 +76,15 @@ def swap_alternates(entries: DataFrame, alternates: DataFrame, edits: DataFrame)
         .when(other.isNotNull(), F.lit("already used"))
     )
     judged = chosen.withColumn("used_by", other).withColumn("problem", problem)
+    # of the edits of one batch that ask for the same asset the lowest clip gets it
+    rivals = W.partitionBy("project_id", "new_source", "new_source_id", F.col("problem").isNull())
+    first = F.min("clip_number").over(rivals)
+    late = F.col("problem").isNull() & (F.col("clip_number") != first)
+    judged = judged.withColumn("_late", late).withColumn("_first", first)
+    judged = judged.withColumn("used_by", F.when(F.col("_late"), F.col("_first")).otherwise(F.col("used_by")))
+    judged = judged.withColumn("problem", F.when(F.col("_late"), F.lit("already used")).otherwise(F.col("problem")))
     good = judged.where(F.col("problem").isNull()).select(
-        *key, "new_source", "new_source_id", "new_media_type", "new_score",
+        *key, *[f"new_{c}" for c in asset],
         F.concat(F.lit("swapped to alternate "), F.col("alternate_index").cast("string"), F.lit(" ("),
                  "new_source", F.lit(":"), "new_source_id", F.lit(") via editor")).alias("new_note"),
     )
@@ -85,7 +93,7 @@ def swap_alternates(entries: DataFrame, alternates: DataFrame, edits: DataFrame)
     take = lambda new, old: F.when(swapped, F.col(new)).otherwise(F.col(old))
     columns = []
     for name in entries.columns:
-        if name in ("source", "source_id", "media_type", "score", "note"):
+        if name in (*asset, "note"):
             columns.append(take(f"new_{name}", name).alias(name))
         elif name == "placeholder":
             columns.append(F.when(swapped, F.lit(False)).otherwise(F.col(name)).alias(name))

@@ -283,14 +283,14 @@ SELECT e.edit_id, action, e.key, CASE WHEN action = 'add' AND (c.key IS NOT NULL
   WHEN action = 'delete' AND EXISTS (SELECT 1 FROM cats k WHERE k.parent_key = e.key) THEN 'has sub-categories'
   WHEN action = 'rename' AND coalesce(e.display_name, '') = '' THEN 'display_name required' END AS problem
 FROM (SELECT event_id AS edit_id, CASE event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'delete' ELSE 'rename' END AS action,
- 'cat_' || CAST(event_id * 7 % 2000 AS VARCHAR) AS key,
+ 'cat_' || CAST(event_id * 7 % (SELECT count(*) FROM documents) AS VARCHAR) AS key,
  CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 = 1 THEN 'EN src1 1' ELSE 'New ' || event_type END AS display_name FROM events) e
 LEFT JOIN cats c ON e.key = c.key"""))
 def category_edits(v: Views) -> DataFrame:
     n = F.col("event_id")
     edits = v.table("events").select(
         n.alias("edit_id"), F.when(n % 3 == 0, F.lit("add")).when(n % 3 == 1, F.lit("delete")).otherwise(F.lit("rename")).alias("action"),
-        F.concat(F.lit("cat_"), (n * 7 % 2000).cast("string")).alias("key"),
+        F.concat(F.lit("cat_"), (n * 7 % v.n_documents).cast("string")).alias("key"),
         F.when(n % 4 == 0, F.lit("")).when(n % 4 == 1, F.lit("EN src1 1")).otherwise(F.concat(F.lit("New "), "event_type"))
         .alias("display_name"),
     )

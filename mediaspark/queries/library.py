@@ -299,8 +299,6 @@ def library_upsert(v: Views) -> DataFrame:
     )
 
 
-FOLDERS = ("de", "en", "es", "fr")
-
 O.CTES["folder_entries"] = f"""
 SELECT i.folder, i.doc_id, {O.overlap_tokens('i.caption')} AS tokens FROM library_index i SEMI JOIN files f ON i.name = f.name"""
 
@@ -309,25 +307,27 @@ SELECT i.folder, i.doc_id, {O.overlap_tokens('i.caption')} AS tokens FROM librar
 SELECT query, folder, CAST(pos AS INT) AS pos, doc_id, matched FROM (
  SELECT *, row_number() OVER (PARTITION BY query, folder ORDER BY matched DESC, doc_id) AS pos FROM (
   SELECT q.query, e.folder, e.doc_id, CAST(coalesce(m.matched, 0) AS BIGINT) AS matched
-  FROM (SELECT DISTINCT query FROM phrase_rows WHERE tier < 3) q CROSS JOIN folder_entries e
+  FROM (SELECT DISTINCT query FROM phrase_rows) q CROSS JOIN folder_entries e
   LEFT JOIN (SELECT query, doc_id, sum(w) AS matched FROM query_tokens JOIN (
    SELECT doc_id, unnest(tokens) AS token FROM folder_entries) USING (token) GROUP BY query, doc_id) m
   ON q.query = m.query AND e.doc_id = m.doc_id)) WHERE pos <= 5"""))
 def library_retrieval(v: Views) -> DataFrame:
-    """Search of several library folders: a page per folder, entries without a
-    file skipped before the page is cut."""
+    """Search of all library folders with the phrases of all tiers: a page per
+    folder, entries without a file skipped before the page is cut."""
     catalogue = v.library_index.join(v.files.select("name"), "name", "left_semi")
     catalogue = catalogue.select(F.col("folder").alias("source"), "doc_id", F.col("caption").alias("text"))
-    phrases = retrieval.clip_phrases(v.clips).where(F.col("tier") < 3)
-    found = retrieval.retrieve(phrases, catalogue, search.weights(v), sources=FOLDERS)
+    # the folders that a user has set up, a handful of names
+    folders = tuple(r["folder"] for r in v.library_index.select("folder").distinct().orderBy("folder").collect())
+    found = retrieval.retrieve(retrieval.clip_phrases(v.clips), catalogue, search.weights(v), sources=folders)
     return found.select("query", F.col("source").alias("folder"), "pos", F.col("entry").alias("doc_id"), "matched")
 
 
 @register("duplicate_report", O.query("""
-SELECT id_a, id_b, '- **clip_' || CAST(id_a AS VARCHAR) || '**: ' || a.text || chr(10) || '- **clip_' || CAST(id_b AS VARCHAR)
- || '**: ' || b.text || chr(10) AS captions FROM alike JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b"""))
+SELECT id_a, id_b, '## ' || printf('%.3f', score) || ' — `clip_' || CAST(id_a AS VARCHAR) || '` vs `clip_' || CAST(id_b AS VARCHAR) || '`'
+ || chr(10) || chr(10) || '- **clip_' || CAST(id_a AS VARCHAR) || '**: ' || a.text || chr(10) || '- **clip_' || CAST(id_b AS VARCHAR)
+ || '**: ' || b.text || chr(10) AS block FROM alike JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b"""))
 def duplicate_report(v: Views) -> DataFrame:
-    """Report blocks of the near-duplicate pairs, without their heading line."""
+    """Report blocks of the near-duplicate pairs, with their heading line."""
     texts = v.table("documents").select("doc_id", "text")
     rows = near_dup_pairs(v).join(
         texts.select(F.col("doc_id").alias("id_a"), F.col("text").alias("caption_a")), "id_a"
@@ -337,4 +337,4 @@ def duplicate_report(v: Views) -> DataFrame:
         "name_b": F.concat(F.lit("clip_"), F.col("id_b").cast("string")),
     })
     lines = reports.duplicate_lines(named, "id_a", "id_b")
-    return lines.select("id_a", "id_b", F.regexp_replace("block", r"^[^\n]*\n\n", "").alias("captions"))
+    return lines.select("id_a", "id_b", "block")

@@ -173,38 +173,45 @@ def timeline_markdown(v: Views) -> DataFrame:
 
 O.CTES.update({
     "alternates": """
-SELECT e.project_id, e.clip_number, i AS alternate_index, h.source, h.source_id, h.media_type, 40.0E0 + h.doc_id % 60 AS score
+SELECT e.project_id, e.clip_number, i AS alternate_index, h.source, h.source_id, h.media_type, h.text AS selected_text, h.duration AS asset_seconds,
+ h.width, h.height, h.doc_id, 40.0E0 + h.doc_id % 60 AS score
 FROM (SELECT *, unnest(range(0, 3)) AS i FROM entries) e
 JOIN hits h ON h.doc_id = (e.conv_id * 17 + (e.turn + e.i) * 3) % (SELECT count(*) FROM documents)""",
     "edits": """
 SELECT project_id, clip_number + CASE WHEN conv_id % 10 = 9 THEN 100 ELSE 0 END AS clip_number, turn % 4 AS alternate_index
 FROM entries WHERE turn % 2 = 0""",
     "judged": """
-SELECT d.project_id, d.clip_number, d.alternate_index, a.source, a.source_id, a.media_type, a.score,
+SELECT * REPLACE (CASE WHEN problem IS NULL AND row_number() OVER (PARTITION BY project_id, source, source_id, problem IS NULL ORDER BY clip_number) > 1
+ THEN 'already used' ELSE problem END AS problem) FROM (
+SELECT d.project_id, d.clip_number, d.alternate_index, a.source, a.source_id, a.media_type, a.score, a.selected_text, a.asset_seconds, a.width, a.height, a.doc_id,
  CASE WHEN e.project_id IS NULL THEN 'clip not found' WHEN a.source IS NULL THEN 'alternate out of range'
   WHEN EXISTS (SELECT 1 FROM entries o WHERE o.project_id = d.project_id AND o.clip_number <> d.clip_number
    AND o.source = a.source AND o.source_id = a.source_id) THEN 'already used' END AS problem
 FROM edits d LEFT JOIN entries e ON d.project_id = e.project_id AND d.clip_number = e.clip_number
-LEFT JOIN alternates a ON d.project_id = a.project_id AND d.clip_number = a.clip_number AND d.alternate_index = a.alternate_index""",
+LEFT JOIN alternates a ON d.project_id = a.project_id AND d.clip_number = a.clip_number AND d.alternate_index = a.alternate_index)""",
 })
 
 
 @register("swap_edit", O.query("""
 SELECT e.project_id, e.clip_number, CASE WHEN j.source IS NULL THEN e.source ELSE j.source END AS source,
  CASE WHEN j.source IS NULL THEN e.source_id ELSE j.source_id END AS source_id,
+ CASE WHEN j.source IS NULL THEN e.media_type ELSE j.media_type END AS media_type, CASE WHEN j.source IS NULL THEN e.selected_text ELSE j.selected_text END AS selected_text,
+ CASE WHEN j.source IS NULL THEN e.asset_seconds ELSE j.asset_seconds END AS asset_seconds, CASE WHEN j.source IS NULL THEN e.width ELSE j.width END AS width,
+ CASE WHEN j.source IS NULL THEN e.height ELSE j.height END AS height, CASE WHEN j.source IS NULL THEN e.score ELSE j.score END AS score,
  CASE WHEN j.source IS NULL THEN e.placeholder ELSE FALSE END AS placeholder,
  CASE WHEN j.source IS NULL THEN e.note ELSE 'swapped to alternate ' || CAST(j.alternate_index AS VARCHAR) || ' (' || j.source
   || ':' || j.source_id || ') via editor' END AS note, 'row' AS kind
 FROM entries e LEFT JOIN (SELECT * FROM judged WHERE problem IS NULL) j
  ON e.project_id = j.project_id AND e.clip_number = j.clip_number
-UNION ALL SELECT project_id, clip_number, NULL, NULL, NULL, problem, 'rejected' FROM judged WHERE problem IS NOT NULL"""))
+UNION ALL SELECT project_id, clip_number, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, problem, 'rejected' FROM judged WHERE problem IS NOT NULL"""))
 def swap_edit(v: Views) -> DataFrame:
     rows = timing.entries(v)
     asked = rows.select("project_id", "clip_number", "conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("alternate_index"))
     asked = asked.withColumn(
         "doc_id", (F.col("conv_id") * 17 + (F.col("turn") + F.col("alternate_index")) * 3) % v.n_documents
     )
-    alternates = asked.join(v.hits.select("doc_id", "source", "source_id", "media_type"), "doc_id").withColumn(
+    assets = v.hits.select("doc_id", "source", "source_id", "media_type", F.col("text").alias("selected_text"), F.col("duration").alias("asset_seconds"), "width", "height")
+    alternates = asked.join(assets, "doc_id").withColumn(
         "score", F.lit(40.0) + F.col("doc_id") % 60
     ).drop("conv_id", "turn")
     off = F.when(F.col("conv_id") % 10 == 9, 100).otherwise(0)
@@ -212,12 +219,10 @@ def swap_edit(v: Views) -> DataFrame:
         "project_id", (F.col("clip_number") + off).alias("clip_number"), (F.col("turn") % 4).cast("int").alias("alternate_index")
     )
     merged, rejected = checks.swap_alternates(rows, alternates, edits)
-    kept = merged.select("project_id", "clip_number", "source", "source_id", "placeholder", "note", F.lit("row").alias("kind"))
-    nothing = F.lit(None).cast("string")
-    return kept.unionByName(rejected.select(
-        "project_id", "clip_number", nothing.alias("source"), nothing.alias("source_id"),
-        F.lit(None).cast("boolean").alias("placeholder"), F.col("problem").alias("note"), F.lit("rejected").alias("kind"),
-    ))
+    asset = ("source", "source_id", "media_type", "selected_text", "asset_seconds", "width", "height", "score", "placeholder")
+    kept = merged.select("project_id", "clip_number", *asset, "note", F.lit("row").alias("kind"))
+    nothing = [F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in asset]
+    return kept.unionByName(rejected.select("project_id", "clip_number", *nothing, F.col("problem").alias("note"), F.lit("rejected").alias("kind")))
 
 
 @register("coded_pairs", O.query(f"""

@@ -192,9 +192,9 @@ def fit(rows: DataFrame, depth: int) -> Model:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0), 1 << 22):
+            for _, _, data, offsets in chunks(batch.column(0), 1 << 20):
                 held.append(np.unique(runs(data, offsets, depth)[0], return_counts=True))
-                if sum(len(k) for k, _ in held) > 1 << 21:
+                if sum(len(k) for k, _ in held) > 1 << 20:
                     yield merged()
         if held:
             yield merged()
@@ -249,10 +249,10 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "c"])
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0), 1 << 22):
+            for _, _, data, offsets in chunks(batch.column(0), 1 << 20):
                 held.append(np.unique(word_hashes(data, offsets)[0], return_counts=True))
                 ends += len(offsets) - 1
-                if sum(len(k) for k, _ in held) > 1 << 21:
+                if sum(len(k) for k, _ in held) > 1 << 20:
                     yield merged()
         if ends:
             held.append((np.array([_END]), np.array([ends])))

@@ -39,12 +39,13 @@ from mediaspark.llm.words import chunks, mix, prefix_sums, window
 CROWD = 2048
 #: Bytes of pieces in one index, if their anchors' groups allow.
 INDEX_BYTES = 1 << 19
-#: Rows of keys or marks up to which they are broadcast (some 40 bytes each); beyond it both sides are shuffled.
+#: Rows of keys up to which they are broadcast (some 40 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def _few(df: DataFrame, n: int | None = None) -> DataFrame:
-    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_ROWS else df.hint("merge")
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if its rows are counted as few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -267,7 +268,6 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     gives no rows; other columns are not read.
     """
     marks = stored(repeated_windows(docs, text, length, gram), "text-marks")
-    amount = marks.agg(F.count("*") + F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
     kind = docs.schema[key].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,5 +295,5 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", le
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _rows(docs, text).select(F.col(key).alias("id"), F.col("_body").alias("body"), F.col("_text").alias("text"))
-    rows = rows.join(_few(marks, amount), "text", "left").select("id", "body", "marks")
+    rows = rows.join(marks.hint("merge"), "text", "left").select("id", "body", "marks")
     return rows.mapInArrow(remove, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", key)

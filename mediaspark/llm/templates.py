@@ -38,14 +38,18 @@ BROADCAST_WINDOWS = 500_000
 
 
 def _typed(token: Column, before: Column) -> Column:
-    """The template token of a raw token; ``before`` is the raw token ahead."""
-    unit = F.lower(token).isin(*UNITS) & F.regexp_like(before, F.lit(r"\p{N}$"))
-    return (
+    """The template token of a raw token; ``before`` is the raw token ahead.
+    Most tokens start with a-z and need no pattern."""
+    small = F.ascii(token).between(97, 122)
+    after_number = F.right(before, F.lit(1)).between("0", "9")
+    unit = F.when(after_number, F.lower(token).isin(*UNITS)).otherwise(F.lit(False))
+    other = (
         F.when(F.regexp_like(token, F.lit(r"\p{N}$")), F.lit(NUMBER))
         .when(unit, F.lit(UNIT))
         .when(F.regexp_like(token, F.lit(r"^\p{Lu}\p{Ll}")), F.lit(NAME))
         .otherwise(F.lower(F.regexp_replace(token, _HEAD, "")))
     )
+    return F.when(small, F.when(unit, F.lit(UNIT)).otherwise(F.lower(token))).otherwise(other)
 
 
 def canonical(text: Column) -> Column:
@@ -59,14 +63,14 @@ def canonical(text: Column) -> Column:
 
 
 def _window_hashes(template: Column, sizes: list[int]) -> Column:
-    """array<struct<pos, size, hash>> of all windows of the given sizes."""
+    """array<struct<size, hashes>>: the hashes of all windows of each size, in
+    order."""
 
     def of(n: int) -> Column:
-        none = F.array().cast("array<struct<pos:int,size:int,hash:bigint>>")
-        some = F.transform(F.sequence(F.lit(1), F.size(template) - (n - 1)), lambda i: F.struct((i - 1).alias("pos"), F.lit(n).alias("size"), F.xxhash64(F.slice(template, i, n)).alias("hash")))
-        return F.when(F.size(template) >= n, some).otherwise(none)
+        some = F.transform(F.sequence(F.lit(1), F.size(template) - (n - 1)), lambda i: F.xxhash64(F.slice(template, i, n)))
+        return F.struct(F.lit(n).alias("size"), F.when(F.size(template) >= n, some).otherwise(F.array().cast("array<bigint>")).alias("hashes"))
 
-    return F.concat(*[of(n) for n in sizes])
+    return F.array(*[of(n) for n in sizes])
 
 
 def _plain(tokens: Column) -> Column:
@@ -106,7 +110,7 @@ def contaminated(
     sizes = list(shape["sizes"]) or [window]
     cut = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), canonical(F.col(text)).alias("c"))
     cut = cut.select("_id", F.col("c.raw").alias("_raw"), F.explode(_window_hashes(F.col("c.template"), sizes)).alias("w"))
-    cut = cut.select("_id", "_raw", F.col("w.pos").alias("_at"), F.col("w.size").alias("size"), F.col("w.hash").alias("hash"))
+    cut = cut.select("_id", "_raw", F.col("w.size").alias("size"), F.posexplode("w.hashes").alias("_at", "hash"))
     # documents carry their tokens only up to the join inside the scan; without a broadcast the windows' own tokens travel
     if shape["n"] <= BROADCAST_WINDOWS:
         met = cut.join(F.broadcast(known), ["hash", "size"])

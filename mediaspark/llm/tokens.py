@@ -28,54 +28,79 @@ from pyspark.sql import functions as F
 
 from mediaspark.llm.common import shared_path, stored
 
-#: Distinct chunks of text whose ids a worker remembers (some 100 MB).
-REMEMBERED = 400_000
+#: Distinct chunks of text whose ids a worker remembers (some 150 MB).
+REMEMBERED = 1_000_000
 #: Tokens that a task gathers before it writes a record batch.
 BATCH_TOKENS = 1 << 20
 
 
 class Encoder:
-    """A tokenizer that drops white space and never joins across it, with the
-    ids of known chunks remembered.
+    """A tokenizer that drops white space, ends every word with an id of its
+    own kind and never joins across white space, with the ids of known chunks
+    remembered.
 
     A text falls apart at spaces and line ends; chunks that a worker has seen
-    cost one look-up.  Chunks are lower-cased first as the tokenizer does, but
-    for texts with a capital sigma, whose lower case depends on its place.
+    cost one look-up.  New words of letters are encoded in one call and parted
+    at their last ids; a full stop or comma behind one is encoded by itself, as
+    the tokenizer does; other new chunks have a call each.  Chunks are
+    lower-cased first as the tokenizer does, but for texts with letters whose
+    lower case depends on their place.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.kind = np.dtype(kind)
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def __call__(self, text: str) -> list[int]:
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        known = self.known
+        new = {p for p in parts if p not in known}
+        if len(known) + 2 * len(new) > REMEMBERED:
+            known.clear()
+            new = set(parts)
+        stops = {p for p in new if p[-1:] in (".", ",") and p[:-1].isalpha()}
+        words = [p for p in {p[:-1] for p in stops} | {p for p in new if p.isalpha()} if p not in known]
+        if words:
+            ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                known.update((w, x.tobytes()) for w, x in zip(words, np.split(ids, ends[:-1]), strict=True))
+            else:
+                known.update((w, self._bytes(e.ids)) for w, e in zip(words, self.model.encode_batch_fast(words, add_special_tokens=False), strict=True))
+        rest = [p for p in new if p not in stops and p not in known] + [c for c in (".", ",") if c not in known]
+        known.update((p, self._bytes(e.ids)) for p, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        known.update((p, known[p[:-1]] + known[p[-1]]) for p in stops)
+
+    def __call__(self, text: str) -> np.ndarray:
         if "Σ" not in text and "İ" not in text:
             text = text.lower()
         parts = text.replace("\n", " ").split(" ")
-        known = self.known
         try:
-            return [i for p in parts for i in known[p]]
+            return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), dtype=self.kind)
         except KeyError:
-            new = [p for p in set(parts) if p not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(parts))
-            known.update((p, tuple(e.ids)) for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True))
-            return [i for p in parts for i in known[p]]
+            self._learn(parts)
+            return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), dtype=self.kind)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder for a vocabulary file; tasks share it."""
-    if path not in _encoders:
+    if (path, kind) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, kind] = Encoder(path, kind)
+    return _encoders[path, kind]
 
 
 def sequence_schema(length: int, kind: pa.DataType) -> pa.Schema:
@@ -139,13 +164,13 @@ def write_sequences(
         system.create_dir(base, recursive=True)
         file = f"part-{task.partitionId():06d}.arrow"
         draft = f"{base}/.{file}.{uuid.uuid4().hex}"
-        ids_of = encode or encoder(vocabulary)
+        ids_of = encode or encoder(vocabulary, str(kind))
         with system.open_output_stream(draft) as sink:
             writer, at, nth = _Writer(sink, length, kind), 0, 0
             while batch is not None:
                 counts = []
                 for body in batch.column(1):
-                    ids = np.array([*ids_of(body.as_py() or ""), end], dtype=kind.to_pandas_dtype())
+                    ids = np.append(np.asarray(ids_of(body.as_py() or ""), dtype=kind.to_pandas_dtype()), kind.to_pandas_dtype()(end))
                     writer.add(ids)
                     counts.append(len(ids))
                 sizes = np.array(counts, dtype=np.int64)

@@ -24,21 +24,24 @@ def exact_duplicates(files: DataFrame) -> DataFrame:
 
 
 def index_plan(files: DataFrame, index: DataFrame) -> DataFrame:
-    """What an index run does with every file that is not indexed yet:
-    ``indexed``, or ``duplicate`` of an indexed file or of an earlier new one.
+    """What an index run does with every file that is not indexed yet, in the
+    order of names: ``duplicate`` of an indexed file or of one that the run has
+    indexed before it, ``failed`` if it has no caption, else ``indexed``.
 
-    ``files``: name, hash, ...; ``index``: name, hash (null where unknown).
+    ``files``: name, hash, optionally caption (without that column every file
+    has one), ...; ``index``: name, hash (null where unknown).  A file without
+    a caption is not indexed, so later copies of it are no duplicates of it.
     """
+    usable = F.col("caption").isNotNull() if "caption" in files.columns else F.lit(True)
     new = files.join(index.select("name"), "name", "left_anti")
     known = index.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("name").alias("_known"))
-    first = new.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("name").alias("_first"))
+    first = new.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min(F.when(usable, F.col("name"))).alias("_first"))
     both = first.join(known, "hash", "left")
     planned = salted_join(new, both, ["hash"], "left", spread=["name"])
-    same = F.coalesce("_known", F.when(F.col("_first") != F.col("name"), F.col("_first")))
+    same = F.coalesce("_known", F.when(F.col("_first") < F.col("name"), F.col("_first")))
     planned = planned.withColumn("duplicate_of", same).drop("_known", "_first")
-    return planned.withColumn(
-        "status", F.when(F.col("duplicate_of").isNull(), F.lit("indexed")).otherwise(F.lit("duplicate"))
-    )
+    status = F.when(F.col("duplicate_of").isNotNull(), F.lit("duplicate")).when(usable, F.lit("indexed")).otherwise(F.lit("failed"))
+    return planned.withColumn("status", status)
 
 
 def stale_entries(index: DataFrame, files: DataFrame) -> DataFrame:

@@ -37,11 +37,11 @@ SELECT * FROM (SELECT cluster, first_value(name) OVER w AS keep, first_value(siz
  size AS remove_size, row_number() OVER w AS rn FROM present
  WINDOW w AS (PARTITION BY cluster ORDER BY size DESC, name)) WHERE rn > 1""",
     "run": """
-SELECT h.name, h.folder, h.hash, coalesce(k.known, CASE WHEN f.first <> h.name THEN f.first END) AS duplicate_of
-FROM hashed h ANTI JOIN library_index i ON h.name = i.name
+SELECT h.name, h.folder, h.hash, coalesce(k.known, CASE WHEN f.first < h.name THEN f.first END) AS duplicate_of, length(x.content) % 13 <> 0 AS usable
+FROM hashed h ANTI JOIN library_index i ON h.name = i.name JOIN files x ON h.name = x.name
 LEFT JOIN (SELECT hash, min(name) AS known FROM index_hashed GROUP BY hash) k ON h.hash = k.hash
-LEFT JOIN (SELECT hash, min(name) AS first FROM hashed ANTI JOIN library_index USING (name) GROUP BY hash) f
- ON h.hash = f.hash""",
+LEFT JOIN (SELECT h2.hash, min(h2.name) AS first FROM hashed h2 ANTI JOIN library_index i2 ON h2.name = i2.name JOIN files x2 ON h2.name = x2.name
+ WHERE length(x2.content) % 13 <> 0 GROUP BY h2.hash) f ON h.hash = f.hash""",
     "slugs": """
 SELECT name, folder, CASE WHEN stem = '' THEN 'clip' ELSE stem END AS slug FROM (
  SELECT name, folder, array_to_string(list_filter(string_split_regex(lower(regexp_replace(content, '[^a-zA-Z0-9\\s_]', '', 'g')),
@@ -113,18 +113,20 @@ def index_new_stale(v: Views) -> DataFrame:
 
 
 @register("index_plan", O.query("""
-SELECT name, CASE WHEN duplicate_of IS NULL THEN 'indexed' ELSE 'duplicate' END AS status, duplicate_of FROM run"""))
+SELECT name, CASE WHEN duplicate_of IS NOT NULL THEN 'duplicate' WHEN usable THEN 'indexed' ELSE 'failed' END AS status, duplicate_of FROM run"""))
 def index_plan(v: Views) -> DataFrame:
     return _run(v).select("name", "status", "duplicate_of")
 
 
 def _run(v: Views) -> DataFrame:
     index = dedup.content_hash(v.library_index, "caption")
-    return dedup.index_plan(dedup.content_hash(v.files), index.select("name", "hash"))
+    # a file whose length is a multiple of 13 stands for one that could not be described
+    described = v.files.withColumn("caption", F.when(F.length("content") % 13 != 0, F.col("content")))
+    return dedup.index_plan(dedup.content_hash(described).drop("content"), index.select("name", "hash"))
 
 
 @register("index_summary", O.query("""
-SELECT f.folder, count(*) FILTER (r.name IS NOT NULL AND r.duplicate_of IS NULL) AS indexed,
+SELECT f.folder, count(*) FILTER (r.duplicate_of IS NULL AND r.usable) AS indexed, count(*) FILTER (r.duplicate_of IS NULL AND NOT r.usable) AS failed,
  count(*) FILTER (r.duplicate_of IS NOT NULL) AS duplicates, count(*) FILTER (r.name IS NULL) AS already_indexed
 FROM files f LEFT JOIN run r ON f.name = r.name GROUP BY f.folder"""))
 def index_summary(v: Views) -> DataFrame:
@@ -132,6 +134,7 @@ def index_summary(v: Views) -> DataFrame:
     every = v.files.select("name", "folder").join(run, "name", "left")
     return every.groupBy("folder").agg(
         F.count_if(F.col("status") == "indexed").alias("indexed"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status") == "duplicate").alias("duplicates"),
         F.count_if(F.col("status").isNull()).alias("already_indexed"),
     )

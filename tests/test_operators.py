@@ -211,6 +211,13 @@ def test_index_plan_and_hashless_entries(spark):
     assert got == {"a": ("indexed", None), "b": ("duplicate", "a"), "c": ("duplicate", "known")}
 
 
+def test_copies_of_a_file_without_caption_are_no_duplicates(spark):
+    files = spark.createDataFrame([("a", "h", None), ("b", "h", "road"), ("c", "h", "road"), ("d", "x", None)], "name string, hash string, caption string")
+    index = spark.createDataFrame([], "name string, hash string")
+    got = {r["name"]: (r["status"], r["duplicate_of"]) for r in dedup.index_plan(files, index).collect()}
+    assert got == {"a": ("failed", None), "b": ("indexed", None), "c": ("duplicate", "b"), "d": ("failed", None)}
+
+
 def test_unique_names_with_taken_slots(spark):
     files = spark.createDataFrame([("f", ".mp4", f"n{i}", "???") for i in range(6)] + [("g", ".mp4", "n9", "???")],
                                   "folder string, ext string, name string, caption string")
@@ -342,3 +349,23 @@ def test_script_audit(spark):
     got = {r["project_id"]: r for r in align.script_audit(pairs).collect()}
     assert got["same"]["ratio"] == 1.0 and not got["same"]["warn"] and got["same"]["mismatches"] == []
     assert got["off"]["warn"] and got["off"]["mismatches"][0]["script"] == "two three four"
+
+
+def test_two_edits_of_one_batch_for_one_asset(spark):
+    entries = spark.createDataFrame(
+        [(1, 1, "a", "1", 10, False, ""), (1, 2, "b", "2", 20, False, ""), (1, 3, "c", "3", 30, False, "")],
+        "project_id int, clip_number int, source string, source_id string, width int, placeholder boolean, note string",
+    )
+    alternates = spark.createDataFrame([(1, n, 0, "x", "9", 99) for n in (1, 2)] + [(1, 3, 0, "b", "2", 20)],
+                                       "project_id int, clip_number int, alternate_index int, source string, source_id string, width int")
+    edits = spark.createDataFrame([(1, 2, 0), (1, 1, 0), (1, 3, 0), (1, 7, 0)], "project_id int, clip_number int, alternate_index int")
+    merged, rejected = checks.swap_alternates(entries, alternates, edits)
+    assert {(r.clip_number, r.source, r.source_id, r.width) for r in merged.collect()} == {(1, "x", "9", 99), (2, "b", "2", 20), (3, "c", "3", 30)}
+    assert {(r.clip_number, r.problem, r.used_by) for r in rejected.collect()} == {(2, "already used", 1), (3, "already used", 2), (7, "clip not found", None)}
+
+
+def test_small_files_of_the_exact_shape_fit():
+    from mediaspark.operators.assign import _fits
+
+    sizes = {(640, 360): True, (1920, 1080): True, (640, 400): False, (480, 480): True, (0, 0): False, (320, 180): True}
+    assert {s: _fits({"file_width": s[0], "file_height": s[1]}) for s in sizes} == sizes

@@ -83,6 +83,13 @@ def removal_plan(v: Views) -> DataFrame:
     return _plan(v)
 
 
+@register("removal_lines", O.query("""
+SELECT remove, '- keep `' || keep || '` (' || CAST(keep_size AS VARCHAR) || ' bytes) — remove `' || remove || '` (' || CAST(remove_size AS VARCHAR)
+ || ' bytes, smaller)' AS line FROM removals"""))
+def removal_lines(v: Views) -> DataFrame:
+    return reports.removal_lines(_plan(v))
+
+
 @register("apply_removals", O.query("""
 SELECT i.name, 'kept' AS state FROM library_index i WHERE i.name NOT IN (SELECT remove FROM removals)
 UNION ALL SELECT f.name, 'quarantined' FROM files f WHERE f.name IN (SELECT remove FROM removals)"""))

@@ -101,45 +101,64 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
     return whole
 
 
+class _Table:
+    """Distinct 64-bit keys in open places, at most half of them taken."""
+
+    def __init__(self, keys: np.ndarray):
+        self.size = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.taken = np.zeros(self.size, np.uint64), np.zeros(self.size, bool)
+        self.slots = np.zeros(len(keys), np.int64)
+        left, at = np.arange(len(keys)), self._start(keys)
+        while len(left):
+            free = np.flatnonzero(~self.taken[at])
+            spot, who = np.unique(at[free], return_index=True)
+            placed = free[who]
+            self.keys[spot], self.taken[spot], self.slots[left[placed]] = keys[left[placed]], True, spot
+            rest = np.ones(len(left), bool)
+            rest[placed] = False
+            left, at = left[rest], (at[rest] + 1) & (self.size - 1)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) & np.uint64(self.size - 1)).astype(np.int64)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of the keys, by place."""
+        out = np.zeros(self.size, np.float32)
+        out[self.slots] = values
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it isn't there."""
+        at = self._start(keys)
+        out = np.where(self.taken[at], at, -1)
+        left = np.flatnonzero(self.taken[at] & (self.keys[at] != keys))
+        while len(left):
+            here = (out[left] + 1) & (self.size - 1)
+            out[left] = np.where(self.taken[here], here, -1)
+            left = left[self.taken[here] & (self.keys[here] != keys[left])]
+        return out
+
+
 class Model:
-    """The tree's contexts, sorted, with weight and estimate; and byte runs
-    with their cost."""
+    """The tree's contexts with weight and estimate, and byte runs with their
+    cost."""
 
     def __init__(self, depth: int, nodes: np.ndarray, weight: np.ndarray, one: np.ndarray):
         self.depth = depth
-        order = np.argsort(nodes)
-        self.nodes, self.weight, self.one = nodes[order], weight[order].astype(np.float32), one[order].astype(np.float32)
-        self.size = 1
-        self.keys, self.costs = np.zeros(1, np.uint64), np.zeros(1, np.float32)
-        self.taken = np.zeros(1, bool)
+        self.nodes = _Table(nodes)
+        self.weight, self.one = self.nodes.spread(weight), self.nodes.spread(one)
+        self.remember(np.zeros(0, np.uint64), np.zeros(0))
 
     def remember(self, grams: np.ndarray, costs: np.ndarray) -> None:
-        """Fills a table with open places, at most half full."""
-        self.size = 1 << max(4, int(2 * len(grams)).bit_length())
-        self.keys, self.costs, self.taken = np.zeros(self.size, np.uint64), np.zeros(self.size, np.float32), np.zeros(self.size, bool)
-        left, at = np.arange(len(grams)), (mix(grams) & np.uint64(self.size - 1)).astype(np.int64)
-        while len(left):
-            free = ~self.taken[at]
-            spot, who = np.unique(at[free], return_index=True)
-            chosen = left[free][who]
-            self.keys[spot], self.costs[spot], self.taken[spot] = grams[chosen], costs[chosen], True
-            rest = np.ones(len(left), bool)
-            rest[np.flatnonzero(free)[who]] = False
-            left, at = left[rest], (at[rest] + 1) & (self.size - 1)
+        self.ready = _Table(grams)
+        self.costs = self.ready.spread(costs)
+        self.ready.slots = self.nodes.slots = np.zeros(0, np.int64)  # needn't be sent
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each run's last byte."""
-        out = np.zeros(len(grams))
-        left, at = np.arange(len(grams)), (mix(grams) & np.uint64(self.size - 1)).astype(np.int64)
-        unknown = []
-        while len(left):
-            hit = self.taken[at] & (self.keys[at] == grams[left])
-            out[left[hit]] = self.costs[at[hit]]
-            gone = ~self.taken[at]
-            unknown.append(left[gone])
-            on = ~hit & ~gone
-            left, at = left[on], (at[on] + 1) & (self.size - 1)
-        rest = np.concatenate(unknown) if unknown else np.zeros(0, np.int64)
+        at = self.ready.find(grams)
+        out = self.costs[at].astype(np.float64)
+        rest = np.flatnonzero(at < 0)
         if len(rest):
             new, back = np.unique(grams[rest], return_inverse=True)
             out[rest] = self._mixed(new)[back]
@@ -156,8 +175,8 @@ class Model:
             for d in range(self.depth, -1, -1):
                 mask = np.uint64((1 << 8 * d) - 1)
                 key = (context & mask) * np.uint64(256) + prefix + np.uint64(d << 56)
-                at = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
-                known = self.nodes[at] == key
+                at = self.nodes.find(key)
+                known = at >= 0
                 own, w = self.one[at].astype(np.float64), self.weight[at].astype(np.float64)
                 mixed = np.where(np.isnan(p), own, w * own + (1 - w) * p)
                 p = np.where(known, mixed, p)
@@ -205,8 +224,6 @@ def fit(rows: DataFrame, depth: int) -> Model:
     # at most CONTEXTS rows
     kept = _at_most(nodes, "n", CONTEXTS).select("node", F.col("weight").cast("float").alias("weight"), one.cast("float").alias("one")).toArrow()
     model = Model(depth, kept.column("node").to_numpy().view(np.uint64), kept.column("weight").to_numpy(), kept.column("one").to_numpy())
-    if not len(model.nodes):
-        model = Model(depth, np.zeros(1, np.uint64), np.ones(1), np.full(1, 0.5))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

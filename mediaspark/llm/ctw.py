@@ -86,7 +86,7 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
     level = level.withColumn("own", _estimate(F.col("n0").cast("double"), F.col("n1").cast("double"))).withColumn("mixed", F.col("own")).withColumn("weight", F.lit(1.0))
     out = []
     for d in range(depth, -1, -1):
-        level = stored(level, f"contexts-{d}")
+        level = stored(level.drop("own"), f"contexts-{d}")
         out.append(level.select((F.col("context") * 256 + F.col("prefix") + F.lit(d) * F.lit(1 << 56)).alias("node"), "n0", "n1", "weight"))
         if d:
             shorter = F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)).alias("context")
@@ -219,7 +219,7 @@ def fit(rows: DataFrame, depth: int) -> Model:
             yield merged()
 
     grams = stored(rows.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    nodes = stored(tree(grams, depth).withColumn("n", F.col("n0") + F.col("n1")), "tree")
+    nodes = tree(grams, depth).withColumn("n", F.col("n0") + F.col("n1"))
     one = (F.col("n1") + 0.5) / (F.col("n") + 1.0)
     # at most CONTEXTS rows
     kept = _at_most(nodes, "n", CONTEXTS).select("node", F.col("weight").cast("float").alias("weight"), one.cast("float").alias("one")).toArrow()

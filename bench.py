@@ -17,7 +17,8 @@ HEADLINE = (
     "word_freq", "retrieval_topk", "top_candidate", "availability_report", "denylist_candidates", "sentence_split",
     "pace_timing", "floor_cascade", "split_long_rows", "word_timings", "caption_lines", "active_line", "render_status",
     "match_report", "exact_dedup", "near_dup_pairs", "near_dup_clusters", "unique_names", "index_plan", "vector_topk",
-    "category_merge", "progress_latest", "rate_window", "assign_greedy", "transcript_align", "caption_cues",
+    "category_merge", "progress_latest", "rate_window", "assign_greedy", "transcript_align", "caption_cues", "score_hits",
+    "library_retrieval", "removal_plan", "full_timing",
 )
 
 

@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.llm.common import stored
 from mediaspark.llm.words import chunks, mix, word_hashes
 
-#: Contexts of the model, and byte runs whose cost is kept ready (16 and 12 bytes each).
+#: Contexts of the model, and byte runs whose cost a worker keeps (34 and 26 bytes each).
 CONTEXTS, READY = 1 << 21, 1 << 20
 #: Frequent words whose counts are sent to the tasks (16 bytes each).
 FREQUENT = 1 << 19
@@ -139,20 +140,58 @@ class _Table:
         return out
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed by byte planes, as most bytes of sorted keys repeat."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 3)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    planes = planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 class Model:
-    """The tree's contexts with weight and estimate, and byte runs with their
-    cost."""
+    """The tree's contexts with weight and estimate.  What a worker has once
+    worked out for a byte run it keeps."""
 
     def __init__(self, depth: int, nodes: np.ndarray, weight: np.ndarray, one: np.ndarray):
         self.depth = depth
+        order = np.argsort(nodes)
+        self.content = nodes[order].astype(np.uint64), weight[order].astype(np.float32), one[order].astype(np.float32)
+        self._build()
+
+    def _build(self) -> None:
+        nodes, weight, one = self.content
         self.nodes = _Table(nodes)
         self.weight, self.one = self.nodes.spread(weight), self.nodes.spread(one)
         self.remember(np.zeros(0, np.uint64), np.zeros(0))
 
+    def __getstate__(self) -> tuple:
+        return self.depth, [_packed(x) for x in self.content]
+
+    def __setstate__(self, state: tuple) -> None:
+        self.depth, packed = state
+        self.content = tuple(_unpacked(x, k) for x, k in zip(packed, (np.uint64, np.float32, np.float32), strict=True))
+        self._build()
+
     def remember(self, grams: np.ndarray, costs: np.ndarray) -> None:
+        self.seen = grams, costs.astype(np.float32)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
         self.ready = _Table(grams)
         self.costs = self.ready.spread(costs)
-        self.ready.slots = self.nodes.slots = np.zeros(0, np.int64)  # needn't be sent
+
+    def _keep(self, grams: np.ndarray, costs: np.ndarray) -> None:
+        """Notes new runs; the table is made anew when it would double."""
+        known, added = len(self.seen[0]), sum(len(g) for g, _ in self.new)
+        if known + added >= READY:
+            return
+        self.new.append((grams, costs.astype(np.float32)))
+        if added + len(grams) >= max(known, 1 << 15):
+            grams = np.concatenate([self.seen[0], *[g for g, _ in self.new]])
+            costs = np.concatenate([self.seen[1], *[c for _, c in self.new]])
+            grams, first = np.unique(grams, return_index=True)
+            self.remember(grams, costs[first])
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each run's last byte."""
@@ -161,7 +200,9 @@ class Model:
         rest = np.flatnonzero(at < 0)
         if len(rest):
             new, back = np.unique(grams[rest], return_inverse=True)
-            out[rest] = self._mixed(new)[back]
+            costs = self._mixed(new).astype(np.float32).astype(np.float64)  # as they are kept
+            out[rest] = costs[back]
+            self._keep(new, costs)
         return out
 
     def _mixed(self, grams: np.ndarray) -> np.ndarray:
@@ -224,17 +265,6 @@ def fit(rows: DataFrame, depth: int) -> Model:
     # at most CONTEXTS rows
     kept = _at_most(nodes, "n", CONTEXTS).select("node", F.col("weight").cast("float").alias("weight"), one.cast("float").alias("one")).toArrow()
     model = Model(depth, kept.column("node").to_numpy().view(np.uint64), kept.column("weight").to_numpy(), kept.column("one").to_numpy())
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs_ = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value._mixed(runs_).astype(np.float32))], names=["gram", "cost"])
-
-    # at most READY rows
-    ready = _at_most(grams, "n", READY).select("gram").repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(cost, "gram bigint, cost float").toArrow()
-    model.remember(ready.column("gram").to_numpy().view(np.uint64), ready.column("cost").to_numpy())
-    sent.unpersist()
     return model
 
 

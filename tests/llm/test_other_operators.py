@@ -239,6 +239,29 @@ def test_base_scores(spark, monkeypatch):
     assert scores(docs(spark, [])).count() == 0 and scores(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_scores_rest_on_the_whole_tree(spark, monkeypatch):
+    from mediaspark.llm import ctw
+
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcd é", k=rng.randint(0, 40)))) for i in range(60)] + [(None, "abc"), (7, "dcba"), (61, None)]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    assert any(held(d) for d, _ in rows)
+    model = fit(docs(spark, [r for r in rows if not held(r[0])]).select("text"), 4)
+
+    def score(t):
+        data = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        return float(model.log10(runs(data, np.array([0, len(data)]), 4)[0]).sum())
+
+    expected = sorted((str(d), round(score(t), 3)) for d, t in rows)
+    # neither the contexts held in memory nor the runs that are sent bound the result
+    for contexts, sent in ((64, 1 << 20), (64, 16), (64, 0)):
+        monkeypatch.setattr(ctw, "CONTEXTS", contexts)
+        monkeypatch.setattr(ctw, "RUNS", sent, raising=False)
+        got = sorted((str(r.doc_id), round(r.score, 3)) for r in scores(docs(spark, rows), depth=4).collect())
+        assert [g[0] for g in got] == [e[0] for e in expected]
+        assert [g[1] for g in got] == pytest.approx([e[1] for e in expected], abs=2e-3)
+
+
 def test_token_files(spark):
     vocabulary = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     from tokenizers import Tokenizer

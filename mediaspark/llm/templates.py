@@ -6,7 +6,10 @@ case.  Windows of neighbouring template tokens are hashed and joined; a
 document window that meets a benchmark window also shows which value stands in
 each slot.  A question whose numbers or names were changed matches in the same
 windows, with slots that change consistently: within one alignment every value
-of the item is replaced by one and the same value.
+of the item is replaced by one and the same value.  An alignment is a shift
+between places of the item and of the document; those with inconsistent slots
+don't count, and shifts add up only where each lies within an item's length of
+the next.
 
 A benchmark window counts if it has at least ``constants`` ordinary words.
 Items shorter than a window are one window of their own length; items with
@@ -17,6 +20,7 @@ nothing.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaspark.llm.common import let, stored
@@ -73,21 +77,29 @@ def _window_hashes(template: Column, sizes: list[int]) -> Column:
     return F.array(*[of(n) for n in sizes])
 
 
+def _clean(token: Column) -> Column:
+    """A raw token without the sentence's end before it, in lower case."""
+    return F.lower(F.regexp_replace(token, _HEAD, ""))
+
+
 def _plain(tokens: Column) -> Column:
     """How many tokens are no placeholders."""
     return F.size(F.filter(tokens, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
 
 
 def benchmark_windows(items: DataFrame, window: int, constants: int, text: str, key: str) -> DataFrame:
-    """One row per window of a distinct template: hash, size, tpl (the smallest
-    item of the template), pos, n_windows, raw, mask (which tokens are slots)."""
+    """One row per window of a distinct item: hash, size, tpl (the smallest item
+    of the template), variant (the smallest item with the same values in the
+    slots, too), pos, n_windows, raw, mask (which tokens are slots)."""
     shaped = items.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), canonical(F.col(text)).alias("c")).select("item", "c.*")
-    shaped = shaped.groupBy("template").agg(F.min("item").alias("tpl"), F.min_by("raw", "item").alias("raw"))
+    shaped = shaped.groupBy("template", F.transform("raw", _clean).alias("raw")).agg(F.min("item").alias("variant"))
+    smallest = shaped.groupBy("template").agg(F.min("variant").alias("tpl"))
+    shaped = shaped.join(smallest, "template")
     size = F.least(F.size("template"), F.lit(window))
     places = F.transform(F.sequence(F.lit(1), F.size("template") - size + 1), lambda i: F.struct((i - 1).alias("pos"), F.slice("template", i, size).alias("part"), F.slice("raw", i, size).alias("raw")))
-    rows = shaped.where(F.size("template") > 0).select("tpl", size.alias("size"), F.filter(places, lambda p: _plain(p["part"]) >= constants).alias("places"))
-    rows = rows.select("tpl", "size", F.size("places").alias("n_windows"), F.explode("places").alias("p"))
-    return rows.select(F.xxhash64("p.part").alias("hash"), "size", "tpl", "p.pos", "n_windows", F.col("p.raw").alias("raw"), F.transform("p.part", lambda t: t.isin(NUMBER, NAME, UNIT)).alias("mask"))
+    rows = shaped.where(F.size("template") > 0).select("tpl", "variant", size.alias("size"), F.filter(places, lambda p: _plain(p["part"]) >= constants).alias("places"))
+    rows = rows.select("tpl", "variant", "size", F.size("places").alias("n_windows"), F.explode("places").alias("p"))
+    return rows.select(F.xxhash64("p.part").alias("hash"), "size", "tpl", "variant", "p.pos", "n_windows", F.col("p.raw").alias("raw"), F.transform("p.part", lambda t: t.isin(NUMBER, NAME, UNIT)).alias("mask"))
 
 
 def contaminated(
@@ -98,7 +110,8 @@ def contaminated(
     reparameterised.
 
     A document is contaminated by an item if at least ``coverage`` of the
-    item's windows occur in it and the slots are consistent.  ``items`` lists
+    item's windows occur in it, in consistent alignments that neighbour each
+    other.  ``items`` lists
     the smallest item of each template, ``coverage`` is the largest share,
     ``reparameterised`` says that every match has changed slots.  Null and empty
     texts match nothing; rows without a key are left out on both sides; rows
@@ -119,20 +132,28 @@ def contaminated(
         cut = cut.withColumn("_raw", F.slice("_raw", F.col("_at") + 1, F.col("size")))
         met = cut.join(known.hint("merge"), ["hash", "size"])
         values = F.col("_raw")
-    clean = lambda t: F.lower(F.regexp_replace(t, _HEAD, ""))
-    pairs = F.transform(F.arrays_zip(F.col("raw").alias("i"), values.alias("d"), F.col("mask").alias("m")), lambda z: F.struct((F.col("_at") - F.col("pos")).alias("shift"), clean(z["i"]).alias("was"), clean(z["d"]).alias("now"), z["m"].alias("m")))
-    slots = F.transform(F.filter(pairs, lambda p: p["m"]), lambda p: F.struct(p["shift"].alias("shift"), p["was"].alias("was"), p["now"].alias("now")))
-    met = met.select("_id", "tpl", "n_windows", "pos", slots.alias("slots"))
-    # per document and item: as many windows as the item has, and their slots
-    per = met.groupBy("_id", "tpl", "n_windows", "pos").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    per = per.groupBy("_id", "tpl", "n_windows").agg(F.count("*").alias("hits"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    sources = F.array_distinct(F.transform("slots", lambda s: F.struct(s["shift"].alias("shift"), s["was"].alias("was"))))
-    steady = F.size(sources) == F.size("slots")
-    per = per.where((F.col("hits") >= F.lit(coverage) * F.col("n_windows")) & steady)
+    shift = (F.col("_at") - F.col("pos")).alias("shift")
+    # ``raw`` of the benchmark is clean already
+    pairs = F.transform(F.arrays_zip(F.col("raw").alias("i"), values.alias("d"), F.col("mask").alias("m")), lambda z: F.struct(z["i"].alias("was"), _clean(z["d"]).alias("now"), z["m"].alias("m")))
+    slots = F.transform(F.filter(pairs, lambda p: p["m"]), lambda p: F.struct(p["was"].alias("was"), p["now"].alias("now")))
+    met = met.select("_id", "tpl", "variant", "n_windows", "size", "pos", shift, slots.alias("slots"))
+    # per document, item and alignment: the windows and their slots
+    item = ["_id", "tpl", "variant", "n_windows", "size"]
+    per = met.groupBy(*item, "shift").agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    steady = F.size(F.array_distinct(F.transform("slots", lambda s: s["was"]))) == F.size("slots")
+    per = per.where(steady)
+    # neighbouring shifts hold one copy with words added or left out
+    reach = F.col("n_windows") + F.col("size")
+    near = W.partitionBy("_id", "variant").orderBy("shift")
+    per = per.withColumn("last", F.lag("shift").over(near))
+    per = per.withColumn("copy", F.sum(F.when(F.col("shift") - F.col("last") <= reach, 0).otherwise(1)).over(near))
+    per = per.groupBy(*item, "copy").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    per = per.where(F.col("hits") >= F.lit(coverage) * F.col("n_windows"))
     changed = F.exists("slots", lambda s: s["was"] != s["now"])
+    per = per.groupBy("_id", "tpl", "n_windows").agg(F.max("hits").alias("hits"), F.min(changed).alias("changed"))
     out = per.groupBy("_id").agg(
         F.sort_array(F.collect_set("tpl")).alias("items"), F.sum("hits").alias("n_windows"),
-        F.max(F.col("hits") / F.col("n_windows")).alias("coverage"), F.min(changed).alias("reparameterised"),
+        F.max(F.col("hits") / F.col("n_windows")).alias("coverage"), F.min("changed").alias("reparameterised"),
     )
     return out.withColumnRenamed("_id", key)
 

@@ -206,6 +206,24 @@ def test_slots_must_be_consistent(spark):
     assert set(got) == {1} and got[1].reparameterised
 
 
+def test_alignments_are_judged_apart(spark):
+    twice = "the small garden holds 4 old wooden benches and then 4 tall green trees stand behind the white house there in the warm light of summer"
+    other = twice.replace("holds 4", "holds 6")
+    items = spark.createDataFrame([(1, twice), (2, other)], "item_id long, text string")
+    filler = " clean words that have no part in anything at all" * 8
+    words = twice.split(" ")
+    rows = [
+        (1, twice + filler + " " + twice.replace("holds 4", "holds 5")),  # a copy and elsewhere one whose slots are inconsistent
+        (2, other),  # a copy of the second item of a template
+        (3, filler.join(" " + " ".join(words[i : i + 8]) for i in range(len(words) - 7))),  # windows far apart
+        (4, " ".join(words[:13]) + " as all know " + " ".join(words[13:])),  # one copy with words added
+    ]
+    got = {r.doc_id: r for r in contaminated(docs(spark, rows), items).collect()}
+    assert set(got) == {1, 2, 4}
+    assert not got[1].reparameterised and not got[2].reparameterised and got[2]["items"] == [1]
+    assert got[2].n_windows == 19 and got[2].coverage == 1
+
+
 def test_templates_without_broadcast(spark, monkeypatch):
     from mediaspark.llm import templates
 

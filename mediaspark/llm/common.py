@@ -23,6 +23,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str):
+    """(file system, path in it) as Arrow reads and writes it in tasks."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once below the checkpoint folder and read back."""
     path = shared_path(df.sparkSession, label)

@@ -39,6 +39,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the bitmap of known hashes: 8 MB, whatever the input.
+SLOTS = 1 << 26
+
+
+def told_apart(rows: DataFrame, value: Column, known: DataFrame, known_value: Column) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose value surely is none of the known ones, all others).
+
+    Values are hashes (bigint).  The known ones are set in a bitmap of fixed
+    size, which is broadcast; so rows can be left in place where a join would
+    shuffle them all, and only the others need the join.
+    """
+    slot = lambda v: F.pmod(v, F.lit(SLOTS)) + 1
+    place = lambda v: (F.bitmap_bucket_number(slot(v)).alias("told_bucket"), F.bitmap_bit_position(slot(v)).alias("told_bit"))
+    bits = known.select(*place(known_value)).groupBy("told_bucket").agg(F.bitmap_construct_agg("told_bit").alias("told_bits"))
+    bucket, bit = place(value)
+    # at most SLOTS / 32768 rows of 4 KB
+    marked = rows.withColumns({"told_bucket": bucket, "told_bit": bit}).join(F.broadcast(stored(bits, "bits")), "told_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(told_bits, int(told_bit div 8) + 1, 1)")), 16, 10).cast("int")
+    marked = marked.withColumn("told", F.coalesce(F.getbit(byte, (F.col("told_bit") % 8).cast("int")) == 1, F.lit(False)))
+    extra = ("told_bucket", "told_bit", "told_bits", "told")
+    return marked.where("not told").drop(*extra), marked.where("told").drop(*extra)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -6,8 +6,7 @@ other table.  Of rows with equal payloads the one with the smallest key is a
 ``response``, the others are ``revisit`` records without a payload.  Digests
 find the groups.  What is known about them comes back to the rows in two steps,
 so that payloads without a copy are never shuffled: a bitmap of hashed digests
-(8 MB at most, whatever the input) tells rows that surely have none, and only
-the others are joined.
+of fixed size tells rows that surely have none, and only the others are joined.
 
 Reading.  Files are cut into blocks that tasks scan for the version line of a
 record, which may also stand inside a payload.  Every such place is a candidate
@@ -28,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import file_system, let, shared_path, stored
+from mediaspark.llm.common import file_system, let, shared_path, stored, told_apart
 
-#: Bytes of a file that a task scans at a time, and slots of the digests' bitmap.
-BLOCK, SLOTS = 4 << 20, 1 << 26
+#: Bytes of a file that a task scans at a time.
+BLOCK = 4 << 20
 
 # fixed values of the format
 VERSION, END, TRAILER = "WARC/1.1", "\r\n", "\r\n\r\n"
@@ -65,18 +64,11 @@ def _typed(rows: DataFrame, minimum: int) -> DataFrame:
     """Adds copied (a payload that occurs again) and first (the smallest key
     that has it)."""
     copies = _copies(rows, minimum)
-    slot = lambda digest: F.pmod(F.xxhash64(digest), F.lit(SLOTS)) + 1
-    bits = copies.groupBy(F.bitmap_bucket_number(slot(F.col("digest"))).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(F.col("digest")))).alias("_bits"))
     keyed = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    keyed = keyed.withColumns({"_bucket": F.bitmap_bucket_number(slot(F.col("digest"))), "_bit": F.bitmap_bit_position(slot(F.col("digest")))})
-    # at most SLOTS / 32768 rows of 4 KB
-    keyed = keyed.join(F.broadcast(stored(bits, "bits")), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
-    asked = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
-    keyed = keyed.withColumn("_asked", asked).drop("_bucket", "_bit", "_bits")
-    single = keyed.where("not _asked").withColumns({"first": F.lit(None).cast(rows.schema["id"].dataType), "copied": F.lit(False)})
-    joined = keyed.where("_asked").join(copies.hint("merge").withColumn("copied", F.lit(True)), "digest", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
-    return single.unionByName(joined).drop("_asked", "digest")
+    single, perhaps = told_apart(keyed, F.xxhash64("digest"), copies, F.xxhash64("digest"))
+    single = single.withColumns({"first": F.lit(None).cast(rows.schema["id"].dataType), "copied": F.lit(False)})
+    joined = perhaps.join(copies.hint("merge").withColumn("copied", F.lit(True)), "digest", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    return single.unionByName(joined).drop("digest")
 
 
 def _record(rows: DataFrame, date: str) -> Column:

@@ -81,8 +81,7 @@ def test_similarity_components(spark, n, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows, n, percent)
 
 
-def test_similarity_by_shuffles_only(spark, monkeypatch):
-    monkeypatch.setattr(parity_join, "BROADCAST_ROWS", -1)
+def test_similarity_in_small_sub_groups(spark, monkeypatch):
     monkeypatch.setattr(parity_join, "SUBGROUP", 4)
     monkeypatch.setattr(parity_join, "NEIGHBOURS", 1)
     rows = _family(random.Random(6), 40, 100, 6, 0)
@@ -90,6 +89,33 @@ def test_similarity_by_shuffles_only(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_a_large_group_of_copies_near_the_threshold(spark, monkeypatch, percent):
+    monkeypatch.setattr(parity_join, "SUBGROUP", 8)
+    rng = random.Random(percent)
+    base = [f"b{i}" for i in range(90)]
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = []
+    for i in range(120):  # each differs from the base in some places, from most others in more than the threshold allows
+        w = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 2, 3, 4])):
+            w[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, f"{shared} " + " ".join(f"p{i}q{j}" for j in range(rng.choice([4, 20, 200])))) for i in range(60)]
+    rows += [(300 + i, rows[i % 7][1]) for i in range(50)]
+    got = similarity_components(docs(spark, rows), words=3, percent=percent)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows, 3, percent)
+
+
+def test_one_of_each_tells_texts_of_one_key_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    frame = docs(spark, [(1, a), (1, b), (2, a + " end"), (3, b), (None, a), (4, ""), (4, a + " more"), (5, "  ")])
+    frame = frame.selectExpr("doc_id", "text", "lang as row_mark", "size as c0", "id as mark", "sig as first")
+    left = one_of_each(frame)
+    assert left.columns == frame.columns
+    assert sorted(map(tuple, left.select("doc_id", "text", "row_mark", "c0").collect())) == [(1, a, "en", "x"), (1, b, "en", "x"), (4, "", "en", "x"), (5, "  ", "en", "x")]
+
+
 def test_one_of_each(spark):
     long = " ".join(f"w{i}" for i in range(60))
     frame = docs(spark, [(5, long), (3, long + " end"), (9, "other words in here all the time"), (9, "other words in here all the time"), (1, None), (2, "")])

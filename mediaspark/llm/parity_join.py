@@ -163,7 +163,7 @@ def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k
 
 
 #: Members of a sub-group, and how many of those before it a member is compared with.
-SUBGROUP, NEIGHBOURS = 64, 4
+SUBGROUP, NEIGHBOURS = 64, 2
 
 
 def _band(part: str = "part"):

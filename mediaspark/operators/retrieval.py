@@ -1,21 +1,26 @@
 """Keyword retrieval: the best few catalogue entries of every source for a
 phrase, ranked by rarity-weighted overlap, first-indexed entry first on ties.
 
-A plain inverted-index join would pair every phrase holding a common token
-with every entry holding it.  Instead the entries are looked up per *token
-set*, not per phrase: the best entries of a phrase are, by rising weight, the
-first entries (in index order) that hold a subset of its tokens, so it is
-enough to know the first ``per_page`` entries of each distinct subset.  A set
-is looked up through its rarest token only (for common tokens first in the head
-of the list), and each task keeps at most ``per_page`` entries per set before
-anything is shuffled.
+Phrases with equal tokens are one token set.  Entries never travel to the sets
+they share a token with.  Each task cuts its entries into blocks and turns a
+block into postings (block, token, its entries).  The weight of a set's tokens
+that a block holds bounds what any of its entries can reach, so a block is read
+for a set only if that bound, or its first entry on a tie, can still beat the
+page that the set has.  Blocks are visited in rounds, early entries first and
+more blocks each time; sets whose page is full of the best possible entries end
+after the first.  What is read of a block are the postings of the wanted
+tokens, and one task scores a bounded number of sets against one block and
+keeps a page of each.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaspark import config as C
@@ -24,13 +29,13 @@ from mediaspark.functions.text import normal_tokens, overlap_tokens
 from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import salted_join, top_per_group
 
-# Phrases of up to this many tokens (search phrases have two to four words)
-# are looked up by subset; longer ones go through the plain index join.
-SUBSET_TOKENS = 6
-# A token held by more entries than this is common; of its list the first
-# HEAD_ENTRIES of every source are tried before the rest.
-LONG_LIST = 20_000
-HEAD_ENTRIES = 64
+# Entries that form a block.
+BLOCK_ENTRIES = 4096
+# Blocks that are open to every set in the first round, and by how much a round
+# reaches further than the one before.
+FIRST_BLOCKS, FURTHER = 16, 8
+# Sets that a task scores against a block.
+SETS_PER_TASK = 20_000
 
 
 def word_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -56,100 +61,122 @@ def weighted_tokens(phrases: DataFrame, phrase: str, weights: DataFrame) -> Data
     return joined.groupBy(phrase).agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("weighted"))
 
 
-def entry_tokens(catalogue: DataFrame, text: str = "text") -> DataFrame:
-    return catalogue.withColumn("tokens", overlap_tokens(text))
+def posting_blocks(entries: DataFrame) -> DataFrame:
+    """(block, token, entries, sources): for every block of entries the sorted
+    entries of each token, and under no token all of them with their sources.
 
-
-def _subsets(phrases: DataFrame) -> DataFrame:
-    """(query, total, set_key, set_weight, members) for every non-empty subset."""
-    parts = phrases.withColumn("total", total_weight("weighted")).withColumn(
-        "_members",
-        F.explode(
-            F.expr(
-                "transform(sequence(1, shiftleft(1, size(weighted)) - 1), m -> "
-                "filter(weighted, (t, i) -> (shiftright(m, i) & 1) = 1))"
-            )
-        ),
-    )
-    return parts.select(
-        "query", "total",
-        F.array_join(F.transform("_members", lambda s: s["token"]), " ").alias("set_key"),
-        total_weight("_members").alias("set_weight"),
-        F.col("_members").alias("members"),
-    )
-
-
-def _holds_all(tokens: str, need: str, most: int) -> Column:
-    """Whether an array holds all of up to ``most`` values; spelled out, as a
-    plain array_contains is compiled and a lambda is not."""
-    tests = [(F.size(need) <= i) | F.array_contains(F.col(tokens), F.get(F.col(need), F.lit(i))) for i in range(most)]
-    return reduce(lambda a, b: a & b, tests)
-
-
-def _verified(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rows (set_key, need, source, entry) whose entry holds the whole set."""
-    kept = rows.join(entries.select("entry", "tokens"), "entry").where(_holds_all("tokens", "need", SUBSET_TOKENS))
-    return kept.select("set_key", "source", "entry")
-
-
-def _set_heads(sets: DataFrame, postings: DataFrame, entries: DataFrame, per_page: int) -> DataFrame:
-    """First entries, per source, of every token set, looked up through the
-    rarest token of the set."""
-    distinct = sets.dropDuplicates(["set_key"]).select("set_key", "members")
-    wanted = distinct.select(
-        "set_key",
-        F.transform("members", lambda s: s["token"]).alias("need"),
-        F.array_max(F.transform("members", lambda s: F.struct(s["w"], s["token"])))["token"].alias("token"),
-    )
-    single = wanted.where(F.size("need") == 1).select("token")
-    heads = top_per_group(
-        salted_join(postings, single, ["token"], "left_semi", spread=["entry"]),
-        ["token", "source"], [F.col("entry")], per_page,
-    ).select(F.col("token").alias("set_key"), "source", "entry")
-    several = wanted.where(F.size("need") > 1)
-    # no list is longer than the catalogue
-    if entries.count() > LONG_LIST:
-        several = written(several, "sets")
-        anchors = salted_join(postings, several.select("token").distinct(), ["token"], "left_semi", spread=["entry"])
-        sizes = anchors.groupBy("token").agg(F.count("*").alias("n"))
-        long = written(sizes.where(F.col("n") > LONG_LIST).select("token"), "long")
-        if not long.isEmpty():
-            common = several.join(long, "token", "left_semi")
-            several = several.join(long, "token", "left_anti")
-            heads = heads.unionByName(_common_heads(common, long, postings, entries, per_page))
-    anchored = salted_join(postings, several, ["token"], spread=["entry"])
-    found = top_per_group(_verified(anchored, entries), ["set_key", "source"], [F.col("entry")], per_page)
-    return heads.unionByName(found.drop("rank"))
-
-
-def _common_heads(
-    common: DataFrame, long: DataFrame, postings: DataFrame, entries: DataFrame, per_page: int
-) -> DataFrame:
-    """Sets of common tokens only.  The head of the token's list settles most
-    of them, however many entries hold the token; only sets that are still
-    short of a page go through the rest of the list."""
-    depth = max(HEAD_ENTRIES, per_page)
-    lists = written(
-        top_per_group(
-            salted_join(postings, long, ["token"], "left_semi", spread=["entry"]),
-            ["token", "source"], [F.col("entry")], depth + 1, "place",
-        ),
-        "lists",
-    )
-    near = salted_join(lists.where(F.col("place") <= depth), common, ["token"], spread=["entry"])
-    heads = written(
-        top_per_group(_verified(near, entries), ["set_key", "source"], [F.col("entry")], per_page).drop("rank"), "heads"
-    )
-    longer = lists.where(F.col("place") > depth).select("token", "source", F.col("entry").alias("beyond"))
-    full = heads.groupBy("set_key", "source").agg(F.count("*").alias("n")).where(F.col("n") >= per_page)
-    short = written(
-        common.join(longer, "token").join(full.select("set_key", "source"), ["set_key", "source"], "left_anti"), "short"
-    )
-    if short.isEmpty():
-        return heads
-    rest = salted_join(postings, short, ["token", "source"], spread=["entry"]).where(F.col("entry") >= F.col("beyond"))
-    deep = top_per_group(_verified(rest, entries), ["set_key", "source"], [F.col("entry")], per_page).drop("rank")
-    return top_per_group(heads.unionByName(deep), ["set_key", "source"], [F.col("entry")], per_page).drop("rank")
+    ``entries``: entry, source, tokens.  Blocks are cut inside tasks, so that
+    no entry is moved.
+    """
+    kind = entries.schema["entry"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, made = TaskContext.get().partitionId() << 32, 0
+        rows: list[tuple] = []
+
+        def block() -> pa.RecordBatch:
+            rows.sort(key=lambda r: r[0])
+            lists: dict[str | None, list] = {None: [r[0] for r in rows]}
+            for entry, _, tokens in rows:
+                for token in tokens:
+                    lists.setdefault(token, []).append(entry)
+            n = len(lists)
+            names = [part + made] * n, lists.keys(), lists.values(), [[r[1] for r in rows], *[None] * (n - 1)]
+            return pa.RecordBatch.from_arrays([pa.array(names[0], pa.int64()), pa.array(names[1], pa.string()), pa.array(names[2]), pa.array(names[3], pa.list_(pa.string()))], names=["block", "token", "entries", "sources"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[2]:
+                    rows.append(row)
+                    if len(rows) >= BLOCK_ENTRIES:
+                        yield block()
+                        rows, made = [], made + 1
+        if rows:
+            yield block()
+
+    return entries.select("entry", "source", "tokens").mapInArrow(run, f"block bigint, token string, entries array<{kind}>, sources array<string>")
+
+
+def _scored(work: DataFrame, postings: DataFrame, per_page: int, kind: str) -> DataFrame:
+    """(set_key, source, entry, matched): a page of every set and source from
+    every block that the set is to read.  ``work``: set_key, weighted, block."""
+    busy = work.groupBy("block").agg(F.ceil(F.count("*") / SETS_PER_TASK).cast("bigint").alias("chunks"))
+    work = work.join(busy, "block").withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("chunks"))).drop("chunks")
+    wanted = work.select("block", "chunk", F.explode("weighted.token").alias("token")).distinct()
+    lists = wanted.join(postings.select("block", "token", "entries"), ["block", "token"]).withColumn("sources", F.lit(None).cast("array<string>"))
+    own = work.select("block", "chunk").distinct().join(postings.where("token is null"), "block")
+    lists = lists.unionByName(own).select(F.col("block").alias("of_block"), F.col("chunk").alias("of_chunk"), "token", "entries", "sources")
+
+    def score(sets: pa.Table, lists: pa.Table) -> pa.Table:
+        column = lambda c: lists.column(c).combine_chunks()
+        flat, at = column("entries").flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column("entries").value_lengths().to_numpy())])
+        held = {t: flat[at[i] : at[i + 1]] for i, t in enumerate(column("token").to_pylist())}
+        every = held.pop(None)
+        names, source_of = np.unique(column("sources").flatten().to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        weighted = sets.column("weighted").combine_chunks()
+        tokens, ws = weighted.flatten().field("token").to_pylist(), weighted.flatten().field("w").to_pylist()
+        ends = np.cumsum(weighted.value_lengths().to_numpy()).tolist()
+        set_of, found, sources, weights = [], [], [], []
+        for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            parts = [(held[t], w) for t, w in zip(tokens[a:b], ws[a:b], strict=True) if t in held]
+            # sums of a few integers far below 2^53, by place in the block
+            sums = np.zeros(len(every), dtype=np.int64)
+            for entries, w in parts:
+                sums[np.searchsorted(every, entries)] += w
+            hit = np.flatnonzero(sums)
+            order = hit[np.lexsort((hit, -sums[hit], source_of[hit]))]
+            of = source_of[order]
+            head = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
+            order = order[np.arange(len(of)) - np.repeat(head, np.diff(np.append(head, len(of)))) < per_page]
+            set_of.append(np.full(len(order), i))
+            found.append(every[order])
+            sources.append(source_of[order])
+            weights.append(sums[order])
+        return pa.table({
+            "set_key": sets.column("set_key").take(pa.array(np.concatenate(set_of))), "source": pa.array(names[np.concatenate(sources)], pa.string()),
+            "entry": np.concatenate(found), "matched": np.concatenate(weights),
+        })
+
+    grouped = work.groupBy("block", "chunk").cogroup(lists.groupBy("of_block", "of_chunk"))
+    return grouped.applyInArrow(score, f"set_key string, source string, entry {kind}, matched bigint")
+
+
+def set_pages(sets: DataFrame, entries: DataFrame, per_page: int) -> DataFrame:
+    """(set_key, source, entry, matched): the ``per_page`` best entries of every
+    token set and source, of those that hold any of its tokens.
+
+    ``sets``: set_key, weighted (array of token and positive weight), one row
+    per set.
+    """
+    kind = entries.schema["entry"].dataType.simpleString()
+    postings = written(posting_blocks(entries), "postings")
+    owned = postings.where("token is null").select("block", F.explode(F.arrays_zip("entries", "sources")).alias("e"))
+    lows = written(owned.groupBy("block", F.col("e.sources").alias("source")).agg(F.min("e.entries").alias("low")), "lows")
+    # one row per block: some thousandth of the entries
+    blocks = lows.groupBy("block").agg(F.min("low").alias("low"))
+    blocks = written(blocks.withColumn("nth", F.row_number().over(W.orderBy("low", "block"))).select("block", "nth"), "blocks")
+    last = blocks.agg(F.max("nth")).first()[0] or 0
+    tokens = sets.select("set_key", F.explode("weighted").alias("t")).select("set_key", "t.token", "t.w")
+    best, start, end = None, 0, FIRST_BLOCKS
+    while start < last:
+        reach = blocks.where((F.col("nth") > start) & (F.col("nth") <= end)).select("block")
+        open_blocks = postings.select("block", "token").join(reach, "block", "left_semi")
+        asked = salted_join(open_blocks, tokens, ["token"], spread=["block"])
+        asked = asked.groupBy("set_key", "block").agg(F.sum("w").alias("bound"))
+        if best is not None:
+            worst = F.max(F.struct((-F.col("matched")).alias("m"), F.col("entry").alias("e"))).alias("worst")
+            full = best.groupBy("set_key", "source").agg(worst, F.count("*").alias("n")).where(F.col("n") == per_page)
+            beats = (F.col("bound") > -F.col("worst.m")) | ((F.col("bound") == -F.col("worst.m")) & (F.col("low") < F.col("worst.e")))
+            asked = asked.join(lows, "block").join(full, ["set_key", "source"], "left").where(F.col("worst").isNull() | beats)
+            asked = asked.select("set_key", "block").distinct()
+        work = written(asked.select("set_key", "block").join(sets, "set_key"), "work")
+        found = _scored(work, postings, per_page, kind)
+        both = found if best is None else best.unionByName(found)
+        best = written(top_per_group(both, ["set_key", "source"], [F.desc("matched"), F.col("entry")], per_page).drop("rank"), "pages")
+        start, end = end, end * FURTHER
+    return best if best is not None else entries.sparkSession.createDataFrame([], f"set_key string, source string, entry {kind}, matched bigint")
 
 
 def retrieve(
@@ -157,7 +184,7 @@ def retrieve(
     catalogue: DataFrame,
     weights: DataFrame,
     per_page: int = C.PER_PAGE,
-    sources: tuple[str, ...] = C.PROVIDERS_DEFAULT,
+    sources: tuple[str, ...] | None = C.PROVIDERS_DEFAULT,
     fill: bool = True,
     entry: str = "doc_id",
     text: str = "text",
@@ -167,38 +194,34 @@ def retrieve(
     ``phrases`` has a column ``query``; ``catalogue`` has ``source``, an index
     order ``entry`` (unique) and ``text``.  Result: query, source, pos
     (1..per_page), entry, matched and total weight.  With ``fill`` entries
-    without any overlap take the free places, in index order.
+    without any overlap take the free places, in index order; ``sources`` are
+    those that are filled, None all of the catalogue's.
     """
-    weighted = written(weighted_tokens(phrases.select("query"), "query", weights), "phrases")
+    weighted = written(
+        weighted_tokens(phrases.select("query"), "query", weights).select(
+            "query", "weighted", F.array_join("weighted.token", " ").alias("set_key"), total_weight("weighted").alias("total")
+        ),
+        "phrases",
+    )
     entries = written(
         catalogue.select(F.col(entry).alias("entry"), "source", overlap_tokens(text).alias("tokens")), "entries"
     )
-    postings = entries.select("entry", "source", F.explode("tokens").alias("token"))
-
-    short = weighted.where(F.size("weighted") <= SUBSET_TOKENS)
-    sets = _subsets(short)
-    heads = _set_heads(sets, postings, entries, per_page)
-    columns = ["query", "source", "entry", "matched", "total"]
-    found = sets.select("query", "total", "set_key", F.col("set_weight").alias("matched")).join(heads, "set_key").select(*columns)
-
-    long = weighted.where(F.size("weighted") > SUBSET_TOKENS)
-    long = long.select("query", total_weight("weighted").alias("total"), F.explode("weighted").alias("t"))
-    long = long.select("query", "total", F.col("t.token").alias("token"), F.col("t.w").alias("w"))
-    by_index = (
-        salted_join(postings, long, ["token"], spread=["entry"])
-        .groupBy("query", "total", "source", "entry")
-        .agg(F.sum("w").alias("matched"))
-    )
-    by_index = top_per_group(by_index, ["query", "source"], [F.desc("matched"), F.col("entry")], per_page)
-    found = found.unionByName(by_index.select(*columns))
+    pages = set_pages(weighted.dropDuplicates(["set_key"]).select("set_key", "weighted"), entries, per_page)
+    found = weighted.select("query", "set_key", "total").join(pages, "set_key").select("query", "source", "entry", "matched", "total")
 
     if fill:
         # at most per_page entries per source
         first = top_per_group(entries.select("source", "entry"), ["source"], [F.col("entry")], per_page).drop("rank")
+        if sources is None:
+            named = first.agg(F.collect_set("source").alias("sources"))
+        else:
+            named = entries.sparkSession.range(1).select(F.array(*[F.lit(s) for s in sources]).alias("sources"))
         spare = (
             phrases.select("query").distinct()
-            .join(weighted.select("query", total_weight("weighted").alias("total")), "query", "left")
-            .withColumn("source", F.explode(F.array(*[F.lit(s) for s in sources])))
+            .join(weighted.select("query", "total"), "query", "left")
+            # one row: the names of all sources
+            .join(F.broadcast(named), F.lit(True))
+            .withColumn("source", F.explode("sources"))
             .join(first, "source")
             .select(
                 "query", "source", "entry", F.lit(0).cast("long").alias("matched"), F.coalesce("total", F.lit(0)).alias("total")
@@ -206,7 +229,7 @@ def retrieve(
         )
         found = found.unionByName(spare)
 
-    # one shuffle for both steps; a (query, source) group holds a page per subset
+    # one shuffle for both steps; a (query, source) group holds two pages
     placed = found.repartition("query", "source")
     best = placed.groupBy("query", "source", "entry").agg(F.max("matched").alias("matched"), F.max("total").alias("total"))
     ranked = top_per_group(best, ["query", "source"], [F.desc("matched"), F.col("entry")], per_page, "pos")

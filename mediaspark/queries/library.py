@@ -326,9 +326,7 @@ def library_retrieval(v: Views) -> DataFrame:
     folder, entries without a file skipped before the page is cut."""
     catalogue = v.library_index.join(v.files.select("name"), "name", "left_semi")
     catalogue = catalogue.select(F.col("folder").alias("source"), "doc_id", F.col("caption").alias("text"))
-    # the folders that a user has set up, a handful of names
-    folders = tuple(r["folder"] for r in v.library_index.select("folder").distinct().orderBy("folder").collect())
-    found = retrieval.retrieve(retrieval.clip_phrases(v.clips), catalogue, search.weights(v), sources=folders)
+    found = retrieval.retrieve(retrieval.clip_phrases(v.clips), catalogue, search.weights(v), sources=None)
     return found.select("query", F.col("source").alias("folder"), "pos", F.col("entry").alias("doc_id"), "matched")
 
 

@@ -36,21 +36,22 @@ def brute_retrieve(phrases, entries, weight, per_page, sources):
     return out
 
 
-@pytest.mark.parametrize("limit, head, long", [(6, 64, 10**6), (2, 64, 10**6), (6, 3, 20), (6, 40, 60)])
-def test_retrieval_equals_brute_force(spark, monkeypatch, limit, head, long):
-    """One token is in nearly every entry; with the low limit most phrases
-    take the index join instead of the subset look-up, and with the low bound
-    on lists common tokens go through their heads first."""
-    monkeypatch.setattr(retrieval, "SUBSET_TOKENS", limit)
-    monkeypatch.setattr(retrieval, "HEAD_ENTRIES", head)
-    monkeypatch.setattr(retrieval, "LONG_LIST", long)
+@pytest.mark.parametrize("block, first, sets, ordered", [(4096, 16, 20_000, True), (7, 1, 3, True), (7, 1, 3, False), (1, 2, 5, False)])
+def test_retrieval_equals_brute_force(spark, monkeypatch, block, first, sets, ordered):
+    """One token is in nearly every entry; small blocks take several rounds,
+    and of rows in any order the blocks' ranges of entries overlap."""
+    monkeypatch.setattr(retrieval, "BLOCK_ENTRIES", block)
+    monkeypatch.setattr(retrieval, "FIRST_BLOCKS", first)
+    monkeypatch.setattr(retrieval, "SETS_PER_TASK", sets)
     rng = random.Random(3)
     sources = ("a", "b", "c")
     entries = [
         (i, rng.choice(sources), " ".join({"w0"} | set(rng.sample(WORDS, rng.randrange(0, 5))) if rng.random() < 0.8
                                           else set(rng.sample(WORDS, 2)))) for i in range(200)
     ]
-    phrases = [" ".join(rng.sample(WORDS, rng.randrange(1, 5))) for _ in range(40)] + ["w0", "w0", "none here"]
+    if not ordered:
+        rng.shuffle(entries)
+    phrases = [" ".join(rng.sample(WORDS, rng.randrange(1, 5))) for _ in range(40)] + ["w0", "w0", "none here", " ".join(WORDS)]
     weight = {w: 10 + 7 * i for i, w in enumerate(WORDS)} | {"none": 10**9, "here": 10**9}
     weights = spark.createDataFrame([(w, n) for w, n in weight.items()], "token string, weight bigint")
     got = retrieval.retrieve(
@@ -62,6 +63,30 @@ def test_retrieval_equals_brute_force(spark, monkeypatch, limit, head, long):
     )
 
 
+def test_full_pages_open_no_further_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_ENTRIES", 10)
+    monkeypatch.setattr(retrieval, "FIRST_BLOCKS", 1)
+    read = []
+    scored = retrieval._scored
+    monkeypatch.setattr(retrieval, "_scored", lambda work, *rest: read.append(work.count()) or scored(work, *rest))
+    entries = spark.createDataFrame([(i, "a", ["w0", "w1"] if i < 990 else ["w0", "w2"]) for i in range(1000)], "entry bigint, source string, tokens array<string>").coalesce(1)
+    sets = spark.createDataFrame([("w0", [("w0", 5)]), ("w0 w1", [("w0", 5), ("w1", 9)]), ("w0 w2", [("w0", 5), ("w2", 8)])], "set_key string, weighted array<struct<token:string,w:bigint>>")
+    pages = retrieval.set_pages(sets, entries, 3).collect()
+    assert sorted((r["set_key"], r["entry"], r["matched"]) for r in pages) == sorted(
+        [("w0", i, 5) for i in range(3)] + [("w0 w1", i, 14) for i in range(3)] + [("w0 w2", 990 + i, 13) for i in range(3)]
+    )
+    # the first block for all three, then the one block that can beat a page
+    assert read[0] == 3 and sum(read[1:]) == 1
+
+
+def test_retrieval_fills_all_sources_of_the_catalogue(spark):
+    weights = spark.createDataFrame([("word", 3)], "token string, weight bigint")
+    catalogue = spark.createDataFrame([(1, "x", "word"), (2, "y", "other"), (3, "y", "word word")], "doc_id bigint, source string, text string")
+    got = retrieval.retrieve(spark.createDataFrame([("word",)], "query string"), catalogue, weights, 5, None).collect()
+    assert sorted((r["source"], r["pos"], r["entry"], r["matched"]) for r in got) == [("x", 1, 1, 3), ("y", 1, 3, 3), ("y", 2, 2, 0)]
+    assert retrieval.retrieve(spark.createDataFrame([], "query string"), catalogue.where("false"), weights, 5, None).collect() == []
+
+
 # --- tiers ---------------------------------------------------------------------
 
 def candidate_rows(spark, rows):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaspark.functions.text import caption_slug
@@ -57,43 +58,93 @@ def split_captions(described: DataFrame, caption: str = "caption") -> tuple[Data
     return described.where(F.col(caption).isNotNull()), described.where(F.col(caption).isNull())
 
 
+_LINE = ["folder", "slug", "ext"]
+_NUMBERED = r"^(.*)_([2-9]|[1-9][0-9]+)$"
+
+
 def unique_names(
     files: DataFrame, taken: DataFrame | None = None, caption: str = "caption", order: str = "name"
 ) -> DataFrame:
     """Adds ``new_name``: caption slug plus extension, with _2, _3, ... where
-    the name is taken in its folder.
-
-    ``files``: folder, ext, a caption and an ordering name; ``taken``: folder,
-    new_name of names already in use.  A slug that half the library shares
-    (blank captions) is ranked over many tasks.
+    the name is taken in its folder, by a file that is there already or that
+    comes earlier in ``order``.
+
+    ``files``: folder, ext, a caption and an ordering name that is unique in
+    its folder; ``taken``: folder, new_name of names already in use.
+
+    The names of one slug are a line of numbered slots, and the k-th file of a
+    line takes its k-th free slot.  A slug that is itself another's numbered
+    name (``road_2``) claims a slot of that line with its first file, and gets
+    it unless the line's own files came so far before; then its own first slot
+    is lost.  Whether a claim holds depends on the claims of lower slots only,
+    so claims are settled in rounds over all lines at once until none changes.
+    A slug that half the library shares is ranked over many tasks.
     """
-    key = ["folder", "slug", "ext"]
     named = files.withColumn("slug", caption_slug(caption)).drop(caption)
-    ranked = group_rank(named, key, [order], "_k")
-    number = F.col("_k")
-    if taken is not None:
-        stem = F.regexp_extract("new_name", r"^(.*)(\.[^.]*)$", 1)
-        used = taken.select("folder", stem.alias("_stem"), F.regexp_extract("new_name", r"^(.*)(\.[^.]*)$", 2).alias("ext"))
-        tail = F.regexp_extract("_stem", r"_(\d+)$", 1).try_cast("long")
-        plain = used.select("folder", F.col("_stem").alias("slug"), "ext", F.lit(1).cast("long").alias("_o"))
-        numbered = used.where(tail >= 2).select(
-            "folder", F.regexp_replace("_stem", r"_\d+$", "").alias("slug"), "ext", tail.alias("_o")
-        )
-        slots = plain.unionByName(numbered).distinct()
-        slots = group_rank(slots, key, ["_o"], "_j")
-        # the k-th new file takes the k-th free number: k plus the taken
-        # numbers that have fewer than k free ones below them
-        marks = slots.select(*key, (F.col("_o") - F.col("_j")).alias("_k"), F.lit(1).alias("_mark"))
-        mixed = ranked.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-        mixed = block_scan(
-            mixed, key, "_k", {"_taken": ("sum", F.col("_mark"))}, order=("_mark",)
-        )
-        ranked = mixed.where(F.col("_mark") == 0)
-        number = F.col("_k") + F.col("_taken")
+    ranked = group_rank(named, _LINE, [order], "_k")
+    if taken is None:
+        taken = files.sparkSession.createDataFrame([], "folder string, new_name string")
+    ranked = written(ranked, "ranked")
+    static = written(_taken_slots(taken), "taken")
+    slots = written(static.unionByName(_settled_claims(ranked, static, order)).distinct(), "slots")
+    # the k-th file takes the k-th free number: k plus the taken numbers that
+    # have fewer than k free ones below them
+    slots = group_rank(slots, _LINE, ["_o"], "_j")
+    marks = slots.select(*_LINE, (F.col("_o") - F.col("_j")).alias("_k"), F.lit(1).alias("_mark"))
+    mixed = ranked.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    mixed = block_scan(mixed, _LINE, "_k", {"_taken": ("sum", F.col("_mark"))}, order=("_mark",))
+    number = F.col("_k") + F.col("_taken")
     name = F.when(number == 1, F.concat("slug", "ext")).otherwise(
         F.concat("slug", F.lit("_"), number.cast("string"), "ext")
     )
-    return ranked.withColumn("new_name", name).drop("_k", "_mark", "_taken")
+    return mixed.where(F.col("_mark") == 0).withColumn("new_name", name).drop("_k", "_mark", "_taken")
+
+
+def _taken_slots(taken: DataFrame) -> DataFrame:
+    """(line, _o): the slots that names in use take, each in its own line and,
+    if numbered, in that of the name before the number."""
+    stem, ext = (F.regexp_extract("new_name", r"^(.*)(\.[^.]*)$", i) for i in (1, 2))
+    used = taken.select("folder", stem.alias("stem"), ext.alias("ext"))
+    plain = used.select("folder", F.col("stem").alias("slug"), "ext", F.lit(1).cast("long").alias("_o"))
+    tail = F.regexp_extract("stem", _NUMBERED, 2)
+    numbered = used.where(tail != "").select(
+        "folder", F.regexp_extract("stem", _NUMBERED, 1).alias("slug"), "ext", tail.try_cast("long").alias("_o")
+    )
+    return plain.unionByName(numbered.where("_o is not null")).distinct()
+
+
+def _settled_claims(ranked: DataFrame, static: DataFrame, order: str) -> DataFrame:
+    """(line, _o): the slots that first files of other slugs claim, and the
+    first slots that such slugs lose."""
+    lines = written(ranked.groupBy(*_LINE).agg(F.min(order).alias("_first")), "lines")
+    tail = F.regexp_extract("slug", _NUMBERED, 2)
+    claims = lines.where(tail != "").select(
+        "folder", F.regexp_extract("slug", _NUMBERED, 1).alias("_of"), "ext", tail.try_cast("long").alias("_o"), "slug", "_first"
+    )
+    # a claim matters where the other line has files, and a slot that is taken anyway needs none
+    claims = claims.join(lines.select("folder", F.col("slug").alias("_of"), "ext"), ["folder", "_of", "ext"], "left_semi")
+    parents = static.withColumnRenamed("slug", "_of")
+    claims = claims.join(parents, ["folder", "_of", "ext", "_o"], "left_anti")
+    # taken slots below each claimed one
+    parent = ["folder", "_of", "ext"]
+    both = claims.withColumn("_mark", F.lit(0)).unionByName(parents.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
+    below = F.sum("_mark").over(W.partitionBy(*parent).orderBy("_o", "_mark").rowsBetween(W.unboundedPreceding, -1))
+    claims = both.withColumn("_below", F.coalesce(below, F.lit(0))).where("_mark = 0").drop("_mark")
+    state = written(claims.withColumn("_holds", F.lit(True)), "claims")
+    while not state.isEmpty():
+        lost = state.where("not _holds").select("folder", F.col("slug").alias("_of"), "ext", F.lit(1).alias("_lost"))
+        before = F.sum(F.col("_holds").cast("int")).over(W.partitionBy(*parent).orderBy("_o").rowsBetween(W.unboundedPreceding, -1))
+        asked = state.withColumn("_before", F.coalesce(before, F.lit(0))).join(lost, parent, "left")
+        asked = asked.withColumn("_nth", F.col("_o") - F.col("_below") - F.col("_before") - F.coalesce("_lost", F.lit(0)))
+        rival = ranked.select("folder", F.col("slug").alias("_of"), "ext", F.col("_k").cast("long").alias("_nth"), F.col(order).alias("_rival"))
+        judged = asked.join(rival, [*parent, "_nth"], "left").withColumn("_now", F.col("_rival").isNull() | (F.col("_first") < F.col("_rival")))
+        judged = written(judged.select(*parent, "_o", "slug", "_first", "_below", "_holds", "_now"), "claims")
+        changed = judged.where("_holds <> _now").limit(1).count()
+        state = judged.drop("_holds").withColumnRenamed("_now", "_holds")
+        if not changed:
+            break
+    held = state.where("_holds").select("folder", F.col("_of").alias("slug"), "ext", "_o")
+    return held.unionByName(state.where("not _holds").select("folder", "slug", "ext", F.lit(1).cast("long").alias("_o")))
 
 
 def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: int = 60) -> DataFrame:

@@ -155,6 +155,42 @@ def unique_names(v: Views) -> DataFrame:
     return dedup.unique_names(files).select("name", "new_name")
 
 
+# Short and numbered captions, so that slugs are each other's numbered names, and names that are in use already.
+O.CTES.update({
+    "captioned": """
+SELECT name, folder, substr(content, 1, 1) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || CAST(doc_id % 7 AS VARCHAR) END AS caption FROM files""",
+    "in_use": """
+SELECT DISTINCT folder, lower(substr(content, 1, 1)) || '_' || CAST(doc_id % 13 AS VARCHAR) || '.mp4' AS new_name FROM files
+WHERE doc_id % 5 = 0 AND regexp_full_match(substr(content, 1, 1), '[a-zA-Z]')""",
+    "captions_in_order": """
+SELECT folder, name, CASE WHEN stem = '' THEN 'clip' ELSE stem END AS slug, row_number() OVER (PARTITION BY folder ORDER BY name) AS i FROM (
+ SELECT name, folder, array_to_string(list_filter(string_split_regex(lower(regexp_replace(caption, '[^a-zA-Z0-9\\s_]', '', 'g')),
+  '[\\s_]+'), lambda w: w <> '')[1:6], '_') AS stem FROM captioned)""",
+})
+
+
+@register("unique_names_in_order", O.query("""
+SELECT folder, name, chosen AS new_name FROM (
+ WITH RECURSIVE walk AS (
+  SELECT folder, CAST(0 AS BIGINT) AS i, '' AS name, '' AS chosen, coalesce((SELECT list(u.new_name) FROM in_use u WHERE u.folder = f.folder), []) AS names
+  FROM (SELECT DISTINCT folder FROM files) f
+  UNION ALL
+  SELECT folder, i, name, chosen, list_append(names, chosen) FROM (
+   SELECT c.folder, c.i, c.name, w.names, CASE WHEN NOT list_contains(w.names, c.slug || '.mp4') THEN c.slug || '.mp4' ELSE
+     c.slug || '_' || CAST(list_filter(range(2, len(w.names) + 3), lambda k: NOT list_contains(w.names, c.slug || '_' || CAST(k AS VARCHAR) || '.mp4'))[1] AS VARCHAR) || '.mp4' END AS chosen
+   FROM walk w JOIN captions_in_order c ON c.folder = w.folder AND c.i = w.i + 1))
+ SELECT * FROM walk) WHERE name <> ''"""))
+def unique_names_in_order(v: Views) -> DataFrame:
+    """Names of files with short and numbered captions, next to names in use."""
+    first = F.substring("content", 1, 1)
+    number = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), (F.col("doc_id") % 7).cast("string")))
+    files = v.files.select("name", "folder", F.lit(".mp4").alias("ext"), F.concat(first, number).alias("caption"))
+    in_use = v.files.where((F.col("doc_id") % 5 == 0) & first.rlike("^[a-zA-Z]$")).select(
+        "folder", F.concat(F.lower(first), F.lit("_"), (F.col("doc_id") % 13).cast("string"), F.lit(".mp4")).alias("new_name")
+    ).distinct()
+    return dedup.unique_names(files, in_use).select("folder", "name", "new_name")
+
+
 @register("caption_split", O.query("""
 SELECT d.name, d.caption IS NOT NULL AS usable FROM (
  SELECT f.name, i.caption FROM files f LEFT JOIN library_index i ON f.name = i.name) d"""))

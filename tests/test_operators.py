@@ -253,6 +253,33 @@ def test_unique_names_with_taken_slots(spark):
     assert [got[("f", f"n{i}")] for i in range(6)] == expected and got[("g", "n9")] == "clip.mp4"
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_unique_names_are_those_of_a_walk(spark, seed):
+    """Slugs that are each other's numbered names, several levels deep."""
+    rng = random.Random(seed)
+    captions = ["road", "road 2", "road 3", "road 2 2", "road 2 3", "road 3 2 2", "road 02", "road 1", "2", "road 12", "???"]
+    files = [(rng.choice("fg"), ".mp4", f"n{i:03}", rng.choice(captions)) for i in range(160)]
+    taken = sorted({(rng.choice("fg"), rng.choice(["road.mp4", "road_4.mp4", "road_2_3.mp4", "road_9.mp4", "2_2.mp4", "x.mp4"])) for _ in range(5)})
+    want, names = {}, set(taken)
+    for folder, ext, name, caption in sorted(files, key=lambda f: f[2]):
+        slug = "clip" if caption == "???" else caption.replace(" ", "_")
+        new, k = slug + ext, 2
+        while (folder, new) in names:
+            new, k = f"{slug}_{k}{ext}", k + 1
+        names.add((folder, new))
+        want[folder, name] = new
+    frame = spark.createDataFrame(files, "folder string, ext string, name string, caption string")
+    got = dedup.unique_names(frame, spark.createDataFrame(taken, "folder string, new_name string")).collect()
+    assert {(r["folder"], r["name"]): r["new_name"] for r in got} == want and len(got) == len(files)
+
+
+def test_unique_names_of_a_literal_second(spark):
+    rows = [("f", ".mp4", "a", "road"), ("f", ".mp4", "b", "road"), ("f", ".mp4", "c", "road 2")]
+    frame = spark.createDataFrame(rows, "folder string, ext string, name string, caption string")
+    assert [r["new_name"] for r in dedup.unique_names(frame).orderBy("name").collect()] == ["road.mp4", "road_2.mp4", "road_2_2.mp4"]
+    assert dedup.unique_names(frame.where("false")).collect() == []
+
+
 def test_lookup_and_upsert(spark):
     records = spark.createDataFrame([("r1", "pexels", "7", ""), ("r2", "", "", "ff"), ("r3", "pexels", "", "")],
                                     "id string, source string, source_id string, fingerprint string")

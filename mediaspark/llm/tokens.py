@@ -66,8 +66,10 @@ class Encoder:
         if len(known) + 2 * len(new) > REMEMBERED:
             known.clear()
             new = set(parts)
-        stops = {p for p in new if p[-1:] in (".", ",") and p[:-1].isalpha()}
-        words = [p for p in {p[:-1] for p in stops} | {p for p in new if p.isalpha()} if p not in known]
+        # a lower case of more signs than letters may end in a mark, which the tokenizer keeps with what follows
+        plain = lambda p: p.isalpha() and p.lower().isalpha()
+        stops = {p for p in new if p[-1:] in (".", ",") and plain(p[:-1])}
+        words = [p for p in {p[:-1] for p in stops} | {p for p in new if plain(p)} if p not in known]
         if words:
             ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
@@ -246,4 +248,6 @@ def token_files(docs: DataFrame, vocabulary: str, text: str = "text", key: str =
     """
     folder = shared_path(docs.sparkSession, "tokens")
     index = write_sequences(docs, vocabulary, folder, text, key, **options)
-    return read_documents(index, folder).where("masked = n_tokens").select(F.col("id").alias(key), "start", "n_tokens", "ids_crc32")
+    read = read_documents(index, folder)
+    broken = F.raise_error(F.concat(F.lit("the mask of a sequence is wrong from token "), F.col("start").cast("string"))).cast("bigint")
+    return read.select(F.col("id").alias(key), "start", F.when(F.col("masked") == F.col("n_tokens"), F.col("n_tokens")).otherwise(broken).alias("n_tokens"), "ids_crc32")

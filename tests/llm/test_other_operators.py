@@ -404,3 +404,23 @@ def test_pipeline_stages(spark):
     for r in frames[-1].collect():
         sizes[r.shard] += r.size
     assert max(sizes.values()) <= max(Counter({t: (len(t.encode()) + 16) * mix.count(d) for d, t in texts.items()}).values()) + sum(sizes.values()) / 40 + 1
+
+
+def test_encoder_agrees_with_the_tokenizer_on_odd_letters():
+    """Letters whose lower case is longer, final sigmas, combining marks, wide
+    and joined letters, behind and before stops."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mediaspark.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encode = Tokenizer.from_file(path), tokens.Encoder(path, "uint16")
+    rng = random.Random(12)
+    signs = ["İ", "I", "ı", "Σ", "ς", "ß", "ẞ", "\u0307", "\u0301", "é", "Ａ", "ｂ", "ﬁ", "ǅ", "Ω", "日", "ا", "1", "-", "'", "’", "𝔄", "a", "b", "C", "th", "er"]
+    word = lambda: "".join(rng.choice(signs) for _ in range(rng.randint(1, 5))) + rng.choice(["", "", ".", ",", ".,", "!"])
+    texts = ["cİ,", "DENİZLİ,", "cİ.", "İ", "x\u0307,"]
+    texts += [rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randint(1, 8))) for _ in range(10_000)]
+    want = model.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want, strict=True) if encode(t).tolist() != w.ids]
+    assert wrong == []

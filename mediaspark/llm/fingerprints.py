@@ -1,7 +1,9 @@
 """Document fingerprints by winnowing.
 
-A token is a run of at most 16 non-space code points, so that texts without
-spaces have tokens too.  Every ``k`` neighbouring tokens have a hash; of every
+A token is a word of at most 16 code points.  A longer run of non-space signs is
+cut behind signs of a fixed set (after 16 without one), and a letter of a script
+that doesn't set spaces is a token by itself; so tokens depend on what is near
+them, not on where a run began, in texts without spaces, too.  Every ``k`` neighbouring tokens have a hash; of every
 ``w`` neighbouring hashes the smallest is chosen, the rightmost of equal ones,
 and its hash and position are kept.  Any ``w + k - 1`` tokens that two texts
 have in common hold a common chosen hash.
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 
 from mediaspark.llm.common import let, stored
 
-TOKEN = r"[^\x20\x09-\x0D]{1,16}"
+_INK = r"[^\x20\x09-\x0D]"
+_LETTER = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+TOKEN = rf"{_LETTER}|(?<!{_INK}){_INK}{{1,16}}(?!{_INK})|{_INK}{{0,15}}?[aeiou02468.,;:/_=-]|{_INK}{{1,16}}"
 #: Positions are kept in the low 31 bits of a sort key.
 _POSITIONS = 2**31
 

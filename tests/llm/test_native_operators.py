@@ -8,10 +8,12 @@ import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import ODD, docs  # noqa: E402
 
+from mediaspark.llm import fingerprints  # noqa: E402
 from mediaspark.llm.fingerprints import edited_likeness  # noqa: E402
 from mediaspark.llm.minimax import minimax_shards  # noqa: E402
 from mediaspark.llm.pii import BASE, KINDS, personal_data  # noqa: E402
@@ -74,13 +76,34 @@ def test_shards_of_odd_rows(spark):
     assert minimax_shards(docs(spark, []), 3).count() == 0
 
 
+def _tokens(text):
+    """A plain walk: letters of scripts without spaces alone, words of up to 16
+    signs whole, longer runs cut behind signs of a set or after 16."""
+    import regex
+
+    alone = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+    out = []
+    for run in re.findall(r"[^\x20\x09-\x0D]+", text):
+        at = 0
+        while at < len(run):
+            if alone.match(run[at]):
+                size = 1
+            elif at == 0 and len(run) <= 16:
+                size = len(run)
+            else:
+                size = next((i + 1 for i, c in enumerate(run[at : at + 16]) if c in "aeiou02468.,;:/_=-"), len(run[at : at + 16]))
+            out.append(run[at : at + size])
+            at += size
+    return out
+
+
 def _winnow(text, k=3, w=4):
     import xxhash
 
     def signed(x):
         return x - 2**64 if x >= 2**63 else x
 
-    tokens = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
+    tokens = _tokens(text)
     if len(tokens) >= k:
         hashes = []
         for i in range(len(tokens) - k + 1):
@@ -232,3 +255,14 @@ def test_templates_without_broadcast(spark, monkeypatch):
     expected = sorted(contaminated(docs(spark, rows), items).collect())
     monkeypatch.setattr(templates, "BROADCAST_WINDOWS", 0)
     assert sorted(contaminated(docs(spark, rows), items).collect()) == expected
+
+
+@pytest.mark.parametrize("kind", ["han", "mixed", "letters", "digits"])
+def test_texts_without_spaces_keep_their_marks_when_shifted(spark, kind):
+    rng = random.Random(kind)
+    signs = {"han": [chr(0x4E00 + i) for i in range(900)], "mixed": [chr(0x4E00 + i) for i in range(300)] + list("abcxyz，。"), "letters": list("abcdefghijklmnopqrstuvwxyz"), "digits": list("0123456789abcdef")}[kind]
+    text = "".join(rng.choice(signs) for _ in range(2000))
+    rows = spark.createDataFrame([(text, rng.choice(signs) + text, text[:900] + signs[0] + text[900:])], "a string, b string, c string")
+    sets = [fingerprints.hash_set(fingerprints.fingerprint(F.col(c))) for c in "abc"]
+    near = rows.select(fingerprints.likeness(sets[0], sets[1]).alias("front"), fingerprints.likeness(sets[0], sets[2]).alias("inside")).first()
+    assert near["front"] > 0.9 and near["inside"] > 0.9

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mediaspark.plans.materialise import written
+
 from mediaspark import config as C
 from mediaspark.functions.media import is_landscape
 
@@ -41,6 +43,35 @@ def verification_passes(score: Column | str, floor: float = C.VERIFICATION_FLOOR
     return F.coalesce(score >= floor, F.lit(True))
 
 
+def _in_turn(judged: DataFrame) -> DataFrame:
+    """Settles the edits without a problem as if taken in turn."""
+    row = ["project_id", "clip_number"]
+    asset = ["project_id", "new_source", "new_source_id"]
+    judged = written(judged, "edits")
+    done = judged.where(F.col("problem").isNotNull())
+    left = open_edits = judged.where(F.col("problem").isNull())
+    won = left.limit(0)
+    turn = F.struct("clip_number", "alternate_index")
+    while not left.isEmpty():
+        # two small sorts of edits; the first one left of a project is always accepted
+        marked = left.withColumn("_row_first", F.min("alternate_index").over(W.partitionBy(*row)))
+        marked = marked.withColumn("_asset_first", F.min(turn).over(W.partitionBy(*asset)))
+        wins = (F.col("alternate_index") == F.col("_row_first")) & (turn == F.col("_asset_first"))
+        marked = written(marked.withColumn("_wins", wins).drop("_row_first", "_asset_first"), "edits")
+        new = marked.where("_wins").drop("_wins")
+        rest = marked.where("not _wins").drop("_wins").join(new.select(*row), row, "left_anti")
+        left = written(rest.join(new.select(*asset), asset, "left_anti"), "edits")
+        won = won.unionByName(new)
+    won = written(won, "edits")
+    lost = open_edits.join(won.select(*row, "alternate_index"), [*row, "alternate_index"], "left_anti")
+    lost = lost.join(won.select(*row, F.col("alternate_index").alias("_taken")), row, "left")
+    lost = lost.join(won.select(*asset, F.col("clip_number").alias("_by")), asset, "left")
+    edited = F.col("_taken") < F.col("alternate_index")
+    lost = lost.withColumn("problem", F.when(edited, F.lit("row already edited")).otherwise(F.lit("already used")))
+    lost = lost.withColumn("used_by", F.when(~F.coalesce(edited, F.lit(False)), F.col("_by"))).drop("_taken", "_by")
+    return done.unionByName(won).unionByName(lost)
+
+
 def swap_alternates(entries: DataFrame, alternates: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Applies editor swaps: (new timeline, rejected edits).
 
@@ -49,9 +80,13 @@ def swap_alternates(entries: DataFrame, alternates: DataFrame, edits: DataFrame)
     source_id, media_type, score.  An edit is rejected when its row or
     alternate does not exist, or when another row of the project shows that
     asset already.  An asset that an edit frees counts as used until the next
-    batch.
+    batch.  The others are taken as one after the other by clip and alternate:
+    a row is edited once and an asset taken once.  That order is kept by
+    rounds that accept the edits which are the first for their row and for
+    their asset, and reject what they block.
     """
     key = ["project_id", "clip_number"]
+    edits = edits.dropDuplicates([*key, "alternate_index"])
     # the asset as a whole: every column that both tables have
     asset = [c for c in alternates.columns if c in entries.columns and c not in key]
     chosen = edits.join(entries.select(*key, F.lit(True).alias("_row")), key, "left").join(
@@ -76,13 +111,7 @@ def swap_alternates(entries: DataFrame, alternates: DataFrame, edits: DataFrame)
         .when(other.isNotNull(), F.lit("already used"))
     )
     judged = chosen.withColumn("used_by", other).withColumn("problem", problem)
-    # of the edits of one batch that ask for the same asset the lowest clip gets it
-    rivals = W.partitionBy("project_id", "new_source", "new_source_id", F.col("problem").isNull())
-    first = F.min("clip_number").over(rivals)
-    late = F.col("problem").isNull() & (F.col("clip_number") != first)
-    judged = judged.withColumn("_late", late).withColumn("_first", first)
-    judged = judged.withColumn("used_by", F.when(F.col("_late"), F.col("_first")).otherwise(F.col("used_by")))
-    judged = judged.withColumn("problem", F.when(F.col("_late"), F.lit("already used")).otherwise(F.col("problem")))
+    judged = _in_turn(judged.drop("_row", "_low", "_high"))
     good = judged.where(F.col("problem").isNull()).select(
         *key, *[f"new_{c}" for c in asset],
         F.concat(F.lit("swapped to alternate "), F.col("alternate_index").cast("string"), F.lit(" ("),

@@ -421,3 +421,39 @@ def test_small_files_of_the_exact_shape_fit():
 
     sizes = {(640, 360): True, (1920, 1080): True, (640, 400): False, (480, 480): True, (0, 0): False, (320, 180): True}
     assert {s: _fits({"file_width": s[0], "file_height": s[1]}) for s in sizes} == sizes
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_edits_are_taken_in_turn(spark, seed):
+    """Several edits of one row and of one asset, as one after the other."""
+    rng = random.Random(seed)
+    rows = [(p, c, "s", f"own{c}", "video", False, "") for p in "ab" for c in range(12)]
+    alternates = [(p, c, i, "s", f"alt{rng.randrange(14)}" if rng.random() < 0.9 else f"own{rng.randrange(12)}", "video") for p in "ab" for c in range(12) for i in range(4)]
+    edits = [(rng.choice("ab"), rng.randrange(13), rng.randrange(5)) for _ in range(60)]
+    asset_of = {(p, c, i): (s, n) for p, c, i, s, n, _ in alternates}
+    shown = {(p, s, n): c for p, c, s, n, *_ in rows}
+    want, edited, taken = {}, set(), {}
+    for p, c, i in sorted(set(edits)):
+        asset = asset_of.get((p, c, i))
+        if c >= 12:
+            want[p, c, i] = "clip not found"
+        elif asset is None:
+            want[p, c, i] = "alternate out of range"
+        elif shown.get((p, *asset), c) != c:
+            want[p, c, i] = "already used"
+        elif (p, c) in edited:
+            want[p, c, i] = "row already edited"
+        elif (p, *asset) in taken:
+            want[p, c, i] = "already used"
+        else:
+            edited.add((p, c))
+            taken[p, *asset] = c
+    entries = spark.createDataFrame(rows, "project_id string, clip_number int, source string, source_id string, media_type string, placeholder boolean, note string")
+    merged, rejected = checks.swap_alternates(
+        entries, spark.createDataFrame(alternates, "project_id string, clip_number int, alternate_index int, source string, source_id string, media_type string"),
+        spark.createDataFrame(edits, "project_id string, clip_number int, alternate_index int"),
+    )
+    assert {(r["project_id"], r["clip_number"], r["alternate_index"]): r["problem"] for r in rejected.collect()} == want
+    got = merged.collect()
+    assert len(got) == len(rows)
+    assert {(r["project_id"], r["source"], r["source_id"]): r["clip_number"] for r in got if r["note"]} == taken

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from mediaspark.functions import scoring
 from mediaspark.functions.text import overlap_tokens, words
-from mediaspark.functions.timecode import code_pair, span_seconds
+from mediaspark.functions.timecode import code_pair
 from mediaspark.operators import align, captions, checks, reports, retrieval, timeline
-from mediaspark.operators import assign as greedy
-from mediaspark.operators import candidates as cand
 from mediaspark.plans.skew import block_scan
 from mediaspark.queries import oracle as O
 from mediaspark.queries import search, timing
@@ -18,37 +16,6 @@ from mediaspark.queries.registry import register
 from mediaspark.views import Views
 
 
-def assignment_input(v: Views) -> DataFrame:
-    """Beats with their candidates and the outcome of fetching each."""
-    rows = cand.usable(search.candidates(v)).withColumns({
-        "fetch_ok": F.col("doc_id") % 13 != 0,
-        "verify_score": F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") % 40 / 100.0),
-        "file_width": F.when(F.col("width") > 0, F.col("width")).otherwise(F.lit(1280)).cast("int"),
-        "file_height": F.when(F.col("height") > 0, F.col("height")).otherwise(F.lit(720)).cast("int"),
-        "file_seconds": F.col("duration"),
-    })
-    timed = timeline.pace_timing(v.clip_rows, longest=v.longest)
-    beats = timed.select(
-        "project_id", "clip_number", span_seconds("start", "end").alias("target_seconds"),
-        ((F.col("conv_id") + F.col("turn")) % 3 == 0).alias("generation_ok"),
-    )
-    return greedy.beat_rows(beats, rows)
-
-
-@register("assign_greedy")
-def assign_greedy(v: Views) -> DataFrame:
-    out = greedy.assign(assignment_input(v))
-    return out.select(
-        *[c for c in out.columns if c not in ("fetched", "alternates")],
-        F.array_join("fetched", ", ").alias("fetched"), F.array_join("alternates", ", ").alias("alternates"),
-    )
-
-
-@register("availability_sim")
-def availability_sim(v: Views) -> DataFrame:
-    return greedy.availability(assignment_input(v))
-
-
 def transcript(v: Views) -> DataFrame:
     """Spoken words of every project: the script with words left out and
     fillers put in."""

@@ -45,6 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from mediaspark.queries import (  # noqa: F401
+        assignment,
         catalogs,
         filters,
         library,

@@ -3,12 +3,15 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mediaspark.operators import align, assign, captions, checks, dedup, ranking, retrieval, similarity, tiers, timeline
 from mediaspark.operators.library import known_assets, upsert
+from mediaspark.queries.assignment import walk_sql
 
 
 def unit(rng, n, dim, clumps=6):
@@ -336,20 +339,48 @@ def make_beats(spark, rng, projects):
 
 
 @pytest.mark.parametrize("rules", [
-    assign.Rules(generation=False), assign.Rules(), assign.Rules(generation=False, limit=9), assign.Rules(cap=2, generation=False),
+    assign.Rules(generation=False), assign.Rules(), assign.Rules(generation=False, limit=9), assign.Rules(limit=5),
+    assign.Rules(cap=3, limit=20), assign.Rules(allow_duplicates=True, generation=False),
     assign.Rules(simulate=True, semantic_tier=False, generation=False),
 ])
-def test_long_projects_settle_to_the_walked_result(spark, rules):
-    beats = make_beats(spark, random.Random(21), [("hot", 30), ("a", 4), ("b", 2)])
-    walked = sorted(map(tuple, assign.assign(beats, rules).collect()), key=repr)
-    settled = sorted(map(tuple, assign.assign(beats, rules, group_clips=3).collect()), key=repr)
-    assert walked == settled
-    uses = {}
-    for row in assign.assign(beats, rules).collect():
-        for key in row["fetched"]:
-            uses[(row["project_id"], key)] = uses.get((row["project_id"], key), 0) + 1
+def test_rounds_of_conflicts_equal_beats_in_turn(spark, rules):
+    beats = make_beats(spark, random.Random(21), [("hot", 12), ("a", 3), ("b", 1)])
+    got = {(r["project_id"], r["clip_number"]): r for r in assign.assign(beats, rules).collect()}
+    lists = beats.toArrow().to_pylist()
+    verdicts = beats.select("project_id", "clip_number", F.explode("candidates").alias("c")).select(
+        "project_id", "clip_number", "c.*",
+        assign.verdict(F.col("c.fetch_ok"), F.col("c.file_width"), F.col("c.file_height"), F.lit(True), F.col("c.verify_score"),
+                       rules.verify_floor).alias("verdict"),
+        F.concat("c.source", F.lit(":"), "c.source_id").alias("asset"), F.col("c.file_seconds").alias("seconds"))
+    offers = verdicts.toArrow()  # noqa: F841
+    beat_list = pa.Table.from_pylist([  # noqa: F841
+        {"project_id": b["project_id"], "clip_number": b["clip_number"], "need": b["target_seconds"],
+         "can_generate": b["generation_ok"], "step": b["clip_number"]} for b in lists])
+    want = duckdb.sql(walk_sql(rules)).to_arrow_table().to_pylist()
+    assert len(want) == len(got) == 16
+    for w in want:
+        g = got[w["project_id"], w["clip_number"]]
+        assert (g["fetched"], g["downloads"]) == (w["fetched"], w["downloads"])
+        if rules.simulate:
+            assert (g["score"], g["n_candidates"]) == (w["best"], w["n"])
+            continue
+        assert g["tried"] == w["tried"]
+        shown = "ai_generated" if w["made"] else "real" if w["taken_up"] else "placeholder"
+        assert g["outcome"] == shown
+        if shown == "real":
+            assert f"{g['source']}:{g['source_id']}" == w["pick_asset"]
+        assert w["fill_asset"] == (f"{g['fill_source']}:{g['fill_source_id']}" if g["fill_source"] else None)
     if rules.limit is not None:
-        assert sum(r["downloads"] for r in assign.assign(beats, rules).where("project_id = 'hot'").collect()) <= rules.limit
+        assert sum(g["downloads"] for g in got.values() if g["project_id"] == "hot") <= rules.limit
+
+
+def test_beats_without_candidates_and_empty_input(spark):
+    beats = make_beats(spark, random.Random(2), [("p", 2)])
+    bare = beats.withColumn("candidates", F.when(F.col("clip_number") == 2, F.col("candidates")))
+    got = {r["clip_number"]: r for r in assign.assign(bare.withColumn("generation_ok", F.lit(None).cast("boolean"))).collect()}
+    assert got[1]["outcome"] == "placeholder" and got[1]["reason"] == assign.NOTHING and got[1]["generation_failed"]
+    assert got[1]["alternates"] == [] and got[1]["n_candidates"] == 0
+    assert assign.assign(beats.limit(0)).count() == 0
 
 
 def test_reuse_cap_holds_for_shown_assets(spark):
@@ -416,44 +447,14 @@ def test_two_edits_of_one_batch_for_one_asset(spark):
     assert {(r.clip_number, r.problem, r.used_by) for r in rejected.collect()} == {(2, "already used", 1), (3, "already used", 2), (7, "clip not found", None)}
 
 
-def test_small_files_of_the_exact_shape_fit():
-    from mediaspark.operators.assign import _fits
-
-    sizes = {(640, 360): True, (1920, 1080): True, (640, 400): False, (480, 480): True, (0, 0): False, (320, 180): True}
-    assert {s: _fits({"file_width": s[0], "file_height": s[1]}) for s in sizes} == sizes
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_edits_are_taken_in_turn(spark, seed):
-    """Several edits of one row and of one asset, as one after the other."""
-    rng = random.Random(seed)
-    rows = [(p, c, "s", f"own{c}", "video", False, "") for p in "ab" for c in range(12)]
-    alternates = [(p, c, i, "s", f"alt{rng.randrange(14)}" if rng.random() < 0.9 else f"own{rng.randrange(12)}", "video") for p in "ab" for c in range(12) for i in range(4)]
-    edits = [(rng.choice("ab"), rng.randrange(13), rng.randrange(5)) for _ in range(60)]
-    asset_of = {(p, c, i): (s, n) for p, c, i, s, n, _ in alternates}
-    shown = {(p, s, n): c for p, c, s, n, *_ in rows}
-    want, edited, taken = {}, set(), {}
-    for p, c, i in sorted(set(edits)):
-        asset = asset_of.get((p, c, i))
-        if c >= 12:
-            want[p, c, i] = "clip not found"
-        elif asset is None:
-            want[p, c, i] = "alternate out of range"
-        elif shown.get((p, *asset), c) != c:
-            want[p, c, i] = "already used"
-        elif (p, c) in edited:
-            want[p, c, i] = "row already edited"
-        elif (p, *asset) in taken:
-            want[p, c, i] = "already used"
-        else:
-            edited.add((p, c))
-            taken[p, *asset] = c
-    entries = spark.createDataFrame(rows, "project_id string, clip_number int, source string, source_id string, media_type string, placeholder boolean, note string")
-    merged, rejected = checks.swap_alternates(
-        entries, spark.createDataFrame(alternates, "project_id string, clip_number int, alternate_index int, source string, source_id string, media_type string"),
-        spark.createDataFrame(edits, "project_id string, clip_number int, alternate_index int"),
-    )
-    assert {(r["project_id"], r["clip_number"], r["alternate_index"]): r["problem"] for r in rejected.collect()} == want
-    got = merged.collect()
-    assert len(got) == len(rows)
-    assert {(r["project_id"], r["source"], r["source_id"]): r["clip_number"] for r in got if r["note"]} == taken
+def test_verdicts_of_files(spark):
+    cases = [
+        (True, 640, 360, None, None, assign.ACCEPTED), (True, 1920, 1080, False, 0.5, assign.ACCEPTED),
+        (True, 640, 400, None, None, assign.TOO_SMALL), (True, 480, 480, True, None, assign.ACCEPTED),
+        (True, 480, 480, False, None, assign.NO_FIT), (True, 0, 0, None, None, assign.TOO_SMALL),
+        (True, 320, 180, None, 0.19, assign.NO_MATCH), (False, 1920, 1080, True, 0.9, assign.NO_FILE),
+        (None, 1920, 1080, True, 0.9, assign.NO_FILE), (True, None, 700, True, 0.9, assign.TOO_SMALL),
+    ]
+    df = spark.createDataFrame(cases, "ok boolean, w int, h int, fit boolean, seen double, want string")
+    told = assign.verdict(F.col("ok"), F.col("w"), F.col("h"), F.col("fit"), F.col("seen"), 0.2)
+    assert [(r["want"], r["got"]) for r in df.select("want", told.alias("got")).collect() if r["want"] != r["got"]] == []

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +16,11 @@ from mediaspark.functions.text import PUNCTUATION_AND_DASHES, normal_tokens, wor
 from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import BLOCK, block_scan, by_key
 
-# Projects up to this many beats (and this many words for each) are walked in
-# one group.
+# Projects up to this many beats (and this many words for each) are matched in
+# one group; longer ones by rounds, with the same spans.
 GROUP_BEATS = 2000
 WORDS_PER_BEAT = 50
+SPAN = "project_id string, clip_number int, first_word int, end_word int, matched boolean"
 AUDIT = (
     "ratio double, script_words int, transcript_words int, "
     "mismatches array<struct<tag:string,i1:int,i2:int,j1:int,j2:int,script:string,transcript:string>>"
@@ -57,115 +58,143 @@ def script_audit(pairs: DataFrame, key: str = "project_id") -> DataFrame:
     )
 
 
-def order_share(wanted: list[str], window: list[str]) -> float:
-    """Share of the wanted tokens met in the window in their order."""
-    if not wanted:
-        return 0.0
-    at = hits = 0
-    for token in wanted:
-        if token in window[at:]:
-            at = window.index(token, at) + 1
-            hits += 1
-    return hits / len(wanted)
-
-
-def span_score(wanted: list[str], window: list[str]) -> float:
-    ratio = difflib.SequenceMatcher(a=wanted, b=window, autojunk=False).ratio()
-    return 0.7 * ratio + 0.3 * order_share(wanted, window)
-
-
-def span_length(tokens: list[str], naive: int, ahead: list[str]) -> tuple[int, bool]:
-    """Spoken words a beat takes of those ahead, and whether its text decided
-    (else it is the word count).  ``ahead`` holds one normal token per word,
-    blank where nothing is left of it."""
-    fallback = min(len(ahead), naive)
-    if not tokens:
-        return fallback, False
-    wanted = [t for t in tokens if t not in C.FILLER_WORDS]
-    best, length = 0.0, 0
-    for n in range(max(1, naive - C.ALIGN_SLACK), min(len(ahead), naive + C.ALIGN_SLACK + C.ALIGN_EXTRA) + 1):
-        score = span_score(wanted, [t for t in ahead[:n] if t])
-        if score > best:
-            best, length = score, n
-    return (length, True) if best >= C.ALIGN_ACCEPT else (fallback, False)
-
-
-SPAN = "project_id string, clip_number int, first_word int, end_word int, matched boolean"
-_SPAN = pa.schema([("project_id", pa.string()), ("clip_number", pa.int32()), ("first_word", pa.int32()),
-                   ("end_word", pa.int32()), ("matched", pa.bool_())])
-
-
-def _span_row(project: str, clip: int, cursor: int, tokens: list[str], naive: int, ahead: list[str]) -> dict:
-    n, matched = span_length(tokens, naive, ahead) if ahead else (0, False)
-    return {"project_id": project, "clip_number": clip, "first_word": cursor, "end_word": cursor + n, "matched": matched}
-
-
-def _walk(key, beats: pa.Table, words: pa.Table) -> pa.Table:
-    spoken = [w["token"] for w in sorted(words.to_pylist(), key=lambda w: w["word_idx"])]
-    cursor, rows = 0, []
-    for b in sorted(beats.to_pylist(), key=lambda b: b["clip_number"]):
-        reach = b["naive"] + C.ALIGN_SLACK + C.ALIGN_EXTRA
-        row = _span_row(b["project_id"], b["clip_number"], cursor, b["tokens"], b["naive"], spoken[cursor:cursor + reach])
-        cursor = row["end_word"]
-        rows.append(row)
-    return pa.Table.from_pylist(rows, schema=_SPAN)
-
-
-def _guess_batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        rows = []
-        for b in batch.to_pylist():
-            ahead = [w["token"] for w in sorted(b["ahead"] or [], key=lambda w: w["word_idx"])]
-            rows.append(_span_row(b["project_id"], b["clip_number"], b["cursor"], b["tokens"], b["naive"], ahead))
-        yield from pa.Table.from_pylist(rows, schema=_SPAN).to_batches()
-
+def in_order_shares(wanted: Sequence[str], heard: Sequence[str], lengths: Sequence[int]) -> list[float]:
+    """For each length, the share of the wanted tokens that its window holds
+    one after the other, each as early as it can be."""
+    places: dict[str, list[int]] = {token: [] for token in wanted}
+    for at, token in enumerate(heard):
+        if token in places:
+            places[token].append(at)
+    shares = []
+    for n in lengths:
+        past = met = 0
+        for token in wanted:
+            nth = bisect_left(places[token], past)
+            if nth < len(places[token]) and places[token][nth] < n:
+                past, met = places[token][nth] + 1, met + 1
+        shares.append(met / len(wanted) if len(wanted) else 0.0)
+    return shares
+
+
+def _best_ends(wanted: pd.Series, ahead: pd.Series, shortest: pd.Series, longest: pd.Series) -> pd.Series:
+    """Length of the best window of each row, 0 where none is good enough.
+
+    Windows are compared in the order of what they could reach at most (equal
+    tokens in any order), so most are never aligned.  Of equal ones the
+    shortest wins.
+    """
+    found = []
+    for tokens, words, low, high in zip(wanted, ahead, shortest, longest):
+        tokens, words, bounds = list(tokens), list(words), []
+        lengths = range(int(low), int(high) + 1)
+        for n, part in zip(lengths, in_order_shares(tokens, words, lengths)):
+            matcher = difflib.SequenceMatcher(a=tokens, b=[w for w in words[:n] if w], autojunk=False)
+            bounds.append((-(0.7 * matcher.quick_ratio() + 0.3 * part), n, part, matcher))
+        best = (-C.ALIGN_ACCEPT, 0)
+        for bound, n, part, matcher in sorted(bounds, key=lambda b: b[:2]):
+            if bound > best[0]:
+                break
+            value = (-(0.7 * matcher.ratio() + 0.3 * part), n)
+            if value[0] < best[0] or (value[0] == best[0] and (best[1] == 0 or n < best[1])):
+                best = value
+        found.append(best[1])
+    return pd.Series(found, dtype="int32")
+
+
+def _with_best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in frames:
+        found = _best_ends(rows["wanted"], rows["ahead"], rows["shortest"], rows["longest"])
+        out = rows[["project_id", "clip_number", "cursor", "naive"]]
+        yield out.assign(n_ahead=rows["ahead"].map(len), best=found.to_numpy())
+
+
+def _anchored(beats: DataFrame, words: DataFrame, longest: int, block: int) -> DataFrame:
+    """First guess of where every beat starts among the spoken words.
+
+    A token that a project's script and transcript both have exactly once is
+    an anchor of its beat; beats without one follow the last anchor by their
+    number of words.
+    """
+    script = beats.select("project_id", "clip_number", F.posexplode("tokens").alias("pos", "token"))
+    once = script.groupBy("project_id", "token").agg(
+        F.count("*").alias("n"), F.min("clip_number").alias("clip_number"), F.min("pos").alias("pos"))
+    heard = words.groupBy("project_id", "token").agg(F.count("*").alias("m"), F.min("word_idx").alias("word_idx"))
+    anchors = once.where("n = 1").join(heard.where("m = 1 and token <> ''"), ["project_id", "token"])
+    anchors = anchors.groupBy("project_id", "clip_number").agg(F.min(F.col("word_idx") - F.col("pos")).alias("anchor"))
+    laid = block_scan(beats.select("project_id", "clip_number", "naive"), ["project_id"], "clip_number",
+                      {"laid": ("sum", F.col("naive"))}, longest=longest, block=block)
+    laid = laid.join(anchors, ["project_id", "clip_number"], "left")
+    shift = F.when(F.col("anchor").isNotNull(), F.struct("clip_number", (F.col("anchor") - F.col("laid")).alias("by")))
+    laid = block_scan(laid.withColumn("shift", shift), ["project_id"], "clip_number", {"earlier": ("max", F.col("shift"))},
+                      longest=longest, block=block)
+    by = F.coalesce(F.col("shift")["by"], F.col("earlier")["by"], F.lit(0))
+    return laid.select("project_id", "clip_number", F.greatest(F.lit(0), F.col("laid") + by).cast("int").alias("cursor"))
+
+
+def _matched(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """Spans of beats from their ``cursor``."""
+    reach = F.col("naive") + (C.ALIGN_SLACK + C.ALIGN_EXTRA)
+    places = asked.select(
+        "project_id", "clip_number", F.explode(F.sequence(F.col("cursor"), F.col("cursor") + reach - 1)).alias("word_idx"))
+    ahead = places.join(words.select("project_id", "word_idx", "token"), ["project_id", "word_idx"])
+    # a group here is the reach of one beat
+    ahead = ahead.groupBy("project_id", "clip_number").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "token"))), lambda w: w["token"]).alias("ahead"))
+    rows = asked.join(ahead, ["project_id", "clip_number"], "left").withColumns({
+        "ahead": F.coalesce("ahead", F.array().cast("array<string>")),
+        "wanted": F.filter("tokens", lambda t: ~t.isin(*C.FILLER_WORDS)),
+        "shortest": F.greatest(F.lit(1), F.col("naive") - C.ALIGN_SLACK),
+    })
+    rows = rows.withColumn("longest", F.when(F.size("tokens") > 0, F.least(F.size("ahead"), reach)).otherwise(0))
+    rows = rows.select("project_id", "clip_number", "cursor", "naive", "wanted", "ahead", "shortest", "longest")
+    rows = rows.mapInPandas(_with_best, "project_id string, clip_number int, cursor int, naive int, n_ahead int, best int")
+    taken = F.when(F.col("best") > 0, F.col("best")).otherwise(F.least("n_ahead", "naive"))
+    return rows.select(
+        "project_id", "clip_number", F.col("cursor").alias("first_word"), (F.col("cursor") + taken).cast("int").alias("end_word"),
+        (F.col("best") > 0).alias("matched"))
+
+
+def _in_turn(beats: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """All beats of a project of bounded size, each from the end of the last."""
+    heard, at, ends = words.sort_values("word_idx")["token"].tolist(), 0, []
+    beats = beats.sort_values("clip_number")
+    for tokens, naive in zip(beats["tokens"], beats["naive"]):
+        ahead = heard[at:at + naive + C.ALIGN_SLACK + C.ALIGN_EXTRA]
+        wanted = [t for t in tokens if t not in C.FILLER_WORDS]
+        best = _best_ends([wanted], [ahead], [max(1, naive - C.ALIGN_SLACK)], [len(ahead) if len(tokens) else 0])[0]
+        ends.append((at, at + (best or min(len(ahead), naive)), best > 0))
+        at = ends[-1][1]
+    spans = pd.DataFrame(ends, columns=["first_word", "end_word", "matched"], index=beats.index)
+    return beats[["project_id", "clip_number"]].join(spans)
+
+
+def _settled(beats: DataFrame, words: DataFrame, block: int) -> DataFrame:
+    """Spans of the beats of long projects, by rounds.
+
+    All beats are matched side by side from a guess of where they start.  Then
+    a beat starts where the beat before it ends; only beats whose start moved
+    are matched again, until none moves.  The first beat starts right, and
+    each round settles at least the next one, so the spans at rest are those
+    of taking the beats in turn.
+    """
+    longest = beats.agg(F.max("clip_number")).first()[0] or 0
+    total = words.groupBy("project_id").agg((F.max("word_idx") + 1).alias("total"))
+    key = ["project_id", "clip_number"]
 
-def _settle(beats: DataFrame, words: DataFrame, block: int) -> DataFrame:
-    """Spans of long projects, by rounds.
+    def inside(starts: DataFrame) -> DataFrame:
+        ends = F.coalesce("total", F.lit(0))
+        return starts.join(total, "project_id", "left").withColumn("cursor", F.least("cursor", ends).cast("int")).drop("total")
 
-    Every beat is matched in parallel from a guess of where it starts (at
-    first the words of the beats before it); then the guesses become the
-    spans' own ends.  Content matching pulls a wrong guess back to the true
-    end, so the rounds end soon; the first beats are right from the start, and
-    the result at rest is the sequential one.
-    """
-    longest = beats.agg(F.max("clip_number")).first()[0]
-    total = words.groupBy("project_id").agg(F.max("word_idx").alias("_last"))
-    state = block_scan(beats, ["project_id"], "clip_number", {"cursor": ("sum", F.col("naive"))}, longest=longest, block=block)
-    seen = None
+    guess = inside(_anchored(beats, words, longest, block))
+    spans = written(_matched(beats.join(guess, key), words), "spans")
     while True:
-        state = state.join(total, "project_id", "left")
-        state = state.withColumn("cursor", F.least("cursor", F.coalesce("_last", F.lit(-1)) + 1).cast("int")).drop("_last")
-        wanted = state.select(
-            "project_id", "clip_number",
-            F.explode(F.sequence(
-                F.col("cursor"), F.col("cursor") + F.col("naive") + (C.ALIGN_SLACK + C.ALIGN_EXTRA - 1)
-            )).alias("word_idx"),
-        )
-        ahead = wanted.join(words.select("project_id", "word_idx", "token"), ["project_id", "word_idx"])
-        # a group here is the reach of one beat
-        ahead = ahead.groupBy("project_id", "clip_number").agg(
-            F.collect_list(F.struct("word_idx", "token")).alias("ahead")
-        )
-        asked = state.join(ahead, ["project_id", "clip_number"], "left")
-        spans = written(
-            asked.select("project_id", "clip_number", "cursor", "tokens", "naive", "ahead").mapInArrow(_guess_batches, SPAN),
-            "spans",
-        )
-        mark = spans.agg(
-            F.sum(F.xxhash64("project_id", "clip_number", "first_word", "end_word").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if mark == seen:
+        starts = block_scan(spans, ["project_id"], "clip_number", previous={"cursor": F.col("end_word")}, longest=longest, block=block)
+        starts = inside(starts.withColumn("cursor", F.coalesce("cursor", F.lit(0))))
+        moved = written(starts.where(F.col("cursor") != F.col("first_word")).select(*key, "cursor"), "moved")
+        if moved.isEmpty():
             return spans
-        seen = mark
-        ends = block_scan(
-            spans.select("project_id", "clip_number", "end_word"), ["project_id"], "clip_number",
-            previous={"cursor": F.col("end_word")}, longest=longest, block=block,
-        )
-        state = beats.join(
-            ends.select("project_id", "clip_number", F.coalesce("cursor", F.lit(0)).alias("cursor")),
-            ["project_id", "clip_number"],
-        )
+        again = _matched(beats.join(moved, key), words)
+        spans = written(spans.join(moved, key, "left_anti").unionByName(again), "spans")
 
 
 def transcript_spans(
@@ -180,32 +209,26 @@ def transcript_spans(
     """
     own = word_count(text)
     naive = F.when(own > 0, own).when(F.coalesce("word_count", F.lit(0)) > 0, F.col("word_count")).otherwise(F.lit(1))
-    asked = beats.select("project_id", "clip_number", normal_tokens(text).alias("tokens"), naive.cast("int").alias("naive"))
+    asked = beats.select(
+        "project_id", "clip_number", F.coalesce(normal_tokens(text), F.array().cast("array<string>")).alias("tokens"),
+        naive.cast("int").alias("naive"))
     asked = written(asked, "beats")
     spoken = words.select(
         "project_id", F.col("word_idx").cast("int").alias("word_idx"), "start", "end",
         F.lower(F.translate("text", PUNCTUATION_AND_DASHES, "")).alias("token"),
     )
     spoken = written(spoken, "words")
-    sizes = asked.groupBy("project_id").agg(F.count("*").alias("_n"))
-    spoken_sizes = spoken.groupBy("project_id").agg(F.count("*").alias("_n"))
-    long = sizes.where(F.col("_n") > group_beats).select("project_id").unionByName(
-        spoken_sizes.where(F.col("_n") > group_beats * WORDS_PER_BEAT).select("project_id")
-    )
-    long = written(long.distinct(), "long")
-    short_beats = asked.join(long, "project_id", "left_anti")
-    short_words = spoken.join(long, "project_id", "left_anti").join(
-        asked.select("project_id").distinct(), "project_id", "left_semi"
-    )
-    spans = (
-        by_key(short_beats, "project_id").groupBy("project_id")
-        .cogroup(by_key(short_words.select("project_id", "word_idx", "token"), "project_id").groupBy("project_id"))
-        .applyInArrow(_walk, SPAN)
-    )
+    sizes = asked.groupBy("project_id").agg(F.count("*").alias("beats")).join(
+        spoken.groupBy("project_id").agg(F.count("*").alias("words")), "project_id", "left")
+    large = (F.col("beats") > group_beats) | (F.coalesce("words", F.lit(0)) > group_beats * WORDS_PER_BEAT)
+    sizes = written(sizes.select("project_id", large.alias("large")), "sizes")
+    small, long = sizes.where("not large"), sizes.where("large")
+    of = lambda rows, which: rows.join(which.select("project_id"), "project_id", "left_semi")
+    heard = of(spoken, small).select("project_id", "word_idx", "token")
+    spans = by_key(of(asked, small), "project_id").groupBy("project_id").cogroup(
+        by_key(heard, "project_id").groupBy("project_id")).applyInPandas(_in_turn, SPAN)
     if not long.isEmpty():
-        spans = spans.unionByName(_settle(
-            asked.join(long, "project_id", "left_semi"), spoken.join(long, "project_id", "left_semi"), block
-        ))
+        spans = spans.unionByName(_settled(of(asked, long), of(spoken, long), block))
     times = spoken.select("project_id", "word_idx", "start", "end")
     first = times.select("project_id", F.col("word_idx").alias("first_word"), F.col("start").alias("span_start"))
     last = times.select("project_id", (F.col("word_idx") + 1).alias("end_word"), F.col("end").alias("span_end"))

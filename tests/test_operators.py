@@ -1,5 +1,6 @@
 """Operators against brute force on small skewed fixtures."""
 
+import difflib
 import math
 import random
 
@@ -393,7 +394,17 @@ def test_reuse_cap_holds_for_shown_assets(spark):
 
 # --- alignment ------------------------------------------------------------------
 
-def test_alignment_walk_and_rounds_agree(spark):
+def window_value(wanted, heard):
+    """The value of one window, by definition."""
+    kept = rest = list(heard)
+    met = 0
+    for token in wanted:
+        if token in rest:
+            met, rest = met + 1, rest[rest.index(token) + 1:]
+    return 0.7 * difflib.SequenceMatcher(a=wanted, b=kept, autojunk=False).ratio() + 0.3 * (met / len(wanted))
+
+
+def test_alignment_rounds_equal_beats_in_turn(spark):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(60)]
     beats, words = [], []
@@ -410,20 +421,40 @@ def test_alignment_walk_and_rounds_agree(spark):
         words += [(p, i, w + ",", i * 0.4, i * 0.4 + 0.3) for i, w in enumerate(said)]
     b = spark.createDataFrame(beats, "project_id string, clip_number int, script_beat string, word_count int")
     w = spark.createDataFrame(words, "project_id string, word_idx int, text string, start double, end double")
-    walked = sorted(map(tuple, align.transcript_spans(b, w).collect()), key=repr)
-    rounds = sorted(map(tuple, align.transcript_spans(b, w, group_beats=2).collect()), key=repr)
-    assert walked == rounds
-    spans = [r for r in align.transcript_spans(b, w).collect() if r["project_id"] == "hot"]
+    found = align.transcript_spans(b, w).collect()
+    rounds = align.transcript_spans(b, w, group_beats=2).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, rounds), key=repr)
+    for p in ("hot", "a"):
+        heard, at = [t.rstrip(",") for q, _, t, _, _ in words if q == p], 0
+        for row in sorted((r for r in found if r["project_id"] == p), key=lambda r: r["clip_number"]):
+            body = next(text.split() for q, clip, text, _ in beats if (q, clip) == (p, row["clip_number"]))
+            values = [(window_value(body, heard[at:at + n]), -n)
+                      for n in range(max(1, len(body) - 6), min(len(heard) - at, len(body) + 10) + 1)]
+            value, n = max(values, default=(0.0, 0))
+            end = at - n if value >= 0.55 else at + min(len(body), len(heard) - at)
+            assert (row["first_word"], row["end_word"], row["matched"]) == (at, end, value >= 0.55)
+            at = end
+    spans = [r for r in found if r["project_id"] == "hot"]
     assert sum(r["matched"] for r in spans) >= 20
     ordered = sorted(spans, key=lambda r: r["clip_number"])
     assert all(x["end_word"] == y["first_word"] for x, y in zip(ordered, ordered[1:]))
 
 
-def test_order_share_and_exact_span():
-    assert align.order_share(["a", "b", "c"], ["x", "a", "c", "b"]) == pytest.approx(2 / 3)
-    assert align.order_share([], ["a"]) == 0.0
-    assert align.span_length(["one", "two", "three"], 3, ["one", "two", "three", "four", "five"]) == (3, True)
-    assert align.span_length(["one", "two"], 2, ["x", "y", "z"]) == (2, False)
+def test_in_order_share_and_exact_span(spark):
+    assert align.in_order_shares(["a", "b", "c"], ["x", "a", "c", "b"], [1, 2, 4]) == pytest.approx([0.0, 1 / 3, 2 / 3])
+    assert align.in_order_shares([], ["a"], [1]) == [0.0]
+    assert align.in_order_shares(["a", "a"], ["a", "b", "a"], [2, 3]) == [0.5, 1.0]
+    beats = spark.createDataFrame([("p", 1, "One two three.", 0), ("q", 1, "one two", 0), ("r", 1, None, 0), ("s", 1, "gone", 2)],
+                                  "project_id string, clip_number int, script_beat string, word_count int")
+    said = [("p", i, t) for i, t in enumerate(["one", "two", "three", "four", "five"])]
+    said += [("q", i, t) for i, t in enumerate(["x", "y", "z"])] + [("r", 0, "x")]
+    words = spark.createDataFrame([(*w, 0.5 * w[1], 0.5 * w[1] + 0.4) for w in said],
+                                  "project_id string, word_idx int, text string, start double, end double")
+    spans = {r["project_id"]: r for r in align.transcript_spans(beats, words).collect()}
+    assert {p: (r["end_word"], r["matched"], r["exhausted"]) for p, r in spans.items()} == {
+        "p": (3, True, False), "q": (2, False, False), "r": (1, False, False), "s": (0, False, True)}
+    assert align.transcript_spans(beats.limit(0), words).count() == 0
+    assert align.transcript_spans(beats, words.limit(0)).where("exhausted").count() == 4
 
 
 def test_script_audit(spark):

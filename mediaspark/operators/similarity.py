@@ -1,34 +1,78 @@
 """Exact vector joins: near-duplicate pairs and nearest neighbours.
 
-Both cut the work into bounded blocks; a task multiplies two blocks and lets
-out only the rows that count, so no group is collected whole and no pair below
-the threshold leaves a task.
+Both rest on balls: a centre and the largest distance from it bound what any
+member can reach, so whole groups of vectors are passed over unread.  Only rows
+that count leave a task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark import config as C
 from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import by_key, top_per_group
 
+#: Rows of one side of a comparison in one task.
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
+#: Rows a leaf of the two-level index is meant to hold.
+LEAF_ROWS = 256
+#: First-level pivots; they and one radius for each are all that the driver sees.
+MAX_PIVOTS = 1024
+#: Second-level pivots of one cell.  A cell that holds more rows gets larger leaves, cut into blocks.
+MAX_LEAVES = 4096
+#: Rows of a cell that are placed by one call.
+PLACE_ROWS = 16_384
+#: Room for rounding in angles and scores.
+SLACK = 1e-6
+#: Bytes of the query vectors sent to the tasks at once.
+QUERY_BYTES = 32 << 20
+#: Items the first guess of every query's k-th best score is taken from.
+SEED_ITEMS = 2048
+#: Items of one ball inside a batch.
+BALL_ROWS = 128
+#: Queries multiplied with one ball at once.
+QUERY_ROWS = 4096
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
-    return np.vstack(values.to_numpy()) if len(values) else np.empty((0, 0))
+    return np.vstack(values.to_numpy()).astype(float) if len(values) else np.empty((0, 0))
 
 
-def _blocks(counts: DataFrame, rows: str, block_rows: int) -> DataFrame:
-    return counts.withColumn(rows, F.greatest(F.lit(1), F.ceil(F.col(rows) / block_rows)).cast("int"))
+def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ centres.T, -1.0, 1.0))
+
+
+def _one_way(home: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of two different groups exactly one visits the other; each visits half of the rest."""
+    return (home < target) ^ ((home + target) % 2 == 1)
+
+
+def _cut(rows: Column, size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / size)).cast("int")
+
+
+def _fresh(df: DataFrame) -> DataFrame:
+    """New column identities, for two sides that come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _beside_cell(rows: DataFrame, leaves: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """``step(rows, leaves)`` on the rows of each cell, cut into parts of bounded size,
+    next to the leaves of that cell."""
+    # one row per first-level pivot
+    parts = F.broadcast(rows.groupBy("cell").agg(_cut(F.count("*"), PLACE_ROWS).alias("parts")))
+    cut = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    copies = leaves.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    keys = ["cell", "part"]
+    cut, copies = by_key(_fresh(cut), *keys), by_key(_fresh(copies), *keys)
+    return cut.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(step, schema)
 
 
 def near_pairs(
@@ -36,60 +80,101 @@ def near_pairs(
     threshold: float = C.DUPLICATE_REPORT,
     block_rows: int = BLOCK_ROWS,
     pivots: int | None = None,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """All pairs of unit vectors with cosine >= ``threshold``: id_a < id_b,
-    score rounded to nine places.
+    score rounded to nine places.  Rows without id or vector are left out.
 
-    Exact.  Each vector lives in the cell of its nearest pivot and visits every
-    cell that could hold a partner: if angle(u, v) <= t then the angle of v to
-    u's pivot exceeds v's own nearest by at most 2 t.  With a strict threshold
-    few cells are visited; with a loose one the plan falls back to one cell,
-    cut into blocks.  A pair is reported in the home cell of its smaller id.
+    Exact, by one plan at every threshold and size.  A vector lives in the cell
+    of its nearest pivot, there in the leaf of its nearest second-level pivot;
+    pivots of both levels grow with the square root of the rows.  It visits a
+    cell, then a leaf, if a partner within angle t could live there: the angle v
+    has to the pivot is at most the ball's radius + t, and at most 2 t above the
+    smallest angle v has to any pivot of the level.  Of two leaves one visits
+    the other.  Where no ball can be passed over (loose thresholds on vectors
+    without clusters) the work is half of the grid of leaves.
     """
-    angle = math.acos(max(-1.0, min(1.0, threshold)))
-    if pivots is None:
-        pivots = 1
-        if 2 * angle < math.pi / 3:
-            pivots = max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(items.count() / block_rows))))
+    items = items.select("id", "vector").where("id is not null and vector is not null")
     id_type = dict(items.dtypes)["id"]
-    if pivots > 1:
-        # a fixed number of vectors, the same on every run
-        chosen = items.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
-        centres = np.array([row["vector"] for row in chosen], dtype=float)
-
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if batch.empty:
-                    continue
-                angles = np.arccos(np.clip(_matrix(batch["vector"]) @ centres.T, -1.0, 1.0))
-                home = angles.argmin(axis=1)
-                near = angles <= angles.min(axis=1, keepdims=True) + 2 * angle + 1e-6
-                at, cell = np.nonzero(near)
-                yield pd.DataFrame({
-                    "cell": cell.astype("int32"), "home": home[at] == cell,
-                    "id": batch["id"].to_numpy()[at], "vector": batch["vector"].to_numpy()[at],
-                })
-
-        placed = items.select("id", "vector").mapInPandas(place, f"cell int, home boolean, id {id_type}, vector array<double>")
-        placed = written(placed, "cells")
-    else:
-        placed = items.select(F.lit(0).alias("cell"), F.lit(True).alias("home"), "id", "vector")
-
-    counts = placed.groupBy("cell").agg(
-        F.sum(F.col("home").cast("int")).alias("homes"), F.count("*").alias("visitors")
+    reach = math.acos(max(-1.0, min(1.0, threshold - 1e-9))) + SLACK
+    if pivots is None:
+        pivots = max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(items.count() / leaf_rows))))
+    # a bounded number of vectors, the same on every run
+    chosen = items.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    if not chosen:
+        return items.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("score"))
+    centres = np.array([row["vector"] for row in chosen], dtype=float)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                angles = _angles(_matrix(batch["vector"]), centres)
+                yield pd.DataFrame({"cell": angles.argmin(axis=1).astype("int32"), "off": angles.min(axis=1),
+                                    "id": batch["id"], "vector": batch["vector"]})
+
+    row = f"id {id_type}, vector array<double>"
+    placed = written(items.mapInPandas(place, f"cell int, off double, {row}"), "cells")
+    # one row per first-level pivot
+    cells = placed.groupBy("cell").agg(
+        F.max("off").alias("radius"), F.least(_cut(F.count("*"), leaf_rows), F.lit(MAX_LEAVES)).alias("leaves")
+    ).collect()
+    radius = np.full(len(centres), -np.inf)
+    for c in cells:
+        radius[c["cell"]] = c["radius"]
+    wanted = F.broadcast(items.sparkSession.createDataFrame([(c["cell"], c["leaves"]) for c in cells], "cell int, leaves int"))
+    seeds = top_per_group(
+        placed.select("cell", "id", F.col("vector").alias("centre")), ["cell"], [F.xxhash64("id"), F.col("id")],
+        max(c["leaves"] for c in cells), "leaf",
+    ).join(wanted, "cell").where("leaf <= leaves").select("cell", "leaf", "centre")
+
+    def settle(rows: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        angles = _angles(_matrix(rows["vector"]), _matrix(leaves["centre"]))
+        return pd.DataFrame({"cell": rows["cell"], "leaf": leaves["leaf"].to_numpy()[angles.argmin(axis=1)],
+                             "off": angles.min(axis=1), "id": rows["id"], "vector": rows["vector"]})
+
+    settled = written(
+        _beside_cell(placed.drop("off"), seeds, settle, f"cell int, leaf int, off double, {row}"), "leaves"
+    )
+    balls = settled.groupBy("cell", "leaf").agg(F.max("off").alias("radius"), F.count("*").alias("homes"))
+    balls = written(balls.join(seeds, ["cell", "leaf"]), "balls")
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = np.arange(len(centres))
+        for batch in batches:
+            if batch.empty:
+                continue
+            angles, home = _angles(_matrix(batch["vector"]), centres), batch["cell"].to_numpy()[:, None]
+            near = (angles <= radius + reach) & (angles <= angles.min(axis=1, keepdims=True) + 2 * reach)
+            at, cell = np.nonzero((near & _one_way(home, numbers)) | (home == numbers))
+            guests = batch.iloc[at]
+            yield pd.DataFrame({"cell": cell.astype("int32"), "home": guests["cell"].to_numpy(), "leaf": guests["leaf"].to_numpy(),
+                                "id": guests["id"].to_numpy(), "vector": guests["vector"].to_numpy()})
+
+    def enter(rows: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        angles = _angles(_matrix(rows["vector"]), _matrix(leaves["centre"]))
+        near = (angles <= leaves["radius"].to_numpy() + reach) & (angles <= angles.min(axis=1, keepdims=True) + 2 * reach)
+        here = (rows["home"] == rows["cell"]).to_numpy()[:, None]
+        mine, leaf = rows["leaf"].to_numpy()[:, None], leaves["leaf"].to_numpy()
+        at, to = np.nonzero((near & (~here | _one_way(mine, leaf))) | (here & (mine == leaf)))
+        guests = rows.iloc[at]
+        return pd.DataFrame({"cell": guests["cell"].to_numpy(), "leaf": leaf[to], "own": (here & (mine == leaf))[at, to],
+                             "id": guests["id"].to_numpy(), "vector": guests["vector"].to_numpy()})
+
+    at_cells = written(settled.drop("off").mapInPandas(visit, f"cell int, home int, leaf int, {row}"), "visits")
+    guests = written(_beside_cell(at_cells, balls.drop("homes"), enter, f"cell int, leaf int, own boolean, {row}"), "guests")
+
+    # leaves grow with the rows, so this table is joined as the planner sees fit
+    grid = guests.groupBy("cell", "leaf").agg(_cut(F.count("*"), block_rows).alias("vbs")).join(
+        balls.select("cell", "leaf", _cut(F.col("homes"), block_rows).alias("hbs")), ["cell", "leaf"]
     )
-    # at most one row per pivot
-    counts = F.broadcast(_blocks(_blocks(counts, "homes", block_rows), "visitors", block_rows))
-    sized = placed.join(counts, "cell")
     number = F.xxhash64("id")
-    homes = sized.where("home").select(
-        "cell", F.pmod(number, F.col("homes")).cast("int").alias("hb"),
-        F.explode(F.sequence(F.lit(0), F.col("visitors") - 1)).alias("vb"), "id", "vector",
+    homes = settled.join(grid, ["cell", "leaf"]).select(
+        "cell", "leaf", F.pmod(number, F.col("hbs")).cast("int").alias("hb"),
+        F.explode(F.sequence(F.lit(0), F.col("vbs") - 1)).alias("vb"), "id", "vector",
     )
-    # fresh column names on the second side, as both come from one table
-    visitors = sized.select(
-        F.col("cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("hb"),
-        F.pmod(number, F.col("visitors")).cast("int").alias("vb"), F.col("id").alias("id"), F.col("vector").alias("vector"),
+    visitors = guests.join(grid, ["cell", "leaf"]).select(
+        "cell", "leaf", F.explode(F.sequence(F.lit(0), F.col("hbs") - 1)).alias("hb"),
+        F.pmod(number, F.col("vbs")).cast("int").alias("vb"), "own", "id", "vector",
     )
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -97,59 +182,116 @@ def near_pairs(
             return pd.DataFrame({"id_a": left["id"][:0], "id_b": left["id"][:0], "score": pd.Series(dtype="float64")})
         scores = np.round(_matrix(left["vector"]) @ _matrix(right["vector"]).T, 9)
         i, j = np.nonzero(scores >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b
-        return pd.DataFrame({"id_a": a[keep], "id_b": b[keep], "score": scores[i, j][keep]})
+        a, b, own = left["id"].to_numpy()[i], right["id"].to_numpy()[j], right["own"].to_numpy()[j]
+        # inside a leaf both orders of a pair meet
+        keep = (a < b) | (~own & (b < a))
+        a, b = a[keep], b[keep]
+        return pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a), "score": scores[i, j][keep]})
 
-    keys = ["cell", "hb", "vb"]
-    return by_key(homes, *keys).groupBy(*keys).cogroup(by_key(visitors, *keys).groupBy(*keys)).applyInPandas(
+    keys = ["cell", "leaf", "hb", "vb"]
+    homes, visitors = by_key(_fresh(homes), *keys), by_key(_fresh(visitors), *keys)
+    return homes.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInPandas(
         compare, f"id_a {id_type}, id_b {id_type}, score double"
     )
 
 
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["place", "similarity", "item_id"], ascending=[True, False, True], kind="stable")
+    return found[found.groupby("place").cumcount() < k]
+
+
+def _search(
+    asked: np.ndarray, floor: np.ndarray, k: int, batches: Iterator[pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
+    """The items of one task that may be among the ``k`` best of a query (by its place in ``asked``).
+
+    Each batch is cut into balls.  A query enters them from the one it could
+    score highest in, and none whose bound is below its k-th best so far.
+    """
+    length = np.linalg.norm(asked, axis=1)
+    best = np.full((len(asked), k), -np.inf)
+    kept = pd.DataFrame({"place": pd.Series(dtype="int64"), "item_id": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
+    for batch in batches:
+        if batch.empty:
+            continue
+        x = _matrix(batch["vector"])
+        ids = batch["item_id"].to_numpy()
+        centres = x[:: BALL_ROWS]
+        home = (2 * (x @ centres.T) - (centres**2).sum(axis=1)).argmax(axis=1)
+        balls = [np.flatnonzero(home == b) for b in range(len(centres))]
+        radius = np.array([np.linalg.norm(x[m] - c, axis=1).max(initial=0.0) for m, c in zip(balls, centres)])
+        found = [kept]
+        for first in range(0, len(asked), QUERY_ROWS):
+            rows = slice(first, first + QUERY_ROWS)
+            bound = asked[rows] @ centres.T + length[rows, None] * radius + SLACK
+            for b in np.argsort(-bound.max(axis=0)):
+                limit = np.maximum(floor[rows], best[rows, 0])
+                at = np.flatnonzero(bound[:, b] >= limit)
+                if not len(at) or not len(balls[b]):
+                    continue
+                scores = np.round(asked[rows][at] @ x[balls[b]].T, 9)
+                i, j = np.nonzero(scores >= limit[at, None])
+                found.append(pd.DataFrame({"place": at[i] + first, "item_id": ids[balls[b]][j], "similarity": scores[i, j]}))
+                both = np.concatenate([best[rows][at], scores], axis=1)
+                # ascending: the first column is the k-th best
+                best[at + first] = np.sort(np.partition(both, -k, axis=1)[:, -k:], axis=1)
+        kept = _best(pd.concat([f for f in found if len(f)] or [kept]), k)
+    yield kept
+
+
 def nearest(
     queries: DataFrame,
     items: DataFrame,
     k: int = C.PER_PAGE,
-    query_block: int = 512,
-    item_block: int = 8192,
+    query_bytes: int = QUERY_BYTES,
+    seed_items: int = SEED_ITEMS,
 ) -> DataFrame:
     """Exact ``k`` most similar items of every query: query_id, rank, item_id,
-    similarity (1 - cosine distance, nine places), lowest item id on ties.
+    similarity (dot product, which is 1 - cosine distance of unit vectors; nine
+    places), lowest item id on ties.  Rows without id or vector are left out.
 
     ``queries``: query_id, vector; ``items``: item_id, vector.
+
+    Items stay in the tasks that read them.  Queries are sent in blocks of at
+    most about ``query_bytes``, with the k-th best score that a few items
+    already give each; a task passes over what cannot beat it.  What is
+    shuffled are at most ``k`` rows of a query and task.
     """
-    query_blocks = max(1, math.ceil(queries.count() / query_block))
-    item_blocks = max(1, math.ceil(items.count() / item_block))
-    q = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("ib"),
-        "query_id", "vector",
-    )
-    i = items.select(
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
-        F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int").alias("ib"),
-        "item_id", "vector",
-    )
+    queries = queries.select("query_id", "vector").where("query_id is not null and vector is not null")
+    items = items.select("item_id", "vector").where("item_id is not null and vector is not null")
     q_type, i_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
+    schema = f"query_id {q_type}, item_id {i_type}, similarity double"
+    size = queries.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0
+    blocks = max(1, math.ceil(size / query_bytes))
+    seeds = items.orderBy(F.xxhash64("item_id"), "item_id").limit(seed_items).select("vector").collect()
+    seed = np.array([row["vector"] for row in seeds], dtype=float)
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "item_id": right["item_id"][:0],
-                                 "similarity": pd.Series(dtype="float64")})
-        right = right.sort_values("item_id")
-        scores = np.round(_matrix(left["vector"]) @ _matrix(right["vector"]).T, 9)
-        take = min(k, scores.shape[1])
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-        rows = np.repeat(np.arange(scores.shape[0]), take)
-        cols = order.ravel()
-        return pd.DataFrame({
-            "query_id": left["query_id"].to_numpy()[rows], "item_id": right["item_id"].to_numpy()[cols],
-            "similarity": scores[rows, cols],
-        })
-
-    keys = ["qb", "ib"]
-    found = by_key(q, *keys).groupBy(*keys).cogroup(by_key(i, *keys).groupBy(*keys)).applyInPandas(
-        best, f"query_id {q_type}, item_id {i_type}, similarity double"
-    )
+    def answer(names: list, asked: np.ndarray) -> DataFrame:
+        floor = np.full(len(names), -np.inf)
+        if len(seed) >= k:
+            for first in range(0, len(names), QUERY_ROWS):
+                rows = slice(first, first + QUERY_ROWS)
+                floor[rows] = np.partition(np.round(asked[rows] @ seed.T, 9), -k, axis=1)[:, -k]
+        # a product may differ in the last place from the one taken in a task
+        sent = items.sparkSession.sparkContext.broadcast((names, asked, floor - SLACK))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, asked, floor = sent.value
+            for kept in _search(asked, floor, k, batches):
+                ids = [names[p] for p in kept["place"]]
+                yield pd.DataFrame({"query_id": ids, "item_id": kept["item_id"].to_numpy(), "similarity": kept["similarity"].to_numpy()})
+
+        return items.mapInPandas(search, schema)
+
+    found: DataFrame | None = None
+    for block in range(blocks):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+        rows = queries.where(mine).collect()
+        if rows:
+            part = answer([r["query_id"] for r in rows], np.array([r["vector"] for r in rows], dtype=float))
+            # written block by block, so that one block's queries are in use at a time
+            part = written(part, "nearest") if blocks > 1 else part
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = items.sparkSession.createDataFrame([], schema)
     return top_per_group(found, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)

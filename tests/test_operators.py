@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,45 @@ def test_near_pairs_equal_brute_force(spark, threshold, pivots, block):
     assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if scores[i, j] >= threshold}
 
 
+@pytest.mark.parametrize("threshold", [0.999, 0.9, 0.75, 0.4, -1.0])
+def test_near_pairs_over_two_levels(spark, threshold):
+    """Clusters, copies and lone vectors, in leaves of about eight rows."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([unit(rng, 6, 8)[rng.integers(0, 6, 200)] + rng.normal(0, 0.1, (200, 8)), rng.normal(size=(60, 8))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[40:70] = x[3]
+    items = spark.createDataFrame([(f"v{i:03}", v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), ("w", None)],
+                                  "id string, vector array<double>")
+    rows = similarity.near_pairs(items, threshold, 16, leaf_rows=8).collect()
+    scores = np.round(x @ x.T, 9)
+    assert len(rows) == len({(r["id_a"], r["id_b"]) for r in rows})
+    assert {(r["id_a"], r["id_b"]) for r in rows} == {
+        (f"v{i:03}", f"v{j:03}") for i in range(260) for j in range(i + 1, 260) if scores[i, j] >= threshold}
+
+
+def test_vector_joins_of_empty_tables(spark):
+    none = spark.createDataFrame([], "id bigint, vector array<double>")
+    assert similarity.near_pairs(none).collect() == []
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, vector array<double>")
+    assert similarity.near_pairs(one).collect() == []
+    for q, i in ((none, one), (one, none)):
+        assert similarity.nearest(q.withColumnRenamed("id", "query_id"), i.withColumnRenamed("id", "item_id")).collect() == []
+
+
+def test_nearest_passes_over_balls():
+    """A query reads few of the balls of a batch whose items lie in clusters."""
+    rng = np.random.default_rng(5)
+    centres = unit(rng, 20, 16)
+    x = np.repeat(centres, 128, axis=0) + rng.normal(0, 0.01, (20 * 128, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    batch = pd.DataFrame({"item_id": np.arange(len(x)), "vector": list(x)})
+    got = pd.concat(similarity._search(centres[:3], np.full(3, -np.inf), 4, iter([batch, batch.assign(item_id=batch["item_id"] + 10_000)])))
+    scores = np.round(centres[:3] @ x.T, 9)
+    for q in range(3):
+        both = sorted([(-s, i) for i, s in enumerate(scores[q])] + [(-s, i + 10_000) for i, s in enumerate(scores[q])])[:4]
+        assert [(-s, i) for s, i in both] == [(r.similarity, r.item_id) for r in got[got["place"] == q].itertuples()]
+
+
 def test_default_thresholds(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.99, math.sqrt(1 - 0.99**2)]), ("c", [0.0, 1.0])]
     items = spark.createDataFrame(rows, "id string, vector array<double>")
@@ -189,14 +229,15 @@ def test_default_thresholds(spark):
         assert [(r["id_a"], r["id_b"], r["score"]) for r in similarity.near_pairs(items, threshold).collect()] == [("a", "b", 0.99)]
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.mark.parametrize("seed_items", [0, 3, 30])
+def test_nearest_equals_brute_force(spark, seed_items):
     rng = np.random.default_rng(4)
     q, x = unit(rng, 40, 6), unit(rng, 90, 6)
     x[7] = x[3]
     got = similarity.nearest(
         spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, vector array<double>"),
         spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id bigint, vector array<double>"),
-        4, query_block=16, item_block=20,
+        4, query_bytes=16 * 6 * 8, seed_items=seed_items,
     ).collect()
     scores = np.round(q @ x.T, 9)
     expected = {(i, n + 1, j) for i in range(40) for n, j in enumerate(np.lexsort((np.arange(90), -scores[i]))[:4])}

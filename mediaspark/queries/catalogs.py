@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mediaspark.functions.text import longest_first, overlap_tokens
 from mediaspark.operators import categories as cats
+from mediaspark.operators import denylist
+from mediaspark.operators.terms import AFTER, BEFORE
 from mediaspark.queries import oracle as O
 from mediaspark.queries.registry import register
 from mediaspark.sources import catalogs, library
@@ -258,6 +260,14 @@ SELECT request_id, string_agg(term, ',' ORDER BY pos, i) AS banned FROM (
 })
 
 
+def _requests(v: Views) -> DataFrame:
+    conv, turn = F.col("conv_id"), F.col("turn")
+    rows = v.table("conversations")
+    number = F.when(conv % 3 == 0, conv * 4 + 1 + turn % 3).when(conv % 3 == 1, (conv * 13 + turn) % v.n_documents).otherwise(conv)
+    key = F.concat(F.lit("cat_"), number.cast("string"), F.when(conv % 11 == 10, F.lit("x")).otherwise(F.lit("")))
+    return rows.select(conv.alias("request_id"), turn.alias("pos"), key.alias("key"))
+
+
 @register("category_merge", O.query("""
 SELECT request_id, n_keys, problem, CASE WHEN problem IS NULL THEN CASE WHEN n_keys > 1 THEN low ELSE first_key END END AS key,
  CASE WHEN problem IS NULL THEN CASE WHEN n_keys > 1 THEN parent_name || ' (' || names || ')' ELSE first_name END END AS display_name,
@@ -268,15 +278,56 @@ SELECT request_id, n_keys, problem, CASE WHEN problem IS NULL THEN CASE WHEN n_k
   WHEN n_keys > 1 AND p.key IS NULL THEN 'parent missing' END AS problem
  FROM grouped g LEFT JOIN cats p ON g.low = p.key LEFT JOIN terms t ON g.request_id = t.request_id)"""))
 def category_merge(v: Views) -> DataFrame:
-    conv, turn = F.col("conv_id"), F.col("turn")
-    rows = v.table("conversations")
-    number = F.when(conv % 3 == 0, conv * 4 + 1 + turn % 3).when(conv % 3 == 1, (conv * 13 + turn) % v.n_documents).otherwise(conv)
-    key = F.concat(F.lit("cat_"), number.cast("string"), F.when(conv % 11 == 10, F.lit("x")).otherwise(F.lit("")))
-    merged = cats.merge_requests(rows.select(conv.alias("request_id"), turn.alias("pos"), key.alias("key")), _categories(v))
+    merged = cats.merge_requests(_requests(v), _categories(v))
     return merged.select("request_id", "n_keys", "problem", "key", "display_name",
                          F.array_join("banned", ",").alias("banned"), "safe")
 
 
+_TERM = "regexp_replace(lower(term), '([\\\\.^$|?*+()\\[\\]{}\\-])', '\\\\\\1', 'g')"
+O.CTES.update({
+    "listed": """
+SELECT key AS category, unnest(list_append(banned, array_to_string(string_split(text, ' ')[1:2], ' '))) AS term,
+ unnest(range(len(banned) + 1)) AS place FROM cats JOIN documents d ON key = 'cat_' || CAST(d.doc_id AS VARCHAR)""",
+    "mentioned": f"""
+SELECT doc_id, term FROM (SELECT DISTINCT term FROM listed WHERE term <> '') t
+JOIN (SELECT doc_id, lower(text) AS body FROM documents) d ON contains(body, lower(term))
+WHERE regexp_matches(body, '{BEFORE}' || {_TERM} || '{AFTER}')""",
+    "wanted": """
+SELECT request_id, term, min(pos * 1000 + place) AS place FROM asked a JOIN listed l ON a.key = l.category
+WHERE request_id IN (SELECT g.request_id FROM grouped g LEFT JOIN cats p ON g.low = p.key
+ WHERE missing = 0 AND (n_keys = 1 OR parents = n_keys AND low = high AND p.key IS NOT NULL)) GROUP BY request_id, term""",
+})
+
+
+def _listed(v: Views) -> DataFrame:
+    """The categories, with a term of two words more."""
+    opening = F.array_join(F.slice(F.split("text", " ", -1), 1, 2), " ")
+    extra = v.table("documents").select(F.concat(F.lit("cat_"), _id().cast("string")).alias("key"), opening.alias("_opening"))
+    return _categories(v).join(extra, "key").withColumn("banned", F.array_append("banned", F.col("_opening"))).drop("_opening")
+
+
+def _entries(v: Views) -> DataFrame:
+    return v.table("documents").select(F.col("doc_id").alias("entry_id"), "text")
+
+
+@register("category_denylist", O.query("""
+SELECT doc_id, category, arg_min(term, place) AS banned_term FROM mentioned JOIN listed USING (term) GROUP BY doc_id, category"""))
+def category_denylist(v: Views) -> DataFrame:
+    """First banned term of each document for each of as many categories as there are documents."""
+    lists = _listed(v).select(F.col("key").alias("category"), "banned", "positive")
+    return denylist.first_banned(_entries(v), lists).withColumnRenamed("entry_id", "doc_id")
+
+
+@register("merged_category_hits", O.query("""
+SELECT doc_id, request_id, arg_min(term, place) AS banned_term FROM mentioned JOIN wanted USING (term) GROUP BY doc_id, request_id"""))
+def merged_category_hits(v: Views) -> DataFrame:
+    """The same for the merged categories of requests."""
+    merged = cats.merge_requests(_requests(v), _listed(v)).where("problem is null")
+    lists = merged.select(F.col("request_id").alias("category"), "banned", "positive")
+    found = denylist.first_banned(_entries(v), lists)
+    return found.select(F.col("entry_id").alias("doc_id"), F.col("category").alias("request_id"), "banned_term")
+
+
 @register("category_edits", O.query("""
 SELECT e.edit_id, action, e.key, CASE WHEN action = 'add' AND (c.key IS NOT NULL OR lower(e.display_name) IN (SELECT lower(display_name) FROM cats))
   THEN 'already exists' WHEN action <> 'add' AND c.key IS NULL THEN 'unknown key' WHEN action <> 'add' AND NOT c.is_custom THEN 'built-in'

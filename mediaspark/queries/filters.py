@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaspark import config as C
 from mediaspark.functions import media, text
-from mediaspark.operators import checks, retrieval, terms
+from mediaspark.operators import checks, denylist, packing, retrieval, terms
 from mediaspark.queries import oracle as O
 from mediaspark.queries import timing
 from mediaspark.queries.registry import register
@@ -44,11 +44,8 @@ def denylist_by_table(v: Views) -> DataFrame:
     """The same with the term lists in a table instead of in the plan."""
     rows = [(c.key, list(c.banned), list(c.positive)) for c in CATEGORIES]
     lists = v.spark.createDataFrame(rows, "category string, banned array<string>, positive array<string>")
-    keyed = v.hits.select("doc_id", F.lower("text").alias("text"), F.explode(F.array(*[F.lit(c.key) for c in CATEGORIES])).alias("category"))
-    joined = keyed.join(lists, "category")
-    return joined.select(
-        "doc_id", "category", terms.first_banned_from_arrays("text", "banned", "positive").alias("banned_term")
-    ).where(F.col("banned_term").isNotNull())
+    found = denylist.first_banned(v.hits.select(F.col("doc_id").alias("entry_id"), "text"), lists)
+    return found.withColumnRenamed("entry_id", "doc_id")
 
 
 @register("low_res_filter", O.query("""
@@ -208,11 +205,27 @@ def sentence_split(v: Views) -> DataFrame:
     return rows.select("doc_id", (F.col("pos") + 1).alias("sentence_no"), "sentence")
 
 
-@register("chunk_pack")
+O.CTES["sentence_rows"] = f"""
+SELECT doc_id, s[i] AS sentence, i, len({O.words('s[i]')}) AS n FROM (
+ SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+  SELECT doc_id, list_filter(string_split(regexp_replace({O.strip('text')}, '([.!?]){O.SPACE}+', '\\1' || chr(1), 'g'), chr(1)),
+   lambda x: x <> '') AS s FROM documents))"""
+
+
+# SQL takes the sentences in turn.
+@register("chunk_pack", O.query(f"""
+SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(sum(n) AS INT) AS n_words, string_agg(sentence, ' ' ORDER BY i) AS chunk FROM (
+ WITH RECURSIVE walk AS (
+  SELECT doc_id, i, n, n AS held, 0 AS chunk_no, sentence FROM sentence_rows WHERE i = 1
+  UNION ALL
+  SELECT r.doc_id, r.i, r.n, CASE WHEN w.held + r.n > {C.CHUNK_WORDS} THEN r.n ELSE w.held + r.n END,
+   w.chunk_no + CASE WHEN w.held + r.n > {C.CHUNK_WORDS} THEN 1 ELSE 0 END, r.sentence
+  FROM walk w JOIN sentence_rows r ON w.doc_id = r.doc_id AND r.i = w.i + 1)
+ SELECT * FROM walk) GROUP BY doc_id, chunk_no"""))
 def chunk_pack(v: Views) -> DataFrame:
-    chunks = text.pack_sentences(text.sentences("text"), C.CHUNK_WORDS)
-    rows = v.table("documents").select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk"))
-    return rows.select("doc_id", "chunk_no", text.word_count("chunk").alias("n_words"), "chunk")
+    rows = v.table("documents").select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
+    sentences = rows.select("doc_id", (F.col("pos") + 1).alias("sentence_no"), "sentence", text.word_count("sentence").alias("n_words"))
+    return packing.pack(sentences, C.CHUNK_WORDS)
 
 
 @register("scripts_accepted", O.query(f"""

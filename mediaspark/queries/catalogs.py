@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mediaspark.functions.text import longest_first, overlap_tokens
 from mediaspark.operators import categories as cats
 from mediaspark.operators import denylist
-from mediaspark.operators.terms import AFTER, BEFORE
 from mediaspark.queries import oracle as O
 from mediaspark.queries.registry import register
 from mediaspark.sources import catalogs, library
@@ -283,15 +282,21 @@ def category_merge(v: Views) -> DataFrame:
                          F.array_join("banned", ",").alias("banned"), "safe")
 
 
-_TERM = "regexp_replace(lower(term), '([\\\\.^$|?*+()\\[\\]{}\\-])', '\\\\\\1', 'g')"
+_WORD = r"[\p{L}\p{N}_]+"
+# every character that is no part of a word, and both ends, between marks
+_MARKED = lambda c: f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]', chr(1) || '\\0' || chr(1), 'g')"
 O.CTES.update({
     "listed": """
 SELECT key AS category, unnest(list_append(banned, array_to_string(string_split(text, ' ')[1:2], ' '))) AS term,
  unnest(range(len(banned) + 1)) AS place FROM cats JOIN documents d ON key = 'cat_' || CAST(d.doc_id AS VARCHAR)""",
     "mentioned": f"""
-SELECT doc_id, term FROM (SELECT DISTINCT term FROM listed WHERE term <> '') t
-JOIN (SELECT doc_id, lower(text) AS body FROM documents) d ON contains(body, lower(term))
-WHERE regexp_matches(body, '{BEFORE}' || {_TERM} || '{AFTER}')""",
+SELECT DISTINCT doc_id, term FROM (SELECT DISTINCT term, chr(1) || {_MARKED('lower(term)')} AS marked,
+  unnest([regexp_extract(lower(term), '{_WORD}'), regexp_extract(lower(term), '{_WORD}') || 's']) AS word
+ FROM (SELECT DISTINCT term FROM listed WHERE term <> '')) t
+JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{_WORD}'))) AS word FROM documents) w
+ ON w.word = t.word
+JOIN (SELECT doc_id, chr(1) || {_MARKED('lower(text)')} || chr(1) AS body FROM documents) d USING (doc_id)
+WHERE contains(body, marked || chr(1)) OR contains(body, marked || 's' || chr(1))""",
     "wanted": """
 SELECT request_id, term, min(pos * 1000 + place) AS place FROM asked a JOIN listed l ON a.key = l.category
 WHERE request_id IN (SELECT g.request_id FROM grouped g LEFT JOIN cats p ON g.low = p.key

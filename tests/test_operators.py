@@ -11,7 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mediaspark.operators import align, assign, captions, checks, dedup, ranking, retrieval, similarity, tiers, timeline
+from mediaspark.operators import (
+    align, assign, captions, checks, dedup, denylist, packing, ranking, retrieval, similarity, terms, tiers, timeline,
+)
 from mediaspark.operators.library import known_assets, upsert
 from mediaspark.queries.assignment import walk_sql
 
@@ -530,3 +532,46 @@ def test_verdicts_of_files(spark):
     df = spark.createDataFrame(cases, "ok boolean, w int, h int, fit boolean, seen double, want string")
     told = assign.verdict(F.col("ok"), F.col("w"), F.col("h"), F.col("fit"), F.col("seen"), 0.2)
     assert [(r["want"], r["got"]) for r in df.select("want", told.alias("got")).collect() if r["want"] != r["got"]] == []
+
+
+# --- denylists as tables, packing ------------------------------------------------
+
+def test_denylist_tables_equal_patterns(spark):
+    """Against one pattern per category: plurals, marks around words, long terms, terms without words, other scripts."""
+    rng = random.Random(3)
+    pieces = ["gun", "guns", "s", "toy", "x-ray", "Öl", "öls", "c++", "***", "(tm)", "ab_c", "d'or", "汉字", "e", "one two three", "İ"]
+    body = [rng.choice(["", " ", "-"]).join(rng.choices(pieces, k=rng.randrange(0, 9))) + rng.choice(["", ".", "s", " s"]) for _ in range(300)]
+    lists = [
+        ("a", ["gun", "toy gun", ""], ["x-ray"]), ("b", ["X-RAY", "öl"], []), ("c", ["c++", "(tm)", "gun gun"], None),
+        ("d", ["***", "*", "汉字"], ["toy"]), ("e", ["one two three one two three", "three gun", "d'or"], []), ("f", None, ["gun"]),
+        ("g", ["gun", "gun"], []), (None, ["gun"], []),
+    ]
+    entries = spark.createDataFrame([*enumerate(body), (900, None), (901, ""), (902, "gun " * 20_000)], "entry_id int, text string")
+    table = spark.createDataFrame(lists, "category string, banned array<string>, positive array<string>")
+    got = {(r["entry_id"], r["category"]): r["banned_term"] for r in denylist.first_banned(entries, table).collect()}
+    known = [terms.Category(k, k, tuple(t for t in banned or () if t), tuple(positive or ())) for k, banned, positive in lists if k]
+    named = entries.select("entry_id", F.explode(terms.first_banned_by_category("text", known)).alias("category", "term"))
+    assert got == {(r["entry_id"], r["category"]): r["term"] for r in named.where("term is not null").collect()}
+    assert {c for _, c in got} == {"a", "b", "c", "d", "e", "g"}
+    assert denylist.first_banned(entries, table.limit(0)).collect() == []
+    assert denylist.first_banned(entries.limit(0), table).collect() == []
+
+
+def test_packing_equals_a_walk(spark):
+    rng = random.Random(9)
+    docs = {1: [3], 2: [50, 50, 50], 3: [1] * 90, 4: [0, 0, 7, 0, 10, 0, 4]} | {
+        n: [rng.randrange(0, 14) for _ in range(rng.randrange(1, 40))] for n in range(10, 25)}
+    rows = spark.createDataFrame(
+        [(d, i, f"{d}.{i}", n) for d, sizes in docs.items() for i, n in enumerate(sizes, 1)],
+        "doc_id int, sentence_no int, sentence string, n_words int")
+    expected = {}
+    for d, sizes in docs.items():
+        chunk, held = 0, None
+        for i, n in enumerate(sizes, 1):
+            if held is not None and held + n > 10:
+                chunk, held = chunk + 1, 0
+            held = (held or 0) + n
+            expected.setdefault((d, chunk), []).append(f"{d}.{i}")
+    got = {(r["doc_id"], r["chunk_no"]): r["chunk"] for r in packing.pack(rows, 10).collect()}
+    assert got == {k: " ".join(v) for k, v in expected.items()}
+    assert packing.pack(rows.limit(0), 10).collect() == []

@@ -203,7 +203,7 @@ SELECT 'cat_' || CAST(doc_id AS VARCHAR) AS key, lang || ' ' || source || ' ' ||
   lambda k: substr(k, 7))[1:3] AS banned, 'safe ' || lang AS safe, lang = 'en' AS use_archive,
  CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS library_path,
  CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 31 = 5 THEN 'gone' ELSE 'cat_' || CAST(doc_id - doc_id % 4 AS VARCHAR) END
-  AS parent_key, doc_id % 5 = 0 AS is_custom FROM documents"""
+  AS parent_key, doc_id % 5 = 0 AS is_custom, 'Scripts in ' || lang AS context FROM documents"""
 
 
 def _categories(v: Views) -> DataFrame:
@@ -215,7 +215,7 @@ def _categories(v: Views) -> DataFrame:
         F.concat(F.lit("safe "), "lang").alias("safe"), (F.col("lang") == "en").alias("use_archive"),
         F.when(_id() % 3 == 0, F.lit("")).otherwise(F.col("lang")).alias("library_path"),
         F.when(_id() % 4 != 0, F.when(_id() % 31 == 5, F.lit("gone")).otherwise(key(_id() - _id() % 4))).alias("parent_key"),
-        (_id() % 5 == 0).alias("is_custom"),
+        (_id() % 5 == 0).alias("is_custom"), F.concat(F.lit("Scripts in "), "lang").alias("context"),
     )
 
 
@@ -245,11 +245,12 @@ SELECT conv_id AS request_id, turn AS pos, 'cat_' || CAST(CASE WHEN conv_id % 3
     "asked": """
 SELECT request_id, r.key, min(pos) AS pos, any_value(c.display_name) AS display_name, any_value(c.banned) AS banned,
  any_value(c.library_path) AS library_path, any_value(c.safe) AS safe, any_value(c.parent_key) AS parent_key,
- any_value(c.key) IS NULL AS missing FROM requests r LEFT JOIN cats c ON r.key = c.key GROUP BY request_id, r.key""",
+ any_value(c.context) AS context, any_value(c.key) IS NULL AS missing FROM requests r LEFT JOIN cats c ON r.key = c.key GROUP BY request_id, r.key""",
     "grouped": """
 SELECT request_id, count(*) AS n_keys, count(*) FILTER (missing) AS missing, min(parent_key) AS low, max(parent_key) AS high,
  count(parent_key) AS parents, string_agg(display_name, ', ' ORDER BY pos) AS names,
- arg_min(key, pos) AS first_key, arg_min(display_name, pos) AS first_name, arg_min(safe, pos) AS first_safe
+ arg_min(key, pos) AS first_key, arg_min(display_name, pos) AS first_name, arg_min(safe, pos) AS first_safe,
+ arg_min(context, pos) AS first_context, arg_min_null(parent_key, pos) AS first_parent
 FROM asked GROUP BY request_id""",
     "terms": """
 SELECT request_id, string_agg(term, ',' ORDER BY pos, i) AS banned FROM (
@@ -271,15 +272,17 @@ def _requests(v: Views) -> DataFrame:
 SELECT request_id, n_keys, problem, CASE WHEN problem IS NULL THEN CASE WHEN n_keys > 1 THEN low ELSE first_key END END AS key,
  CASE WHEN problem IS NULL THEN CASE WHEN n_keys > 1 THEN parent_name || ' (' || names || ')' ELSE first_name END END AS display_name,
  CASE WHEN problem IS NULL THEN coalesce(banned, '') END AS banned,
- CASE WHEN problem IS NULL THEN CASE WHEN n_keys > 1 THEN parent_safe ELSE first_safe END END AS safe FROM (
- SELECT g.*, p.display_name AS parent_name, p.safe AS parent_safe, t.banned, CASE WHEN missing > 0 THEN 'unknown key'
+ CASE WHEN problem IS NULL THEN CASE WHEN n_keys > 1 THEN parent_safe ELSE first_safe END END AS safe,
+ CASE WHEN problem IS NULL THEN CASE WHEN n_keys > 1 THEN parent_context ELSE first_context END END AS context,
+ CASE WHEN problem IS NULL THEN CASE WHEN n_keys > 1 THEN parent_parent ELSE first_parent END END AS parent_key FROM (
+ SELECT g.*, p.display_name AS parent_name, p.safe AS parent_safe, p.context AS parent_context, p.parent_key AS parent_parent, t.banned, CASE WHEN missing > 0 THEN 'unknown key'
   WHEN n_keys > 1 AND (parents < n_keys OR low <> high) THEN 'no shared parent'
   WHEN n_keys > 1 AND p.key IS NULL THEN 'parent missing' END AS problem
  FROM grouped g LEFT JOIN cats p ON g.low = p.key LEFT JOIN terms t ON g.request_id = t.request_id)"""))
 def category_merge(v: Views) -> DataFrame:
     merged = cats.merge_requests(_requests(v), _categories(v))
     return merged.select("request_id", "n_keys", "problem", "key", "display_name",
-                         F.array_join("banned", ",").alias("banned"), "safe")
+                         F.array_join("banned", ",").alias("banned"), "safe", "context", "parent_key")
 
 
 _WORD = r"[\p{L}\p{N}_]+"

@@ -94,6 +94,48 @@ def test_retrieval_fills_all_sources_of_the_catalogue(spark):
     assert retrieval.retrieve(spark.createDataFrame([], "query string"), catalogue.where("false"), weights, 5, None).collect() == []
 
 
+def test_retrieval_does_not_copy_postings_to_every_group_of_sets(spark, monkeypatch):
+    """What is written of the postings grows with the entries, however many sets there are."""
+    monkeypatch.setattr(retrieval, "BLOCK_ENTRIES", 1)
+    monkeypatch.setattr(retrieval, "MAX_BLOCKS", 4)
+    seen = []
+    scored = retrieval._scored
+    monkeypatch.setattr(retrieval, "_scored", lambda work, *rest: seen.append(work.select("block").distinct().count()) or scored(work, *rest))
+    entries = spark.createDataFrame([(i, "a", [f"w{i % 7}", f"v{i % 11}"]) for i in range(200)], "entry bigint, source string, tokens array<string>").coalesce(1)
+    pairs = [(f"w{i}", f"v{j}") for i in range(7) for j in range(11)]
+    sets = spark.createDataFrame([(" ".join(p), [(t, 3) for t in p]) for p in pairs], "set_key string, weighted array<struct<token:string,w:bigint>>")
+    got = {(r["set_key"], r["entry"], r["matched"]) for r in retrieval.set_pages(sets, entries, 2).collect()}
+    want = set()
+    for w, v in pairs:
+        held = [(i, 3 * ((i % 7 == int(w[1:])) + (i % 11 == int(v[1:])))) for i in range(200)]
+        want |= {(f"{w} {v}", i, m) for i, m in sorted(held, key=lambda e: (-e[1], e[0]))[:2]}
+    # the number of blocks is bounded, whatever the least size of one
+    assert got == want and sum(seen) <= 4
+
+
+def test_dots_of_named_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "LEAST_CELLS", 3)
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(9)]) for i in range(20)] + [(20, [1.0, 2.0]), (21, None), (22, [1.0, None])]
+    known = dict(rows)
+    pairs = [(rng.randrange(25), rng.randrange(25)) for _ in range(150)] + [(20, 20), (20, 3), (21, 3), (22, 20)]
+
+    def dot(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            return None
+        total = 0.0
+        for p, q in zip(x, y):
+            total += p * q
+        return total
+
+    got = similarity.pair_dots(
+        spark.createDataFrame(sorted(set(pairs)), "a bigint, b bigint"), spark.createDataFrame(rows, "id bigint, vector array<double>")
+    ).collect()
+    # to the last bit
+    assert {tuple(r) for r in got} == {(a, b, dot(known[a], known[b])) for a, b in pairs if a in known and b in known}
+    assert len(got) == len({p for p in pairs if p[0] in known and p[1] in known})
+
+
 # --- tiers ---------------------------------------------------------------------
 
 def candidate_rows(spark, rows):

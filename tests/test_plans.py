@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from mediaspark.plans.skew import block_scan, group_rank, salted_join, top_per_group
+from mediaspark.plans.skew import block_scan, group_rank, hot_join, salted_join, top_per_group
 
 
 def skewed(rng):
@@ -57,3 +57,12 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     top = top_per_group(df, ["g"], [F.desc("id")], 3)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["id"] for r in top.collect()) == [994, 995, 996, 997, 998, 999]
+
+
+def test_hot_join_copies_hot_keys_only(spark):
+    rows = skewed(random.Random(6))
+    left = spark.createDataFrame(rows, "g string, n int, x int")
+    right = spark.createDataFrame([(g, i) for i, g in enumerate(sorted({r[0] for r in rows})) if g != "p3"], "g string, wide int")
+    counts = left.groupBy("g").agg(F.count("*").alias("n"))
+    got = hot_join(left, right, "g", counts, ["n"], rows=50)
+    assert sorted(map(tuple, got.select("g", "n", "x", "wide").collect())) == sorted(map(tuple, left.join(right, "g").select("g", "n", "x", "wide").collect()))

@@ -8,29 +8,27 @@ that count leave a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark import config as C
 from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import by_key, top_per_group
 
-#: Rows of one side of a comparison in one task.
-BLOCK_ROWS = 2048
-#: Rows a leaf of the two-level index is meant to hold.
-LEAF_ROWS = 256
-#: First-level pivots; they and one radius for each are all that the driver sees.
+#: Rows of a block at most; a task compares two blocks.  Blocks that smaller inputs are cut into, of so many rows at least.
+BLOCK_ROWS, LEAST_BLOCKS, SMALL_BLOCK = 65_536, 8, 2048
+#: Rows a leaf, the ball inside a block, is meant to hold, and leaves of a block at most.
+LEAF_ROWS, MAX_LEAVES = 256, 1024
+#: Pivots; they and one row for each are all that the driver sees.
 MAX_PIVOTS = 1024
-#: Second-level pivots of one cell.  A cell that holds more rows gets larger leaves, cut into blocks.
-MAX_LEAVES = 4096
-#: Rows of a cell that are placed by one call.
-PLACE_ROWS = 16_384
+#: Rows of the other block that a leaf is multiplied with at once.
+TILE_ROWS = 4096
 #: Room for rounding in angles and scores.
 SLACK = 1e-6
 #: Bytes of the query vectors sent to the tasks at once.
@@ -53,30 +51,89 @@ def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ centres.T, -1.0, 1.0))
 
 
-def _one_way(home: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Of two different groups exactly one visits the other; each visits half of the rest."""
-    return (home < target) ^ ((home + target) % 2 == 1)
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
-def _cut(rows: Column, size: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(rows / size)).cast("int")
+def _vectors(lists: pa.ChunkedArray) -> np.ndarray:
+    lists = lists.combine_chunks()
+    size = pa.compute.min_max(lists.value_lengths()).as_py()
+    if size["min"] != size["max"]:
+        raise ValueError("vectors of different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """New column identities, for two sides that come from one table."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def _beside_cell(rows: DataFrame, leaves: DataFrame, step: Callable, schema: str) -> DataFrame:
-    """``step(rows, leaves)`` on the rows of each cell, cut into parts of bounded size,
-    next to the leaves of that cell."""
-    # one row per first-level pivot
-    parts = F.broadcast(rows.groupBy("cell").agg(_cut(F.count("*"), PLACE_ROWS).alias("parts")))
-    cut = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    copies = leaves.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    keys = ["cell", "part"]
-    cut, copies = by_key(_fresh(cut), *keys), by_key(_fresh(copies), *keys)
-    return cut.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(step, schema)
+def _cut_blocks(cells: list, size: int) -> dict[int, tuple[int, int]]:
+    """cell -> (first block, blocks): neighbouring cells share a block of ``size`` rows, a cell with more has its own."""
+    out, block, room = {}, -1, 0
+    for cell, rows in cells:
+        if rows > size:
+            parts = math.ceil(rows / size)
+            out[cell], block, room = (block + 1, parts), block + parts, 0
+            continue
+        if rows > room:
+            block, room = block + 1, size
+        out[cell], room = (block, 1), room - rows
+    return out
+
+
+class _Leaves:
+    """The rows of one block, sorted by leaves: balls around some of its rows."""
+
+    def __init__(self, rows: pa.Table, leaf_rows: int) -> None:
+        x = _vectors(rows.column("vector"))
+        unit = _unit(x)
+        centres = unit[:: max(leaf_rows, math.ceil(len(x) / MAX_LEAVES))]
+        home, off = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+        for first in range(0, len(x), TILE_ROWS):
+            angles = _angles(unit[first:first + TILE_ROWS], centres)
+            home[first:first + TILE_ROWS], off[first:first + TILE_ROWS] = angles.argmin(axis=1), angles.min(axis=1)
+        order = np.argsort(home, kind="stable")
+        self.ids = rows.column("id").combine_chunks().take(pa.array(order)).to_numpy(zero_copy_only=False)
+        self.x = x[order]
+        self.short = self.x.astype(np.float32)
+        self.longest = np.linalg.norm(x, axis=1).max(initial=0.0)
+        self.at = np.searchsorted(home[order], np.arange(len(centres) + 1))
+        self.centres, self.radius = centres, np.zeros(len(centres))
+        np.maximum.at(self.radius, home, off)
+
+
+def _close(left: _Leaves, right: _Leaves, threshold: float, reach: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks (of one if both are the same) with a product of ``threshold``, a batch for each tile.
+
+    Tiles of leaves that could hold a pair are multiplied in single precision; what may pass is
+    summed again in double precision, in the order of the dimensions.
+    """
+    dims = left.x.shape[1]
+    limit = threshold - 1e-9 - (dims + 4) * 1.2e-7 * left.longest * right.longest
+    open_ = _angles(left.centres, right.centres) <= left.radius[:, None] + right.radius + reach
+    if left is right:
+        open_ = np.triu(open_)
+    for leaf in range(len(left.centres)):
+        mine = slice(left.at[leaf], left.at[leaf + 1])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], open_[leaf], [False]]).astype(np.int8)))
+        for start, end in zip(right.at[edge[::2]], right.at[edge[1::2]], strict=True):
+            for first in range(start, end, TILE_ROWS):
+                last = min(first + TILE_ROWS, end)
+                i, j = np.nonzero(left.short[mine] @ right.short[first:last].T >= limit)
+                i, j = i + mine.start, j + first
+                if left is right:
+                    # a leaf meets itself once
+                    once = (j >= mine.stop) | (i < j)
+                    i, j = i[once], j[once]
+                if not len(i):
+                    continue
+                total = np.zeros(len(i))
+                for d in range(dims):
+                    total += left.x[i, d] * right.x[j, d]
+                score = np.round(total, 9)
+                a, b = left.ids[i], right.ids[j]
+                kept = (score >= threshold) & (a != b)
+                a, b, score = a[kept], b[kept], score[kept]
+                low = a < b
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(low, a, b)), pa.array(np.where(low, b, a)), pa.array(score)], names=["id_a", "id_b", "score"]
+                )
 
 
 def near_pairs(
@@ -86,117 +143,101 @@ def near_pairs(
     pivots: int | None = None,
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """All pairs of unit vectors with cosine >= ``threshold``: id_a < id_b,
-    score rounded to nine places.  Rows without id or vector are left out.
+    """All pairs of vectors with a dot product >= ``threshold`` (cosine, for unit
+    vectors): id_a < id_b, score rounded to nine places.  Rows without id or
+    vector are left out.
 
     Exact, by one plan at every threshold and size.  A vector lives in the cell
-    of its nearest pivot, there in the leaf of its nearest second-level pivot;
-    pivots of both levels grow with the square root of the rows.  It visits a
-    cell, then a leaf, if a partner within angle t could live there: the angle v
-    has to the pivot is at most the ball's radius + t, and at most 2 t above the
-    smallest angle v has to any pivot of the level.  Of two leaves one visits
-    the other.  Where no ball can be passed over (loose thresholds on vectors
-    without clusters) the work is half of the grid of leaves.
+    of its nearest pivot; neighbouring cells make blocks of a bounded number of
+    rows.  Two blocks meet in one task unless their cells are too far apart for
+    any pair, so a vector travels once for each block it meets, not for each
+    leaf; leaves are balls inside the blocks, and those too far apart are not
+    multiplied.  A task holds two blocks and hands its pairs on tile by tile.
+    Where no ball can be passed over (loose thresholds on vectors without
+    clusters) all pairs are multiplied.
     """
     items = items.select("id", "vector").where("id is not null and vector is not null")
     id_type = dict(items.dtypes)["id"]
-    reach = math.acos(max(-1.0, min(1.0, threshold - 1e-9))) + SLACK
+    schema = f"id_a {id_type}, id_b {id_type}, score double"
+    n = items.count()
     if pivots is None:
-        pivots = max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(items.count() / leaf_rows))))
+        pivots = max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(n / leaf_rows))))
     # a bounded number of vectors, the same on every run
     chosen = items.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     if not chosen:
-        return items.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("score"))
-    centres = np.array([row["vector"] for row in chosen], dtype=float)
+        return items.sparkSession.createDataFrame([], schema)
+    centres = _unit(np.array([row["vector"] for row in chosen], dtype=float))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                angles = _angles(_matrix(batch["vector"]), centres)
-                yield pd.DataFrame({"cell": angles.argmin(axis=1).astype("int32"), "off": angles.min(axis=1),
-                                    "id": batch["id"], "vector": batch["vector"]})
-
-    row = f"id {id_type}, vector array<double>"
-    placed = written(items.mapInPandas(place, f"cell int, off double, {row}"), "cells")
-    # one row per first-level pivot
-    cells = placed.groupBy("cell").agg(
-        F.max("off").alias("radius"), F.least(_cut(F.count("*"), leaf_rows), F.lit(MAX_LEAVES)).alias("leaves")
-    ).collect()
-    radius = np.full(len(centres), -np.inf)
-    for c in cells:
-        radius[c["cell"]] = c["radius"]
-    wanted = F.broadcast(items.sparkSession.createDataFrame([(c["cell"], c["leaves"]) for c in cells], "cell int, leaves int"))
-    seeds = top_per_group(
-        placed.select("cell", "id", F.col("vector").alias("centre")), ["cell"], [F.xxhash64("id"), F.col("id")],
-        max(c["leaves"] for c in cells), "leaf",
-    ).join(wanted, "cell").where("leaf <= leaves").select("cell", "leaf", "centre")
-
-    def settle(rows: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
-        angles = _angles(_matrix(rows["vector"]), _matrix(leaves["centre"]))
-        return pd.DataFrame({"cell": rows["cell"], "leaf": leaves["leaf"].to_numpy()[angles.argmin(axis=1)],
-                             "off": angles.min(axis=1), "id": rows["id"], "vector": rows["vector"]})
-
-    settled = written(
-        _beside_cell(placed.drop("off"), seeds, settle, f"cell int, leaf int, off double, {row}"), "leaves"
-    )
-    balls = settled.groupBy("cell", "leaf").agg(F.max("off").alias("radius"), F.count("*").alias("homes"))
-    balls = written(balls.join(seeds, ["cell", "leaf"]), "balls")
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = np.arange(len(centres))
+                x = _vectors(pa.chunked_array([batch.column("vector")]))
+                angles = _angles(_unit(x), centres)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(angles.argmin(axis=1), pa.int32()), pa.array(angles.min(axis=1)), pa.array(np.linalg.norm(x, axis=1)),
+                     batch.column("id"), batch.column("vector")],
+                    names=["cell", "off", "long", "id", "vector"],
+                )
+
+    kind = dict(items.dtypes)["vector"]
+    placed = written(items.mapInArrow(place, f"cell int, off double, long double, id {id_type}, vector {kind}"), "cells")
+    # one row per pivot
+    cells = placed.groupBy("cell").agg(F.max("off").alias("radius"), F.max("long").alias("long"), F.count("*").alias("n")).collect()
+    longest = max(c["long"] for c in cells)
+    # a pair at this angle or less has the product; below 0 any angle may
+    reach = math.acos(max(-1.0, min(1.0, (threshold - 1e-9) / max(longest**2, 1e-300)))) + SLACK if threshold > 1e-9 else math.pi
+    cells.sort(key=lambda c: float(centres[c["cell"]] @ centres[0]))
+    cut = _cut_blocks([(c["cell"], c["n"]) for c in cells], min(block_rows, max(SMALL_BLOCK, math.ceil(n / LEAST_BLOCKS))))
+    middle, radius = centres[[c["cell"] for c in cells]], np.array([c["radius"] for c in cells])
+    near = _angles(middle, middle) <= radius[:, None] + radius + reach
+    np.fill_diagonal(near, True)
+    met = sorted({
+        (min(p, q), max(p, q))
+        for i, j in zip(*np.nonzero(np.triu(near)), strict=True)
+        for p in range(cut[cells[i]["cell"]][0], sum(cut[cells[i]["cell"]]))
+        for q in range(cut[cells[j]["cell"]][0], sum(cut[cells[j]["cell"]]))
+    })
+    tasks: dict[int, list] = {}
+    for number, (p, q) in enumerate(met):
+        # a block that meets itself is on both sides
+        tasks.setdefault(p, []).append((number, 0 if p != q else 2))
+        if p != q:
+            tasks.setdefault(q, []).append((number, 1))
+    spark = items.sparkSession
+    # one row per pivot, one per block
+    homes = F.broadcast(spark.createDataFrame([(c, *b) for c, b in cut.items()], "cell int, first int, parts int"))
+    meets = F.broadcast(spark.createDataFrame(list(tasks.items()), "block int, meets array<struct<task:int,side:int>>"))
+    dealt = placed.join(homes, "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+    dealt = dealt.join(meets, "block").select(F.explode("meets").alias("m"), "id", "vector").select("m.task", "m.side", "id", "vector")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sides(held: list) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            parts = [rows.filter(pa.compute.equal(rows.column("side"), k)) for k in range(3)]
+            blocks = [_Leaves(part, leaf_rows) for part in parts if len(part)]
+            if len(parts[2]):
+                yield from _close(blocks[0], blocks[0], threshold, reach)
+            elif len(blocks) == 2:
+                yield from _close(*blocks, threshold, reach)
+
+        here, held = None, []
         for batch in batches:
-            if batch.empty:
+            if not len(batch):
                 continue
-            angles, home = _angles(_matrix(batch["vector"]), centres), batch["cell"].to_numpy()[:, None]
-            near = (angles <= radius + reach) & (angles <= angles.min(axis=1, keepdims=True) + 2 * reach)
-            at, cell = np.nonzero((near & _one_way(home, numbers)) | (home == numbers))
-            guests = batch.iloc[at]
-            yield pd.DataFrame({"cell": cell.astype("int32"), "home": guests["cell"].to_numpy(), "leaf": guests["leaf"].to_numpy(),
-                                "id": guests["id"].to_numpy(), "vector": guests["vector"].to_numpy()})
-
-    def enter(rows: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
-        angles = _angles(_matrix(rows["vector"]), _matrix(leaves["centre"]))
-        near = (angles <= leaves["radius"].to_numpy() + reach) & (angles <= angles.min(axis=1, keepdims=True) + 2 * reach)
-        here = (rows["home"] == rows["cell"]).to_numpy()[:, None]
-        mine, leaf = rows["leaf"].to_numpy()[:, None], leaves["leaf"].to_numpy()
-        at, to = np.nonzero((near & (~here | _one_way(mine, leaf))) | (here & (mine == leaf)))
-        guests = rows.iloc[at]
-        return pd.DataFrame({"cell": guests["cell"].to_numpy(), "leaf": leaf[to], "own": (here & (mine == leaf))[at, to],
-                             "id": guests["id"].to_numpy(), "vector": guests["vector"].to_numpy()})
-
-    at_cells = written(settled.drop("off").mapInPandas(visit, f"cell int, home int, leaf int, {row}"), "visits")
-    guests = written(_beside_cell(at_cells, balls.drop("homes"), enter, f"cell int, leaf int, own boolean, {row}"), "guests")
-
-    # leaves grow with the rows, so this table is joined as the planner sees fit
-    grid = guests.groupBy("cell", "leaf").agg(_cut(F.count("*"), block_rows).alias("vbs")).join(
-        balls.select("cell", "leaf", _cut(F.col("homes"), block_rows).alias("hbs")), ["cell", "leaf"]
-    )
-    number = F.xxhash64("id")
-    homes = settled.join(grid, ["cell", "leaf"]).select(
-        "cell", "leaf", F.pmod(number, F.col("hbs")).cast("int").alias("hb"),
-        F.explode(F.sequence(F.lit(0), F.col("vbs") - 1)).alias("vb"), "id", "vector",
-    )
-    visitors = guests.join(grid, ["cell", "leaf"]).select(
-        "cell", "leaf", F.explode(F.sequence(F.lit(0), F.col("hbs") - 1)).alias("hb"),
-        F.pmod(number, F.col("vbs")).cast("int").alias("vb"), "own", "id", "vector",
-    )
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id_a": left["id"][:0], "id_b": left["id"][:0], "score": pd.Series(dtype="float64")})
-        scores = np.round(_matrix(left["vector"]) @ _matrix(right["vector"]).T, 9)
-        i, j = np.nonzero(scores >= threshold)
-        a, b, own = left["id"].to_numpy()[i], right["id"].to_numpy()[j], right["own"].to_numpy()[j]
-        # inside a leaf both orders of a pair meet
-        keep = (a < b) | (~own & (b < a))
-        a, b = a[keep], b[keep]
-        return pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a), "score": scores[i, j][keep]})
-
-    keys = ["cell", "leaf", "hb", "vb"]
-    homes, visitors = by_key(_fresh(homes), *keys), by_key(_fresh(visitors), *keys)
-    return homes.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInPandas(
-        compare, f"id_a {id_type}, id_b {id_type}, score double"
-    )
+            task = batch.column("task").to_numpy()
+            edges = np.flatnonzero(np.append(True, task[1:] != task[:-1])).tolist()
+            for first, last in zip(edges, [*edges[1:], len(batch)], strict=True):
+                if held and task[first] != here:
+                    yield from sides(held)
+                here = task[first]
+                held.append(batch.slice(first, last - first))
+        if held:
+            yield from sides(held)
+
+    # several parts for each task, so that few share one
+    parts = max(4 * len(met), spark.sparkContext.defaultParallelism)
+    return dealt.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(compare, schema)
 
 
 def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:

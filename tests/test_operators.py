@@ -243,6 +243,19 @@ def test_near_pairs_over_two_levels(spark, threshold):
         (f"v{i:03}", f"v{j:03}") for i in range(260) for j in range(i + 1, 260) if scores[i, j] >= threshold}
 
 
+def test_near_pairs_write_no_copies_of_vectors(spark, monkeypatch):
+    """Vectors without clusters, also longer and shorter ones: no written table has a vector for each leaf it visits."""
+    tables, write = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, label="part": tables.append(write(df, label)) or tables[-1])
+    monkeypatch.setattr(similarity, "SMALL_BLOCK", 100)
+    x = unit(np.random.default_rng(8), 400, 8) * np.random.default_rng(9).uniform(0.5, 1.5, (400, 1))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    got = {(r["id_a"], r["id_b"]): r["score"] for r in similarity.near_pairs(items, 0.4, leaf_rows=8).collect()}
+    scores = np.round(x @ x.T, 9)
+    assert got == {(i, j): pytest.approx(scores[i, j]) for i in range(400) for j in range(i + 1, 400) if scores[i, j] >= 0.4}
+    assert max(t.count() for t in tables) <= 400
+
+
 def test_vector_joins_of_empty_tables(spark):
     none = spark.createDataFrame([], "id bigint, vector array<double>")
     assert similarity.near_pairs(none).collect() == []

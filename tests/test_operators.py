@@ -256,6 +256,18 @@ def test_near_pairs_write_no_copies_of_vectors(spark, monkeypatch):
     assert max(t.count() for t in tables) <= 400
 
 
+def test_pairs_with_texts_send_a_text_once_for_a_cell(spark, monkeypatch):
+    pairs = spark.createDataFrame([(i, j, 0.5) for i in range(30) for j in range(i + 1, 32)], "id_a bigint, id_b bigint, score double")
+    texts = spark.createDataFrame([(i, None if i == 4 else f"text {i}") for i in range(31)], "id bigint, text string")
+    for cells, chunk in ((1, 50), (5, 1000)):
+        monkeypatch.setattr(dedup, "LEAST_CELLS", cells)
+        monkeypatch.setattr(dedup, "CELL_PAIRS", chunk)
+        rows = dedup.with_texts(pairs, texts).collect()
+        name = lambda i: None if i == 4 else f"text {i}"
+        assert sorted((r["id_a"], r["id_b"], r["caption_a"], r["caption_b"]) for r in rows) == [
+            (i, j, name(i), name(j)) for i in range(30) for j in range(i + 1, 31)]
+
+
 def test_vector_joins_of_empty_tables(spark):
     none = spark.createDataFrame([], "id bigint, vector array<double>")
     assert similarity.near_pairs(none).collect() == []

@@ -136,6 +136,19 @@ def test_dots_of_named_pairs(spark, monkeypatch):
     assert len(got) == len({p for p in pairs if p[0] in known and p[1] in known})
 
 
+@pytest.mark.parametrize("pairs_of_a_cell", [2, 1000])
+def test_dots_take_the_columns_of_their_pairs_along(spark, monkeypatch, pairs_of_a_cell):
+    """Pairs may be named several times; each row comes back with its product and needs no join."""
+    monkeypatch.setattr(similarity, "LEAST_CELLS", 2)
+    monkeypatch.setattr(similarity, "CELL_PAIRS", pairs_of_a_cell)
+    pairs = [(i % 3, i % 5, f"r{i}", None if i == 4 else i) for i in range(20)]
+    vectors = [(i, [float(i), 1.0]) for i in range(5)]
+    got = similarity.pair_dots(
+        spark.createDataFrame(pairs, "a bigint, b bigint, name string, n int"), spark.createDataFrame(vectors, "id bigint, vector array<double>")
+    ).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((a, b, m, n, a * b + 1.0) for a, b, m, n in pairs), key=repr)
+
+
 # --- tiers ---------------------------------------------------------------------
 
 def candidate_rows(spark, rows):

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.functions.text import keywords_from_csv, keywords_to_csv, longest_first, overlap_tokens, query_text
-from mediaspark.functions.vectors import dot
 from mediaspark.operators import dedup, library, ranking, reports, retrieval, similarity
 from mediaspark.plans.materialise import written
+from mediaspark.plans.skew import hot_join
 from mediaspark.queries import oracle as O
 from mediaspark.queries import search, timing
 from mediaspark.queries.registry import register
@@ -246,13 +246,12 @@ def _pool(v: Views) -> DataFrame:
     rows = phrases.select("project_id", "clip_number", "vec_id", "query").join(
         found.select("query", "source", "pos", F.col("entry").alias("doc_id")), "query"
     )
-    pool = ranking.pool_quota(rows, ["project_id", "clip_number"])
-    pool = pool.join(hits, "doc_id")
-    vectors = v.vectors
-    pool = pool.join(vectors.select("vec_id", F.col("embedding").alias("a")), "vec_id").join(
-        vectors.select(F.col("vec_id").alias("hit_vec"), F.col("embedding").alias("b")), "hit_vec"
-    )
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(dot("a", "b"), 9)))
+    pool = written(ranking.pool_quota(rows, ["project_id", "clip_number"]), "pool")
+    # thin results are filled with the same first entries
+    pool = hot_join(pool, hits, "doc_id", pool.groupBy("doc_id").agg(F.count("*").alias("n")), spread=["project_id", "clip_number"])
+    pairs = written(pool.withColumnRenamed("vec_id", "a").withColumnRenamed("hit_vec", "b").drop("query"), "pool")
+    pool = similarity.pair_dots(pairs, v.vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round("dot", 9)))
     return pool.select(
         "project_id", "clip_number", "source", "source_id", "media_type", "width", "height", "duration", "place",
         score.alias("score"),

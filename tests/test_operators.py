@@ -637,6 +637,17 @@ def test_denylist_tables_equal_patterns(spark):
     assert denylist.first_banned(entries.limit(0), table).collect() == []
 
 
+def test_words_of_no_term_reach_no_join(spark):
+    entries = spark.createDataFrame([(i, f"one two {i} road. three four") for i in range(300)], "entry_id bigint, text string")
+    keys = denylist._term_keys(spark.createDataFrame([("Two",), ("7 road",)], "term string"))
+    grams = denylist._grams(entries, [1, 2])
+    kept = denylist._may_meet(grams, keys)
+    # every "two", one "7 road", and what shares a bit by chance
+    assert 301 <= kept.count() <= 310 < grams.count()
+    assert {(r["entry_id"], r["term"]) for r in denylist.mentions(entries, spark.createDataFrame([("Two",), ("7 road",)], "term string")).collect()} == {
+        *((i, "Two") for i in range(300)), (7, "7 road")}
+
+
 def test_packing_equals_a_walk(spark):
     rng = random.Random(9)
     docs = {1: [3], 2: [50, 50, 50], 3: [1] * 90, 4: [0, 0, 7, 0, 10, 0, 4]} | {

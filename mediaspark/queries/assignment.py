@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from mediaspark import config as C
 from mediaspark.functions.timecode import span_seconds
 from mediaspark.operators import assign, timeline
-from mediaspark.operators import candidates as cand
 from mediaspark.queries import oracle as O
 from mediaspark.queries import search
 from mediaspark.queries.registry import register
@@ -20,7 +19,7 @@ BUDGET = 4
 
 def assignment_input(v: Views) -> DataFrame:
     """Beats with their candidates and the outcome of fetching each."""
-    rows = cand.usable(search.candidates(v)).withColumns({
+    rows = search.candidates(v, only_usable=True).withColumns({
         "fetch_ok": F.col("doc_id") % 13 != 0,
         "verify_score": F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") % 40 / 100.0),
         "file_width": F.when(F.col("width") > 0, F.col("width")).otherwise(F.lit(1280)).cast("int"),

@@ -12,10 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaspark.operators import (
-    align, assign, captions, checks, dedup, denylist, packing, ranking, retrieval, similarity, terms, tiers, timeline,
+    align, assign, candidates, captions, checks, dedup, denylist, packing, ranking, retrieval, similarity, terms, tiers, timeline,
 )
 from mediaspark.operators.library import known_assets, upsert
 from mediaspark.queries.assignment import walk_sql
+from mediaspark.views import CATEGORIES
 
 
 def unit(rng, n, dim, clumps=6):
@@ -157,6 +158,36 @@ def candidate_rows(spark, rows):
     return spark.createDataFrame(rows, schema)
 
 
+def test_rows_that_are_dropped_anyway_are_never_scored(spark, monkeypatch):
+    """Only usable rows are written and multiplied, and they score as among all rows."""
+    clips = spark.createDataFrame(
+        [("p", 1, "B-roll", "news", 1, "road truck", "road", ["truck"])],
+        "project_id string, clip_number int, visual_type string, category string, vec_id bigint, canva_keyword string, "
+        "fallback_keyword string, phrases array<string>")
+    hits = spark.createDataFrame(
+        [("pexels", str(i), i, 640 if i % 3 == 0 else 1920, 360 if i % 3 == 0 else 1080, "video", 5.0,
+          "road idiot" if i % 4 == 0 else "road truck", i % 2) for i in range(1, 13)],
+        "source string, source_id string, doc_id bigint, width int, height int, media_type string, duration double, text string, vec_id bigint")
+    vectors = spark.createDataFrame([(0, [0.6, 0.8]), (1, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    weights = spark.createDataFrame([("road", 3), ("truck", 5)], "token string, weight bigint")
+    taken = []
+    dots = candidates.pair_dots
+    monkeypatch.setattr(candidates, "pair_dots", lambda pairs, *rest: taken.append(pairs.count()) or dots(pairs, *rest))
+    score = lambda **how: candidates.score_candidates(clips, hits, vectors, weights, CATEGORIES, 12, **how)
+    every, kept = score(), score(only_usable=True)
+    assert sorted(candidates.usable(every).select(kept.columns).collect()) == sorted(kept.collect())
+    assert taken == [36, 18] and not {"low_res", "banned_term"} & set(kept.columns)
+
+
+def test_tiers_and_stops_stand_on_one_shuffle(spark):
+    rows = spark.createDataFrame([], "project_id string, clip_number int, source string, tier int, phrase_no int, score double, "
+                                     "provider_rank int, media_type string, pos int")
+    ranked = ranking.rank_candidates(tiers.early_stop(tiers.escalate(rows)))
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    prepared = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and prepared.count("Exchange hashpartitioning") == 1
+
+
 def test_tiers_and_stops(spark):
     row = lambda clip, src, rank, tier, phrase, score, sid: ("p", clip, src, rank, tier, phrase, 1, "video", score, sid)
     rows = candidate_rows(spark, [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import textwrap
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from mediaspark.functions.timecode import srt_code, to_frames, to_seconds
 from mediaspark.plans.skew import BLOCK, block_scan
 
 FRAME_BUCKET = 900
+# Texts that are wrapped at once.
+WRAPPED_TEXTS = 256
 
 
 def caption_lines(
@@ -77,17 +79,20 @@ def emphasised(words: DataFrame, emphasis: DataFrame) -> DataFrame:
     ).drop("_clean")
 
 
-def _wrap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _wrap(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Lines of at most the caption width, by the rules of the standard
-    library's text wrapping (long words broken, breaks after hyphens)."""
+    library's text wrapping (long words broken, breaks after hyphens).  A batch
+    is taken a few texts at a time, so that its lines are never all held."""
     wrapper = textwrap.TextWrapper(width=C.CAPTION_WIDTH)
     for texts in batches:
-        yield texts.map(lambda t: wrapper.wrap(t) or [t])
+        for first in range(0, len(texts), WRAPPED_TEXTS):
+            part = texts.slice(first, WRAPPED_TEXTS).to_pylist()
+            yield pa.array([None if t is None else wrapper.wrap(t) or [t] for t in part], pa.list_(pa.string()))
 
 
 def wrap_lines(text: Column) -> Column:
     """The lines a text is wrapped into."""
-    return F.pandas_udf(_wrap, "array<string>")(text)
+    return F.arrow_udf(_wrap, "array<string>")(text)
 
 
 def cues(rows: DataFrame, text: str = "script_beat", lines_per_cue: int = C.CAPTION_LINES) -> DataFrame:

@@ -3,6 +3,7 @@
 import difflib
 import math
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -11,12 +12,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from mediaspark.functions import text
 from mediaspark.operators import (
     align, assign, candidates, captions, checks, dedup, denylist, packing, ranking, retrieval, similarity, terms, tiers, timeline,
 )
 from mediaspark.operators.library import known_assets, upsert
+from mediaspark.queries import projects
 from mediaspark.queries.assignment import walk_sql
-from mediaspark.views import CATEGORIES
+from mediaspark.views import CATEGORIES, Views
 
 
 def unit(rng, n, dim, clumps=6):
@@ -697,3 +700,11 @@ def test_packing_equals_a_walk(spark):
     got = {(r["doc_id"], r["chunk_no"]): r["chunk"] for r in packing.pack(rows, 10).collect()}
     assert got == {k: " ".join(v) for k, v in expected.items()}
     assert packing.pack(rows.limit(0), 10).collect() == []
+
+
+def test_wrapped_texts_leave_in_small_pieces():
+    texts = ["some words - and a half-hyphenated " * (i % 7) + "x" * (i % 60) for i in range(1000)] + [None, ""]
+    pieces = list(captions._wrap(iter([pa.array(texts, pa.string())])))
+    assert max(map(len, pieces)) <= captions.WRAPPED_TEXTS
+    wrapper = textwrap.TextWrapper(width=42)
+    assert [t for p in pieces for t in p.to_pylist()] == [None if t is None else wrapper.wrap(t) or [t] for t in texts]

@@ -58,46 +58,96 @@ def script_audit(pairs: DataFrame, key: str = "project_id") -> DataFrame:
     )
 
 
-def in_order_shares(wanted: Sequence[str], heard: Sequence[str], lengths: Sequence[int]) -> list[float]:
-    """For each length, the share of the wanted tokens that its window holds
-    one after the other, each as early as it can be."""
+def _places(wanted: Sequence[str], heard: Sequence[str]) -> dict[str, list[int]]:
     places: dict[str, list[int]] = {token: [] for token in wanted}
     for at, token in enumerate(heard):
         if token in places:
             places[token].append(at)
-    shares = []
-    for n in lengths:
-        past = met = 0
-        for token in wanted:
-            nth = bisect_left(places[token], past)
-            if nth < len(places[token]) and places[token][nth] < n:
-                past, met = places[token][nth] + 1, met + 1
-        shares.append(met / len(wanted) if len(wanted) else 0.0)
-    return shares
+    return places
 
 
-def _best_ends(wanted: pd.Series, ahead: pd.Series, shortest: pd.Series, longest: pd.Series) -> pd.Series:
-    """Length of the best window of each row, 0 where none is good enough.
+def _in_order(wanted: Sequence[str], places: dict[str, list[int]], n: int) -> float:
+    past = met = 0
+    for token in wanted:
+        mine = places[token]
+        nth = bisect_left(mine, past)
+        if nth < len(mine) and mine[nth] < n:
+            past, met = mine[nth] + 1, met + 1
+    return met / len(wanted) if len(wanted) else 0.0
+
 
-    Windows are compared in the order of what they could reach at most (equal
-    tokens in any order), so most are never aligned.  Of equal ones the
-    shortest wins.
+def in_order_shares(wanted: Sequence[str], heard: Sequence[str], lengths: Sequence[int]) -> list[float]:
+    """For each length, the share of the wanted tokens that its window holds
+    one after the other, each as early as it can be."""
+    places = _places(wanted, heard)
+    return [_in_order(wanted, places, n) for n in lengths]
+
+
+def _equal_tokens(matcher: difflib.SequenceMatcher, n_a: int, n_b: int, known: dict) -> int:
+    """Tokens in the matching blocks of the first side and the first ``n_b``
+    tokens of the second: those that a matcher of that window would find.
+    ``known`` keeps longest matches, as windows share most of them."""
+    equal, queue = 0, [(0, n_a, 0, n_b)]
+    while queue:
+        part = queue.pop()
+        found = known.get(part)
+        if found is None:
+            found = known[part] = matcher.find_longest_match(*part)
+        i, j, k = found
+        if k:
+            a, a_end, b, b_end = part
+            equal += k
+            if a < i and b < j:
+                queue.append((a, i, b, j))
+            if i + k < a_end and j + k < b_end:
+                queue.append((i + k, a_end, j + k, b_end))
+    return equal
+
+
+def _best_end(wanted: list[str], words: list[str], shortest: int, longest: int) -> int:
+    """Length of the best window, 0 if none is good enough.
+
+    What windows could reach at most comes from running counts of equal tokens
+    in any order; windows are compared in that order, so most are never
+    aligned.  All windows start at one place, so one matcher serves them.  Of
+    equal ones the shortest wins.
     """
-    found = []
-    for tokens, words, low, high in zip(wanted, ahead, shortest, longest):
-        tokens, words, bounds = list(tokens), list(words), []
-        lengths = range(int(low), int(high) + 1)
-        for n, part in zip(lengths, in_order_shares(tokens, words, lengths)):
-            matcher = difflib.SequenceMatcher(a=tokens, b=[w for w in words[:n] if w], autojunk=False)
-            bounds.append((-(0.7 * matcher.quick_ratio() + 0.3 * part), n, part, matcher))
-        best = (-C.ALIGN_ACCEPT, 0)
-        for bound, n, part, matcher in sorted(bounds, key=lambda b: b[:2]):
-            if bound > best[0]:
-                break
-            value = (-(0.7 * matcher.ratio() + 0.3 * part), n)
-            if value[0] < best[0] or (value[0] == best[0] and (best[1] == 0 or n < best[1])):
-                best = value
-        found.append(best[1])
+    if longest < shortest:
+        return 0
+    size, left, heard, common, bounds = len(wanted), {}, 0, 0, []
+    for token in wanted:
+        left[token] = left.get(token, 0) + 1
+    for n in range(longest + 1):
+        if n and (word := words[n - 1]):
+            heard += 1
+            if left.get(word, 0) > 0:
+                left[word] -= 1
+                common += 1
+        if n >= shortest:
+            likeness = 2.0 * common / (size + heard) if size + heard else 1.0
+            # tokens in order are among the common ones
+            bounds.append((-(0.7 * likeness + 0.3 * (common / size if size else 0.0)), n, likeness, heard))
+    best, matcher = (-C.ALIGN_ACCEPT, 0), None
+    for bound, n, likeness, heard in sorted(bounds):
+        if bound > best[0]:
+            break
+        if matcher is None:
+            matcher = difflib.SequenceMatcher(a=wanted, b=[w for w in words if w], autojunk=False)
+            places, known = _places(wanted, words), {}
+        part = _in_order(wanted, places, n)
+        if -(0.7 * likeness + 0.3 * part) > best[0]:
+            continue
+        both = size + heard
+        ratio = 2.0 * _equal_tokens(matcher, size, heard, known) / both if both else 1.0
+        value = (-(0.7 * ratio + 0.3 * part), n)
+        if value[0] < best[0] or (value[0] == best[0] and (best[1] == 0 or n < best[1])):
+            best = value
+    return best[1]
+
+
+def _best_ends(wanted: pd.Series, ahead: pd.Series, shortest: pd.Series, longest: pd.Series) -> pd.Series:
+    """Length of the best window of each row, 0 where none is good enough."""
+    found = [_best_end(list(w), list(a), int(low), int(high)) for w, a, low, high in zip(wanted, ahead, shortest, longest)]
     return pd.Series(found, dtype="int32")
 
 
@@ -161,7 +211,7 @@ def _in_turn(beats: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     for tokens, naive in zip(beats["tokens"], beats["naive"]):
         ahead = heard[at:at + naive + C.ALIGN_SLACK + C.ALIGN_EXTRA]
         wanted = [t for t in tokens if t not in C.FILLER_WORDS]
-        best = _best_ends([wanted], [ahead], [max(1, naive - C.ALIGN_SLACK)], [len(ahead) if len(tokens) else 0])[0]
+        best = _best_end(wanted, ahead, max(1, naive - C.ALIGN_SLACK), len(ahead) if len(tokens) else 0)
         ends.append((at, at + (best or min(len(ahead), naive)), best > 0))
         at = ends[-1][1]
     spans = pd.DataFrame(ends, columns=["first_word", "end_word", "matched"], index=beats.index)

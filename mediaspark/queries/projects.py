@@ -9,6 +9,7 @@ from mediaspark.functions import scoring
 from mediaspark.functions.text import overlap_tokens, words
 from mediaspark.functions.timecode import code_pair
 from mediaspark.operators import align, captions, checks, reports, retrieval, timeline
+from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import block_scan
 from mediaspark.queries import oracle as O
 from mediaspark.queries import search, timing
@@ -49,7 +50,8 @@ def full_timing(v: Views) -> DataFrame:
     rows = rows.select("project_id", "clip_number", "start", "end").join(
         v.clip_rows.select("project_id", "clip_number", "script_beat"), ["project_id", "clip_number"]
     )
-    rows = timeline.split_long_rows(rows, longest=v.longest)
+    # written, as the scan that follows looks for the highest position first
+    rows = written(timeline.split_long_rows(rows, longest=v.longest), "split")
     return timeline.force_contiguity(rows).select(
         "project_id", "parent_clip", "part", "clip_number", "start", "end", "script_beat"
     )

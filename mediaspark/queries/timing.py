@@ -9,6 +9,7 @@ from mediaspark.functions import media
 from mediaspark.functions.text import word_count
 from mediaspark.functions.timecode import srt_code, to_code, to_seconds
 from mediaspark.operators import captions, checks, timeline
+from mediaspark.plans.materialise import written
 from mediaspark.queries import oracle as O
 from mediaspark.queries.registry import register
 from mediaspark.views import Views
@@ -164,7 +165,8 @@ SELECT project_id, parent_clip, part, clip_number, end_code AS "end",
  coalesce(lag(end_code) OVER (PARTITION BY project_id ORDER BY clip_number), start_code) AS start, script_beat
 FROM split_rows"""))
 def split_long_rows(v: Views) -> DataFrame:
-    rows = timeline.split_long_rows(contiguous(v), longest=v.longest)
+    # written, as the scan that follows looks for the highest position first
+    rows = written(timeline.split_long_rows(contiguous(v), longest=v.longest), "split")
     return timeline.force_contiguity(rows).select(
         "project_id", "parent_clip", "part", "clip_number", "start", "end", "script_beat"
     )

@@ -708,3 +708,41 @@ def test_wrapped_texts_leave_in_small_pieces():
     assert max(map(len, pieces)) <= captions.WRAPPED_TEXTS
     wrapper = textwrap.TextWrapper(width=42)
     assert [t for p in pieces for t in p.to_pylist()] == [None if t is None else wrapper.wrap(t) or [t] for t in texts]
+
+
+def test_windows_of_a_beat_share_one_matcher(monkeypatch):
+    def ends(wanted, words, low, high):
+        """Every window by a matcher of its own."""
+        best = (-0.55, 0)
+        for n in range(low, high + 1):
+            ratio = difflib.SequenceMatcher(a=wanted, b=[w for w in words[:n] if w], autojunk=False).ratio()
+            value = (-(0.7 * ratio + 0.3 * align.in_order_shares(wanted, words, [n])[0]), n)
+            if value[0] < best[0] or (value[0] == best[0] and best[1] == 0):
+                best = value
+        return best[1]
+
+    rng, made = random.Random(5), []
+    beats = []
+    for _ in range(300):
+        vocabulary = [f"w{i}" for i in range(rng.choice([2, 5, 30]))]
+        wanted = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 25))]
+        words = [w if rng.random() < 0.8 else rng.choice([*vocabulary, "", "um"]) for w in wanted + wanted[:6] if rng.random() > 0.15]
+        beats.append((wanted, words, max(1, len(wanted) - 6), min(len(words), len(wanted) + 10)))
+    want = [ends(*beat) for beat in beats]
+    matcher = difflib.SequenceMatcher
+    monkeypatch.setattr(align.difflib, "SequenceMatcher", lambda *a, **k: made.append(1) or matcher(*a, **k))
+    assert align._best_ends(*zip(*beats)).tolist() == want
+    assert len(made) <= len(beats)
+
+
+def test_full_timing_aligns_once(spark, monkeypatch):
+    seen, turn = spark.sparkContext.accumulator(0), align._in_turn
+
+    def counted(beats, words):
+        seen.add(1)
+        return turn(beats, words)
+
+    monkeypatch.setattr(align, "_in_turn", counted)
+    v = Views(spark, "/root/testdata/sf0.001")
+    rows = projects.full_timing(v).count()
+    assert rows >= v.clip_rows.count() and seen.value == v.clip_rows.select("project_id").distinct().count()

@@ -83,7 +83,9 @@ def url_slug(url: Column | str) -> Column:
 
 def caption_slug(text: Column | str, max_words: int = 6) -> Column:
     """File-name stem of a caption: letters, digits and the first words."""
-    cleaned = F.lower(F.regexp_replace(col(text), r"[^a-zA-Z0-9\s_]", ""))
+    # a word is a run without white space and _ that has a letter or digit; what follows the last one wanted is not read
+    first = F.regexp_extract(col(text), rf"^(?:[^a-zA-Z0-9]*+[a-zA-Z0-9][^\s_]*+){{0,{max_words}}}", 0)
+    cleaned = F.lower(F.regexp_replace(first, r"[^a-zA-Z0-9\s_]", ""))
     parts = F.filter(F.split(cleaned, r"[\s_]+"), lambda w: w != "")
     stem = F.array_join(F.slice(parts, 1, max_words), "_")
     return F.when(stem == "", F.lit("clip")).otherwise(stem)

@@ -1,6 +1,9 @@
 """Scalar expressions against plain values."""
 
+import random
+import re
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +176,12 @@ def test_wrap_follows_textwrap(spark):
     bodies = ["a short line", "x" * 100, "well-known " * 12, "mixed words of many lengths " * 9]
     rows = spark.createDataFrame([(b,) for b in bodies], "t string").select("t", wrap_lines(F.col("t")).alias("l")).collect()
     assert all(r["l"] == textwrap.wrap(r["t"], 42) for r in rows)
+
+
+def test_slugs_are_those_of_the_whole_caption(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab9Z _-\u00e9\u3000\t\n!") for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.caption_slug("t").alias("slug")).collect()
+    for r in rows:
+        parts = [w for w in re.split(r"[ \t\n_]+", re.sub(r"[^a-zA-Z0-9 \t\n_]", "", r["t"]).lower()) if w]
+        assert r["slug"] == ("_".join(parts[:6]) or "clip")

@@ -746,3 +746,16 @@ def test_full_timing_aligns_once(spark, monkeypatch):
     v = Views(spark, "/root/testdata/sf0.001")
     rows = projects.full_timing(v).count()
     assert rows >= v.clip_rows.count() and seen.value == v.clip_rows.select("project_id").distinct().count()
+
+
+def test_captions_are_read_once_for_their_names(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def caption(i):
+        read.add(1)
+        return f"Caption {i % 9}"
+
+    files = spark.range(300).select(
+        F.lit("f").alias("folder"), F.lit(".mp4").alias("ext"), F.format_string("n%04d", "id").alias("name"), F.udf(caption)("id").alias("caption"))
+    assert dedup.unique_names(files).select("new_name").distinct().count() == 300
+    assert read.value == 300

@@ -1,12 +1,14 @@
-"""Greedy packing of sentences into chunks, as rows."""
+"""Greedy packing of sentences into chunks, of rows or of whole texts."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediaspark.functions.text import sentences as split_sentences
+from mediaspark.functions.text import word_count
 from mediaspark.plans.materialise import written
 from mediaspark.plans.skew import block_scan
 
@@ -54,3 +56,33 @@ def pack(sentences: DataFrame, max_words: int) -> DataFrame:
     return numbered.groupBy("doc_id", "chunk_no").agg(
         F.sum("n_words").cast("int").alias("n_words"), F.array_join(F.transform(part, lambda s: s["sentence"]), " ").alias("chunk")
     )
+
+
+def pack_texts(texts: DataFrame, max_words: int, text: str = "text") -> DataFrame:
+    """doc_id, chunk_no, n_words, chunk of texts that lie whole in their rows.
+
+    The same chunks as those of ``pack`` over the sentences.  As a text and all
+    its sentences are in one row, nothing is shuffled or written in between:
+    sentences are counted in their row, one pass over the counts names the
+    first sentence of every chunk, and chunks are cut out of the row.
+    """
+    rows = texts.select("doc_id", split_sentences(text).alias("parts"))
+    rows = rows.withColumn("counts", F.transform("parts", word_count))
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("held"), F.lit(0).alias("at"))
+
+    def step(state: Column, n: Column) -> Column:
+        new = (state["at"] == 0) | (state["held"] + n > max_words)
+        return F.struct(
+            F.when(new, F.concat(state["starts"], F.array(state["at"] + 1))).otherwise(state["starts"]).alias("starts"),
+            F.when(new, n).otherwise(state["held"] + n).alias("held"), (state["at"] + 1).alias("at"),
+        )
+
+    rows = rows.withColumn("starts", F.aggregate("counts", none, step, lambda s: s["starts"]))
+
+    def chunk(start: Column, i: Column) -> Column:
+        after = F.coalesce(F.get("starts", i + 1), F.size("parts") + 1)
+        own = lambda c: F.slice(c, start, after - start)
+        words = F.aggregate(own("counts"), F.lit(0), lambda total, n: total + n)
+        return F.struct(i.cast("int").alias("chunk_no"), words.alias("n_words"), F.array_join(own("parts"), " ").alias("chunk"))
+
+    return rows.select("doc_id", F.inline(F.transform("starts", chunk)))

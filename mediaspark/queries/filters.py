@@ -223,9 +223,7 @@ SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(sum(n) AS INT) AS n_words
   FROM walk w JOIN sentence_rows r ON w.doc_id = r.doc_id AND r.i = w.i + 1)
  SELECT * FROM walk) GROUP BY doc_id, chunk_no"""))
 def chunk_pack(v: Views) -> DataFrame:
-    rows = v.table("documents").select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
-    sentences = rows.select("doc_id", (F.col("pos") + 1).alias("sentence_no"), "sentence", text.word_count("sentence").alias("n_words"))
-    return packing.pack(sentences, C.CHUNK_WORDS)
+    return packing.pack_texts(v.table("documents"), C.CHUNK_WORDS)
 
 
 @register("scripts_accepted", O.query(f"""

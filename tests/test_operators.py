@@ -759,3 +759,17 @@ def test_captions_are_read_once_for_their_names(spark):
         F.lit("f").alias("folder"), F.lit(".mp4").alias("ext"), F.format_string("n%04d", "id").alias("name"), F.udf(caption)("id").alias("caption"))
     assert dedup.unique_names(files).select("new_name").distinct().count() == 300
     assert read.value == 300
+
+
+def test_texts_are_packed_in_their_rows_as_their_sentences_are(spark):
+    rng = random.Random(9)
+    sentence = lambda: " ".join(["word"] * rng.randrange(1, 14)) + rng.choice([".", "!", "?"])
+    made = [(i, " ".join(sentence() for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(60, ""), (61, None), (62, " \u00a0 "), (63, "one " * 50)]
+    texts = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3).localCheckpoint()
+    packed = packing.pack_texts(texts, 20)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    rows = texts.select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
+    rows = rows.select("doc_id", (F.col("pos") + 1).alias("sentence_no"), "sentence", text.word_count("sentence").alias("n_words"))
+    by_rows = packing.pack(rows, 20)
+    assert packed.dtypes == by_rows.select(packed.columns).dtypes
+    assert sorted(packed.collect()) == sorted(by_rows.select(packed.columns).collect())

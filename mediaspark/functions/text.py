@@ -21,15 +21,6 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def strip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), f"^{SPACE}+|{SPACE}+$", "")
-
-
-def is_blank(text: Column | str) -> Column:
-    text = col(text)
-    return text.isNull() | (strip(text) == "")
-
-
 # The white space that a plain \\s does not cover: mapped to a blank first, as
 # one translate and a plain split are several times faster than a split on the
 # whole class.
@@ -39,6 +30,17 @@ _WIDE_SPACE = (
 )
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space at both ends.  A pattern that looks for the end
+    would start at every blank of a run inside the text."""
+    return F.btrim(col(text), F.lit(" \t\n\x0b\x0c\r" + _WIDE_SPACE))
+
+
+def is_blank(text: Column | str) -> Column:
+    text = col(text)
+    return text.isNull() | (strip(text) == "")
+
+
 def _split_words(text: Column, drop: str = "") -> Column:
     """Pieces between white space (empty pieces kept), ``drop`` characters removed."""
     return F.split(F.translate(text, _WIDE_SPACE + drop, " " * len(_WIDE_SPACE)), r"\s+")
@@ -92,23 +94,20 @@ def caption_slug(text: Column | str, max_words: int = 6) -> Column:
 
 
 def key_slug(name: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(col(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.btrim(F.regexp_replace(F.lower(col(name)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def safe_file_name(name: Column | str) -> Column:
     cleaned = F.regexp_replace(col(name), r'[<>:"/\\|?*\x00-\x1f]', "")
-    return F.regexp_replace(F.regexp_replace(strip(cleaned), f"{SPACE}+", "_"), "^_+|_+$", "")
+    return F.btrim(F.regexp_replace(strip(cleaned), f"{SPACE}+", "_"), F.lit("_"))
 
 
 def final_video_name(project: Column | str) -> Column:
     """Output file name of a project; generated project names get the default."""
     default = F.lit("final_video_with_narration.mp4")
-    safe = safe_file_name(project)
-    return (
-        F.when(col(project).rlike(r"^project_\d+$"), default)
-        .when(safe == "", default)
-        .otherwise(F.concat(safe, F.lit(".mp4")))
-    )
+    # bound to a name, as two uses would be worked out twice
+    named = F.transform(F.array(safe_file_name(project)), lambda s: F.when(s == "", default).otherwise(F.concat(s, F.lit(".mp4"))))
+    return F.when(col(project).rlike(r"^project_\d+$"), default).otherwise(F.element_at(named, 1))
 
 
 def url_extension(url: Column | str, media_type: Column | str) -> Column:

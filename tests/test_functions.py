@@ -178,6 +178,21 @@ def test_wrap_follows_textwrap(spark):
     assert all(r["l"] == textwrap.wrap(r["t"], 42) for r in rows)
 
 
+def test_long_runs_of_blanks_and_underscores_take_no_square(spark):
+    """A pattern that ends at the end of the text starts anew at every blank of a run."""
+    run = 150_000
+    rows = spark.createDataFrame([("a" + " " * run + "b",), ("_" * run + "c" + "_" * run + "d__",), (" \u3000\x1f_x_\x85\n",), ("",), (None,)], "t string")
+    started = time.time()
+    got = rows.select(text.strip("t"), text.safe_file_name("t"), text.key_slug("t"), text.final_video_name("t"), text.caption_slug("t")).collect()
+    assert time.time() - started < 20
+    default = "final_video_with_narration.mp4"
+    assert [tuple(r) for r in got] == [
+        ("a" + " " * run + "b", "a_b", "a_b", "a_b.mp4", "a_b"),
+        ("_" * run + "c" + "_" * run + "d__", "c" + "_" * run + "d", "c_d", "c" + "_" * run + "d.mp4", "c_d"),
+        ("_x_", "x", "x", "x.mp4", "x"), ("", "", "", default, "clip"), (None, None, None, None, None),
+    ]
+
+
 def test_slugs_are_those_of_the_whole_caption(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab9Z _-\u00e9\u3000\t\n!") for _ in range(rng.randrange(0, 60))) for _ in range(400)]

@@ -114,7 +114,8 @@ def cues(rows: DataFrame, text: str = "script_beat", lines_per_cue: int = C.CAPT
         share = (F.col("_e") - F.col("_s")) * (done.cast("double") / F.col("_total"))
         return F.least(F.col("_e"), F.col("_s") + share)
 
-    out = kept.select("*", F.posexplode("_chunks").alias("part", "cue_text"))
+    # every text has a line; a plain explode is preceded by a filter on its array, for which Spark would wrap all texts once more
+    out = kept.select("*", F.posexplode_outer("_chunks").alias("part", "cue_text"))
     return out.select(
         "project_id", "clip_number", "part",
         F.when(F.col("part") == 0, F.col("_s")).otherwise(upto(F.col("part"))).alias("start_s"),

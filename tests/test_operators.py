@@ -773,3 +773,9 @@ def test_texts_are_packed_in_their_rows_as_their_sentences_are(spark):
     by_rows = packing.pack(rows, 20)
     assert packed.dtypes == by_rows.select(packed.columns).dtypes
     assert sorted(packed.collect()) == sorted(by_rows.select(packed.columns).collect())
+
+
+def test_cues_wrap_a_text_once(spark):
+    rows = spark.createDataFrame([("p", 1, "00:00:00", "00:00:09", "some text")], "project_id string, clip_number int, start string, end string, script_beat string")
+    plan = captions.cues(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

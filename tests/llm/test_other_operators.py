@@ -21,7 +21,7 @@ from mediaspark.llm.common import shared_path  # noqa: E402
 from mediaspark.llm.ctw import Model, fit, runs, scores  # noqa: E402
 from mediaspark.llm.mixing import fit_rates, memberships, mixed, mixture  # noqa: E402
 from mediaspark.llm.parity_join import one_of_each, similarity_components  # noqa: E402
-from mediaspark.llm.repeats import repeated_starts, without_repeats  # noqa: E402
+from mediaspark.llm.repeats import kept_texts, repeated_starts, without_repeats  # noqa: E402
 from mediaspark.llm.tokens import token_files, write_sequences  # noqa: E402
 from mediaspark.llm.weak_quality import classify, posteriors  # noqa: E402
 from mediaspark.llm.words import chunks, shingle_sets, word_hashes  # noqa: E402
@@ -178,6 +178,24 @@ def test_repeats_of_odd_rows(spark):
     assert without_repeats(docs(spark, [])).count() == 0
 
 
+def test_planted_passages_are_gone_from_the_kept_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randint(2, 7))) for _ in range(n))
+    long, short = words(90), words(51)
+    assert len(long.encode()) >= 400 > len(short.encode())
+    # beginnings and ends around a passage differ, so that exactly the passage is covered
+    rows = [(i, f"{words(40)} {i}<{p}>{i} {words(rng.randint(0, 60))}") for i, p in enumerate([long, long, short, short, "", words(80), long])]
+    got = {r.doc_id: r for r in kept_texts(docs(spark, rows)).collect()}
+    for i, t in rows:
+        at = t.encode().find(f"<{long}>".encode())
+        spans = [(at, at + len(long.encode()) + 2)] if at >= 0 else []
+        assert [tuple(s) for s in got[i].spans] == spans and got[i].n_bytes == len(t.encode())
+        assert bytes(got[i].kept).decode() == t.replace(f"<{long}>", "")
+    # only passages below 400 bytes stay, whatever their number of words
+    assert sorted(i for i in got if short.encode() in bytes(got[i].kept)) == [2, 3]
+
+
 def test_index_finds_repeats_within_groups():
     rng = random.Random(8)
     texts = [bytes(rng.choices(b"ab", k=rng.randint(1, 60))) for _ in range(60)]

@@ -73,7 +73,7 @@ def overlap_tokens(text: Column | str) -> Column:
 def longest_first(tokens: Column) -> Column:
     """Tokens by falling length, then alphabetically."""
     keyed = F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))
-    return F.transform(F.array_sort(keyed), lambda s: s["t"])
+    return F.transform(F.sort_array(keyed), lambda s: s["t"])
 
 
 def url_slug(url: Column | str) -> Column:

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from mediaspark import config as C
 from mediaspark.functions import scoring
 from mediaspark.functions.media import known_low_res
-from mediaspark.functions.text import overlap_tokens
-from mediaspark.operators.retrieval import clip_phrases, provider_active, provider_rank, retrieve, weighted_tokens
+from mediaspark.operators.retrieval import clip_phrases, provider_active, provider_rank, search
 from mediaspark.operators.similarity import pair_dots
 from mediaspark.operators.terms import Category, first_banned_by_category
 from mediaspark.plans.materialise import written
-from mediaspark.plans.skew import hot_join, salted_join
+from mediaspark.plans.skew import hot_join
 
 CLIP_KEY = ("project_id", "clip_number")
 
@@ -34,50 +33,34 @@ def score_candidates(
 
     The beat side of the join on the entry is skewed by nature (the first
     entries of a source fill every thin result), so only those hot entries are
-    copied; the tokens of the retrieved entries travel once per entry, as numbers
-    and only those that a keyword has, and the denylists are matched once per
-    entry, not once per beat.  Rows meet vectors by the ids of their pair.
+    copied; the tokens of the retrieved entries travel once per entry, as the ids
+    that the search has worked out, and the denylists are matched once per
+    entry, where its text lies.  Rows meet vectors by the ids of their pair.
     """
-    phrases = clip_phrases(clips)
-    found = written(retrieve(phrases, hits, weights, per_page), "found")
-
-    keyword = weighted_tokens(clips.select(F.col("canva_keyword").alias("query")), "query", weights)
-    keyword = keyword.select(F.col("query").alias("canva_keyword"), F.col("weighted").alias("keyword_tokens"))
-    # words of the keywords as numbers, so that neither side carries strings; written, as they must not change between uses
-    numbers = written(
-        keyword.select(F.explode("keyword_tokens.token").alias("token")).distinct().withColumn("n", F.monotonically_increasing_id()), "words"
-    )
-    keyword = keyword.select("canva_keyword", F.explode("keyword_tokens").alias("t")).select("canva_keyword", "t.token", "t.w")
-    keyword = salted_join(keyword, numbers, ["token"], spread=["canva_keyword"]).groupBy("canva_keyword").agg(
-        F.collect_list(F.struct(F.col("n").alias("token"), "w")).alias("keyword_tokens")
-    )
+    phrases = written(clip_phrases(clips).select(*CLIP_KEY, "visual_type", "category", "canva_keyword", "tier", "phrase_no", "query", "vec_id"), "asked")
+    pages, words, tokens = search(phrases, hits, weights, per_page)
+    found = written(pages.select("query", F.transform("page", lambda e: F.struct(e["source"].alias("source"), e["pos"].alias("pos"), e["entry"].alias("entry"))).alias("page")), "found")
+    # a main keyword is a phrase of its own
+    keyword = words.select(F.col("query").alias("canva_keyword"), F.arrays_zip(F.col("words").alias("token"), F.col("ws").alias("w")).alias("keyword_tokens"))
     beats = (
         phrases.select(*CLIP_KEY, "visual_type", "category", "canva_keyword", "tier", "phrase_no", "query", F.col("vec_id").alias("a"))
         .join(keyword, "canva_keyword", "left").drop("canva_keyword")
     )
-    # one row per phrase and source meets the beats
-    pages = found.groupBy("query", "source").agg(F.collect_list(F.struct("pos", "entry")).alias("page"))
+    # one row per phrase meets the beats
     rows = (
-        beats.join(pages, "query").drop("query")
+        beats.join(found, "query").drop("query")
+        .withColumn("e", F.explode("page")).drop("page").select("*", "e.source", "e.pos", "e.entry").drop("e")
         .withColumn("provider_rank", provider_rank())
         .where(provider_active(categories=categories))
-        .withColumn("e", F.explode("page")).drop("page").select("*", "e.pos", "e.entry").drop("e")
     )
-    wanted = found.groupBy("entry").agg(F.count("*").alias("n"))
-    entries = (
-        hits.join(wanted.select(F.col("entry").alias("doc_id")), "doc_id", "left_semi")
-        .withColumn("_lower", F.lower("text"))
-        .select(
-            F.col("doc_id").alias("entry"), "source_id", "width", "height", "media_type", "duration",
-            (F.coalesce("text", F.lit("")) == "").alias("no_text"), F.col("vec_id").alias("b"),
-            overlap_tokens("text").alias("tokens"),
-            first_banned_by_category("_lower", categories, lowered=True).alias("banned_by"),
-        )
+    wanted = written(found.select(F.explode("page.entry").alias("entry")).groupBy("entry").agg(F.count("*").alias("n")), "wanted")
+    entries = hits.withColumn("_lower", F.lower("text")).select(
+        F.col("doc_id").alias("entry"), "source_id", "width", "height", "media_type", "duration",
+        (F.coalesce("text", F.lit("")) == "").alias("no_text"), F.col("vec_id").alias("b"),
+        first_banned_by_category("_lower", categories, lowered=True).alias("banned_by"),
     )
-    entries = written(entries, "wanted")
-    held = salted_join(entries.select("entry", F.explode("tokens").alias("token")), numbers, ["token"], spread=["entry"])
-    held = held.groupBy("entry").agg(F.collect_list("n").alias("tokens"))
-    entries = entries.drop("tokens").join(held, "entry", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<bigint>")))
+    # no semi join, which the planner would put before the texts are read off
+    entries = entries.join(wanted.select("entry"), "entry").join(tokens.select("entry", F.col("words").alias("tokens")), "entry")
     joined = hot_join(rows, entries, "entry", wanted, spread=["project_id", "clip_number", "tier", "phrase_no"])
     empty = F.array().cast("array<struct<token:bigint,w:bigint>>")
     joined = joined.withColumn("keyword_tokens", F.coalesce("keyword_tokens", empty))

@@ -1,12 +1,12 @@
 """Keyword retrieval: the best few catalogue entries of every source for a
 phrase, ranked by rarity-weighted overlap, first-indexed entry first on ties.
 
-Phrases with equal tokens are one token set.  An entry of a page holds either
-one token of the set, then it is among the first of that token and source, or
-several.  The first entries of every token are cut out where the entries lie.
-For entries with several tokens, each task cuts its entries into blocks, whose
-number is bounded, and turns a block into postings (block, token, places).  A
-set visits only blocks that hold two of its tokens, in rounds, early entries
+Tokens are compared by 64-bit hashes (word ids), and only words that a phrase
+has leave their texts.  Phrases with equal tokens are one token set.  An entry
+of a page holds either one word of the set, then it is among the first of that
+word and source, or several.  For the latter, entries are put into their order
+and cut into blocks, whose number is bounded; a block is one row of postings.
+A set visits only blocks that hold two of its words, in rounds, early entries
 first and more blocks each time; once its pages are full, only blocks whose
 weight can still beat them.  The sets of a block stream past its postings, so
 that postings travel once and a set travels as one short row.
@@ -25,29 +25,39 @@ from pyspark.sql import functions as F
 
 from mediaspark import config as C
 from mediaspark.functions.scoring import WEIGHT_UNIT, rarity, total_weight
-from mediaspark.functions.text import normal_tokens, overlap_tokens
+from mediaspark.functions.text import overlap_tokens
+from mediaspark.functions.tokens import count_in_match, counts, distinct_ids, pieces, stretches, word_ids
 from mediaspark.plans.materialise import written
-from mediaspark.plans.skew import salted_join, top_per_group
+from mediaspark.plans.skew import hot_join, salted_join, top_per_group
 
 # Least entries of a block, and about how many blocks there may be.  A set makes
 # a row, and a page of results, in every block that it reads.
-BLOCK_ENTRIES, MAX_BLOCKS = 16384, 100
+BLOCK_ENTRIES, MAX_BLOCKS = 4096, 100
 # Blocks that are open to every set in the first round, and by how much a round
 # reaches further than the one before.
 FIRST_BLOCKS, FURTHER = 2, 8
-# Sets that one task takes past the postings of a block.
-SETS_PER_TASK = 2_000_000
+# Sets that one task takes past the postings of a block at most, and at least if tasks are few.
+SETS_PER_TASK, LEAST_SETS = 2_000_000, 8_192
 # Places that are looked up at once.
 PROBES = 2_000_000
+# A word in one of so many entries of a block at least is looked up in a bitmap.
+COMMON = 64
+# Bits of the bitmap of the words that sets have: 8 MB, whatever the input.
+SLOTS = 1 << 26
 
 
 def word_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
     """Relative frequency and rarity weight of every token of a corpus."""
-    tokens = texts.select(F.explode(normal_tokens(text)).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in stretches(batch.column(0)):
+                _, number, names = pieces(part)
+                yield pa.RecordBatch.from_arrays([*counts(names, number)], names=["token", "n"])
+
+    found = texts.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    total = found.agg(F.sum("n").alias("total"))
     # one-row side: the corpus total
-    out = counts.join(F.broadcast(total), F.lit(True))
+    out = found.join(F.broadcast(total), F.lit(True))
     frequency = F.col("n").cast("double") / F.col("total").cast("double")
     return out.select("token", "n", frequency.alias("frequency"), rarity(frequency).alias("weight"))
 
@@ -64,55 +74,136 @@ def weighted_tokens(phrases: DataFrame, phrase: str, weights: DataFrame) -> Data
     return joined.groupBy(phrase).agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("weighted"))
 
 
-def _places(lists: pa.Array) -> np.ndarray:
-    """Start and end of every list among the flattened values."""
-    return np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-
-
 def _nested(values: np.ndarray | pa.Array, owner: np.ndarray, n: int) -> pa.Array:
     """Lists of ``values`` by their ascending ``owner`` 0..n-1."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values))
 
 
-def posting_blocks(entries: DataFrame, block_entries: int, per_page: int) -> DataFrame:
-    """(block, token, places, entries, sources): for every block of entries the
-    places of each token with its first ``per_page`` entries of each source,
-    and under no token all entries in order with their sources.
+def _flat(lists: pa.Array) -> np.ndarray:
+    """The values of all lists, one after the other."""
+    return lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _owners(lists: pa.Array) -> np.ndarray:
+    """The row of every value of the lists."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    if not len(keys[0]):
+        return np.zeros(0, dtype=np.int64)
+    new = np.zeros(len(keys[0]) - 1, dtype=bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.append(True, new))
+
+
+def _rank(starts: np.ndarray, n: int) -> np.ndarray:
+    """Place inside its run of each of ``n`` rows."""
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
+def _ordered(values: pa.Array) -> np.ndarray:
+    """Numbers in the order of the values."""
+    if pa.types.is_integer(values.type):
+        return values.to_numpy(zero_copy_only=False)
+    coded = values.dictionary_encode()
+    place = np.empty(len(coded.dictionary), dtype=np.int64)
+    place[pa.compute.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))
+    return place[coded.indices.to_numpy()]
+
+
+def coded_sets(sets: DataFrame) -> DataFrame:
+    """set_id, words, ws: the word ids and weights of every set.  ``sets``: set_id, weighted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weighted = batch.column("weighted")
+            items, owner = weighted.flatten(), _owners(weighted)
+            coded = items.field("token").dictionary_encode()
+            words = word_ids(coded.dictionary)[coded.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("set_id"), _nested(words, owner, len(batch)), _nested(items.field("w"), owner, len(batch))], names=["set_id", "words", "ws"]
+            )
+
+    return sets.select("set_id", "weighted").mapInArrow(run, "set_id bigint, words array<bigint>, ws array<bigint>")
+
+
+def known_words(sets: DataFrame):
+    """Broadcast bitmap of the words of all sets, of fixed size."""
+    slot = F.pmod("word", F.lit(SLOTS)) + 1
+    place = [F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")]
+    found = sets.select(F.explode("words").alias("word")).select(*place).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros((SLOTS // 32768, 4096), dtype=np.uint8)
+    for r in found.collect():  # at most SLOTS / 32768 rows of 4 KB
+        bits[r["bucket"] - 1] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return sets.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+
+def coded_entries(entries: DataFrame, known, tokens: bool = False) -> DataFrame:
+    """entry, source, words: for every entry the ids of its distinct tokens that count, of
+    those that a set may have.  ``entries``: entry, source and text, or else
+    the ``tokens`` themselves."""
+    kind, column = entries.schema["entry"].dataType.simpleString(), "tokens" if tokens else "text"
+
+    def ids(values: pa.Array) -> pa.Array:
+        if tokens:
+            coded = values.flatten().dictionary_encode()
+            row, number, names = _owners(values), coded.indices.to_numpy(), coded.dictionary
+        else:
+            row, number, names = pieces(values)
+        word = word_ids(names)
+        slot = word & (SLOTS - 1)
+        asked = (known.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        if not tokens:
+            asked &= count_in_match(names)
+        mine = asked[number]
+        row, word = distinct_ids(row[mine], word[number[mine]])
+        return _nested(word, row, len(values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(column)
+            for first, part in [(0, values)] if tokens else stretches(values):
+                same = batch.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([same.column("entry"), same.column("source"), ids(part)], names=["entry", "source", "words"])
+
+    return entries.select("entry", "source", column).mapInArrow(run, f"entry {kind}, source string, words array<bigint>")
+
 
-    ``entries``: entry, source, tokens.  Blocks are cut inside tasks, so that
-    no entry is moved.
+def posting_blocks(entries: DataFrame, block_entries: int) -> DataFrame:
+    """(block, low, words, ends, places, sources, of, entries): one row per block of
+    entries: its words, where their places end in the list of places,
+    the entries in order and the numbers of their sources.
+
+    ``entries``: entry, source, words, each partition in the order of entries.  Blocks
+    are cut inside tasks.
     """
     kind = entries.schema["entry"].dataType.simpleString()
 
     def block(number: int, rows: pa.Table) -> pa.RecordBatch:
         rows = rows.sort_by("entry").combine_chunks()
-        every, source = (rows.column(c).combine_chunks() for c in ("entry", "source"))
-        lists = rows.column("tokens").combine_chunks()
-        coded, names = lists.flatten().dictionary_encode(), source.dictionary_encode()
-        place = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
-        token, n = coded.indices.to_numpy(), len(coded.dictionary)
-        by_token = np.argsort(token, kind="stable")
-        # first entries of every token and source: rank inside a run of equal keys
-        key = token.astype(np.int64) * len(names.dictionary) + names.indices.to_numpy()[place]
-        by_key = np.argsort(key, kind="stable")
-        runs = np.flatnonzero(np.append(True, key[by_key][1:] != key[by_key][:-1]))
-        rank = np.arange(len(key)) - np.repeat(runs, np.diff(np.append(runs, len(key))))
-        heads = by_key[rank < per_page]
-        at, owner = pa.array(place[heads]), token[heads]
+        every, source, lists = (rows.column(c).combine_chunks() for c in ("entry", "source", "words"))
+        names = source.dictionary_encode()
+        word, place = _flat(lists), _owners(lists).astype(np.int32)
+        order = np.argsort(word, kind="stable")
+        word = word[order]
+        starts = _runs(word)
+        one = lambda x, t: pa.array([x], pa.list_(t))
         columns = [
-            pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]),
-            _nested(place[by_token].astype(np.int32), token[by_token], n + 1),
-            _nested(pa.concat_arrays([every.take(at), every]), np.concatenate([owner, np.full(len(every), n)]), n + 1),
-            _nested(pa.concat_arrays([source.take(at), source]), np.concatenate([owner, np.full(len(every), n)]), n + 1),
+            pa.array([number], pa.int64()), every.slice(0, 1), one(word[starts], pa.int64()), one(np.append(starts, len(word))[1:], pa.int32()),
+            one(place[order], pa.int32()), one(names.dictionary.to_pylist(), pa.string()), one(names.indices.to_numpy(), pa.int32()),
+            pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every),
         ]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, number), pa.int64()), *columns], names=["block", "token", "places", "entries", "sources"])
+        return pa.RecordBatch.from_arrays(columns, names=["block", "low", "words", "ends", "places", "sources", "of", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, made, held, n = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
-            batch = batch.filter(pa.array(batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0))
+            batch = batch.filter(pa.array(batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0))
             while n + len(batch) >= block_entries:
                 cut = block_entries - n
                 yield block(part + made, pa.Table.from_batches([*held, batch.slice(0, cut)]))
@@ -123,69 +214,133 @@ def posting_blocks(entries: DataFrame, block_entries: int, per_page: int) -> Dat
         if held:
             yield block(part + made, pa.Table.from_batches(held))
 
-    return entries.select("entry", "source", "tokens").mapInArrow(
-        run, f"block bigint, token string, places array<int>, entries array<{kind}>, sources array<string>"
+    return entries.select("entry", "source", "words").mapInArrow(
+        run, f"block bigint, low {kind}, words array<bigint>, ends array<int>, places array<int>, sources array<string>, of array<int>, entries array<{kind}>"
+    )
+
+
+def first_entries(postings: DataFrame, per_page: int, parts: int) -> DataFrame:
+    """(word, heads): the first ``per_page`` entries of each source that have a word, as an
+    array of (source, entry).  Every block names its first ones, in ``parts`` packs of words."""
+    kind = postings.schema["low"].dataType.simpleString()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                words, ends, places, of = (batch.column(c).slice(i, 1).flatten().to_numpy() for c in ("words", "ends", "places", "of"))
+                sources, entries = (batch.column(c).slice(i, 1).flatten() for c in ("sources", "entries"))
+                key = np.repeat(np.arange(len(words)), np.diff(np.append(0, ends))) * len(sources) + of[places]
+                order = np.argsort(key, kind="stable")
+                heads = order[_rank(_runs(key[order]), len(key)) < per_page]
+                word = key[heads] // len(sources)
+                pack = words[word] % parts
+                order = np.argsort(pack, kind="stable")
+                heads, word, pack = heads[order], words[word[order]], pack[order]
+                starts = _runs(pack)
+                cuts = pa.array(np.append(starts, len(pack)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(word), sources.take(pa.array(of[places[heads]])), entries.take(pa.array(places[heads])))]
+                yield pa.RecordBatch.from_arrays([pa.array(pack[starts], pa.int64()), *lists], names=["pack", "words", "sources", "entries"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        word, source, entry = (pa.concat_arrays([c.flatten() for c in table.column(x).chunks]) for x in ("words", "sources", "entries"))
+        names, word = source.dictionary_encode(), word.to_numpy()
+        of = names.indices.to_numpy()
+        order = np.lexsort((_ordered(entry), of, word))
+        kept = order[_rank(_runs(word[order], of[order]), len(order)) < per_page]
+        starts = _runs(word[kept])
+        heads = pa.StructArray.from_arrays([source.take(pa.array(kept)), entry.take(pa.array(kept))], names=["source", "entry"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(kept)), pa.int32()), heads)
+        yield pa.RecordBatch.from_arrays([pa.array(word[kept][starts]), lists], names=["word", "heads"])
+
+    named = postings.select("words", "ends", "places", "sources", "of", "entries").mapInArrow(
+        name, f"pack bigint, words array<bigint>, sources array<string>, entries array<{kind}>"
     )
+    return named.repartition(parts, "pack").mapInArrow(merge, f"word bigint, heads array<struct<source:string,entry:{kind}>>")
+
+
+def _floors(held: pa.Array, n_sources: int) -> np.ndarray:
+    """What has to be beaten on the page of each source, -1 if it has places left."""
+    floors = np.full((len(held), n_sources), -1, dtype=np.int64)
+    full = held.flatten()
+    floors[_owners(held), full.field("of").to_numpy(zero_copy_only=False)] = full.field("m").to_numpy(zero_copy_only=False)
+    return floors
 
 
 class _Block:
     """Postings of one block, and the entries that sets find in them."""
 
-    def __init__(self, rows: pa.Table, per_page: int) -> None:
-        rows = rows.combine_chunks()
-        alone = rows.column("token").is_null()
-        own, lists = rows.filter(alone), rows.filter(pa.compute.invert(alone)).combine_chunks()
-        self.entries = own.column("entries").combine_chunks().flatten()
-        coded = own.column("sources").combine_chunks().flatten().dictionary_encode()
-        self.source_of, self.sources = coded.indices.to_numpy(), coded.dictionary
-        self.number = {t: i for i, t in enumerate(lists.column("token").to_pylist())}
+    def __init__(self, row: pa.RecordBatch, per_page: int, names: dict[str, int]) -> None:
+        self.words, ends, self.places, source_of = (row.column(c).flatten().to_numpy() for c in ("block_words", "ends", "places", "of"))
+        self.entries, self.n_sources = row.column("entries").flatten(), len(names)
+        self.source_of = np.array([names[s] for s in row.column("sources").flatten().to_pylist()])[source_of]
         self.per_page, self.size = per_page, len(self.entries)
-        places = lists.column("places").combine_chunks()
-        self.at, self.places = _places(places), places.flatten().to_numpy(zero_copy_only=False)
-        # (token, place) as one sorted number
-        self.keys = np.repeat(np.arange(len(places)), np.diff(self.at)) * self.size + self.places
+        self.at = np.append(0, ends).astype(np.int64)
+        length = np.diff(self.at)
+        word = np.repeat(np.arange(len(self.words)), length)
+        # (word, place) as one sorted number
+        self.keys = word * self.size + self.places
+        # words that many entries have, by a bit for each entry
+        common = np.flatnonzero(length * COMMON >= self.size)
+        self.common = np.full(len(self.words), -1, dtype=np.int64)
+        self.common[common] = np.arange(len(common))
+        self.width = -(-self.size // 8) * 8
+        held = np.zeros(len(common) * self.width, dtype=bool)
+        mine = self.common[word] >= 0
+        held[self.common[word[mine]] * self.width + self.places[mine]] = True
+        self.bits = np.packbits(held, bitorder="little")
+
+    def has(self, code: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the entry at a place has a word."""
+        row = self.common[code]
+        out = np.zeros(len(code), dtype=bool)
+        mine = np.flatnonzero(row >= 0)
+        bit = row[mine] * self.width + place[mine]
+        out[mine] = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        mine = np.flatnonzero(row < 0)
+        probe = code[mine] * self.size + place[mine]
+        out[mine] = self.keys[np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)] == probe
+        return out
 
     def matches(self, sets: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """A page of every set and source, of the entries with two tokens of the set."""
-        weighted = sets.column("weighted")
-        items = weighted.flatten()
-        coded = items.field("token").dictionary_encode()
-        number = np.array([self.number.get(t, -1) for t in coded.dictionary.to_pylist()], dtype=np.int64)
-        code = number[coded.indices.to_numpy()]
-        row = np.repeat(np.arange(len(sets)), weighted.value_lengths().to_numpy())
-        held = code >= 0
+        """A page of every set and source, of the entries with two words of the set that beat its full pages."""
+        floors = _floors(sets.column("held"), self.n_sources)
+        asked_words, row, w = _flat(sets.column("words")), _owners(sets.column("words")), _flat(sets.column("ws"))
+        code = np.minimum(np.searchsorted(self.words, asked_words), len(self.words) - 1)
+        held = self.words[code] == asked_words
         held &= np.bincount(row[held], minlength=len(sets))[row] > 1
-        code, row, w = code[held], row[held], items.field("w").to_numpy(zero_copy_only=False)[held]
+        code, row, w = code[held], row[held], w[held]
         length = self.at[code + 1] - self.at[code]
         order = np.lexsort((length, row))
         code, row, w, length = code[order], row[order], w[order], length[order]
-        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+        heads = _runs(row)
         # a place in two lists is in one besides the longest
         asked = np.where(np.append(row[1:] == row[:-1], False), length, 0) if len(row) else length
         # whole sets at a time, of bounded size together
         piece = np.cumsum(np.add.reduceat(asked, heads)) // PROBES if len(row) else row
-        cuts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(row) else []
+        cuts = _runs(piece)
         for first, last in zip(cuts, [*cuts[1:], len(heads)], strict=True) if len(row) else ():
             mine = slice(heads[first], heads[last] if last < len(heads) else len(row))
             found = self._found(code[mine], row[mine], w[mine], asked[mine])
             if len(found[0]):
-                yield self._page(sets.column("set_id"), *found)
+                yield self._page(sets.column("set_id"), floors, *found)
 
     def _found(self, code: np.ndarray, row: np.ndarray, w: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place, weight) of the places in two lists of a row at least."""
         item = np.repeat(np.arange(len(code)), asked)
         step = np.arange(len(item)) - np.repeat(np.cumsum(asked) - asked, asked)
         place = self.places[self.at[code[item]] + step]
-        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        heads = _runs(row)
         sizes = np.diff(np.append(heads, len(row)))
         head, size = np.repeat(heads, sizes)[item], np.repeat(sizes, sizes)[item]
         n, total = np.ones(len(item), dtype=np.int64), w[item].copy()
         for j in range(sizes.max()):
             other = head + j
             at = np.flatnonzero((j < size) & (other != item))
-            probe = code[other[at]] * self.size + place[at]
-            hit = self.keys[np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)] == probe
-            at = at[hit]
+            at = at[self.has(code[other[at]], place[at])]
             n[at] += 1
             total[at] += w[other[at]]
         kept = np.flatnonzero(n >= 2)
@@ -194,160 +349,191 @@ class _Block:
         kept = kept[one]
         return row[item[kept]], place[kept], total[kept]
 
-    def _page(self, names: pa.Array, row: np.ndarray, place: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    def _page(self, names: pa.Array, floors: np.ndarray, row: np.ndarray, place: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
         of = self.source_of[place]
+        better = total > floors[row, of]
+        row, place, total, of = row[better], place[better], total[better], of[better]
         order = np.lexsort((place, -total, of, row))
         row, place, total, of = row[order], place[order], total[order], of[order]
-        heads = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (row[1:] != row[:-1])))
-        kept = np.arange(len(of)) - np.repeat(heads, np.diff(np.append(heads, len(of)))) < self.per_page
-        columns = [names.take(pa.array(row[kept])), self.sources.take(pa.array(of[kept])), self.entries.take(pa.array(place[kept])), pa.array(total[kept], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["set_id", "source", "entry", "matched"])
-
-
-def _scored(work: DataFrame, postings: DataFrame, per_page: int, kind: str, blocks: int, n_sets: int) -> DataFrame:
-    """(set_id, source, entry, matched): a page of every set and source of the
-    entries with two tokens or more of the set, from every block that the set
-    is to read.  ``work``: set_id, weighted, block, read once; ``blocks``: how many
-    there are; ``n_sets``: how many sets may read one."""
-    chunks = F.lit(max(1, math.ceil(n_sets / SETS_PER_TASK))).cast("bigint")
+        kept = _rank(_runs(of, row), len(of)) < self.per_page
+        columns = [names.take(pa.array(row[kept])), pa.array(of[kept], pa.int32()), self.entries.take(pa.array(place[kept])), pa.array(total[kept], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["set_id", "of", "entry", "matched"])
+
+
+def _scored(work: DataFrame, postings: DataFrame, per_page: int, names: dict[str, int], blocks: int, n_sets: int) -> DataFrame:
+    """(set_id, of, entry, matched): a page of every set and source of the
+    entries with two words or more of the set, from every block that the set
+    is to read.  ``work``: set_id, words, ws, held, block, read once; ``names``: the numbers
+    of the sources; ``blocks``: how many there are; ``n_sets``: how many sets may read one."""
+    kind = postings.schema["low"].dataType.simpleString()
+    cores = work.sparkSession.sparkContext.defaultParallelism
+    # few blocks are copied for several tasks
+    several = min(2 * cores // blocks, n_sets // LEAST_SETS)
+    chunks = F.lit(max(1, math.ceil(n_sets / SETS_PER_TASK), several)).cast("bigint")
     sets = work.withColumn("chunk", F.pmod(F.xxhash64("set_id"), chunks))
-    lists = postings.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
-    alone = F.col("token").isNull()
-    lists = lists.select("block", "chunk", "token", "places", *[F.when(alone, F.col(c)).alias(c) for c in ("entries", "sources")])
-    both = lists.unionByName(sets, allowMissingColumns=True)
+    rows = postings.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+    rows = rows.withColumnRenamed("words", "block_words").drop("low")
+    both = rows.unionByName(sets, allowMissingColumns=True)
     # several times as many parts as blocks, so that few blocks share one
-    parts = max(4 * blocks, work.sparkSession.sparkContext.defaultParallelism)
+    parts = max(4 * blocks * max(1, several), cores)
     # the postings of a block come before its sets
     dealt = both.repartition(parts, "block", "chunk").sortWithinPartitions("block", "chunk", F.col("set_id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, block = None, [], None
+        here, own, block = None, None, None
         for batch in batches:
             if not len(batch):
                 continue
-            names = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "chunk")])
-            cuts = np.flatnonzero(np.append(True, (names[:, 1:] != names[:, :-1]).any(axis=0))).tolist()
+            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "chunk")])
+            cuts = _runs(*group).tolist()
             for first, last in zip(cuts, [*cuts[1:], len(batch)], strict=True):
-                if (now := tuple(names[:, first])) != here:
-                    here, held, block = now, [], None
                 part = batch.slice(first, last - first)
-                n = part.column("set_id").null_count
-                if n:
-                    held.append(part.slice(0, n).select(["token", "places", "entries", "sources"]))
-                if n < len(part):
-                    if block is None:
-                        block, held = _Block(pa.Table.from_batches(held), per_page), []
-                    yield from block.matches(part.slice(n).select(["set_id", "weighted"]))
+                if (now := tuple(group[:, first])) != here:
+                    here, own, part, block = now, part.slice(0, 1), part.slice(1), None
+                if len(part):
+                    block = block or _Block(own, per_page, names)
+                    yield from block.matches(part.select(["set_id", "words", "ws", "held"]))
 
-    return dealt.mapInArrow(run, f"set_id bigint, source string, entry {kind}, matched bigint")
+    return dealt.mapInArrow(run, f"set_id bigint, of int, entry {kind}, matched bigint")
 
 
-def _to_read(asked: DataFrame, lows: list, start: int, end: int, least: int) -> DataFrame:
-    """(set_id, weighted, nth): the blocks from ``start`` to ``end`` that a set reads.
+def _to_read(asked: DataFrame, n_sources: int, start: int, end: int, least: int) -> DataFrame:
+    """(set_id, words, ws, held, nth): the blocks from ``start`` to ``end`` that a set reads.
 
-    ``asked``: set_id, weighted, blocks (bits of the blocks of every token) and
-    what has to be beaten: floor (null: nothing yet), far.  ``lows`` are the
-    first entries of the blocks, some hundred at most.
+    ``asked``: set_id, words, ws, blocks (bits of the blocks of every word) and
+    held, the full pages (number of the source, what has to be beaten).
     """
-    low = np.array(lows)
+    columns = ["set_id", "words", "ws", "held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, len(whole), 4096):
                 batch = whole.slice(first, 4096)
-                weighted, blocks = batch.column("weighted"), batch.column("blocks")
+                words, blocks = batch.column("words"), batch.column("blocks")
                 if not len(batch):
                     continue
                 bits = blocks.flatten().flatten().to_numpy(zero_copy_only=False).astype("<i8")
                 bits = np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(len(blocks.flatten()), -1)[:, start:end]
-                ws = weighted.flatten().field("w").to_numpy(zero_copy_only=False)
-                heads = _places(weighted)[:-1]
+                heads = np.append(0, np.cumsum(words.value_lengths().to_numpy()))[:-1]
                 n = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
-                bound = np.add.reduceat(bits * ws[:, None], heads, axis=0)
-                floor = batch.column("floor").fill_null(-1).to_numpy(zero_copy_only=False)[:, None]
-                far = batch.column("far").fill_null(lows[0]).to_numpy(zero_copy_only=False)[:, None]
-                at, nth = np.nonzero((n >= least) & ((bound > floor) | ((bound == floor) & (low[None, start:end] < far))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("set_id").take(pa.array(at)), weighted.take(pa.array(at)), pa.array(nth + start, pa.int32())],
-                    names=["set_id", "weighted", "nth"],
-                )
+                bound = np.add.reduceat(bits * _flat(batch.column("ws"))[:, None], heads, axis=0)
+                # later blocks hold later entries, which lose ties
+                at, nth = np.nonzero((n >= least) & (bound > _floors(batch.column("held"), n_sources).min(axis=1)[:, None]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in columns], pa.array(nth + start, pa.int32())], names=[*columns, "nth"])
 
-    return asked.mapInArrow(run, "set_id bigint, weighted array<struct<token:string,w:bigint>>, nth int")
+    return asked.mapInArrow(run, "set_id bigint, words array<bigint>, ws array<bigint>, held array<struct<of:int,m:bigint>>, nth int")
 
 
 def set_candidates(sets: DataFrame, entries: DataFrame, per_page: int) -> DataFrame:
-    """(set_id, found): for every token set the entries that can be on its
-    pages, as an array of (source, best: array of (-matched, entry)).  An entry
-    may be named several times; its highest weight is the right one.
+    """(set_id, firsts, pairs): for every set the entries that can be on its pages: an array of
+    (w, heads) with the first entries of each of its words, and an array of (source, entry, matched) of
+    entries with several.  An entry may be named several times; its highest weight is the right one.
 
-    ``sets``: set_id, weighted (array of token and positive weight).
+    ``sets``: set_id, words, ws (word ids and positive weights); ``entries``: entry, source, words; both written.
     """
     kind = entries.schema["entry"].dataType.simpleString()
-    if entries.rdd.getNumPartitions() > MAX_BLOCKS:
-        entries = entries.coalesce(MAX_BLOCKS)
-    size = max(BLOCK_ENTRIES, -(-entries.count() // MAX_BLOCKS))
-    postings = written(posting_blocks(entries, size, per_page), "postings")
+    n_entries = entries.count()
+    size, parts = max(BLOCK_ENTRIES, -(-n_entries // MAX_BLOCKS)), entries.rdd.getNumPartitions()
+    # in the order of entries, so that a later block can't win by a tie
+    if parts > 1:
+        entries, size = entries.repartitionByRange(max(1, -(-n_entries // size)), "entry"), 2 * size
+    entries = entries.sortWithinPartitions("entry")
+    postings = written(posting_blocks(entries, size), "postings")
     # one row per block; their number is bounded
-    owned = postings.where("token is null").select("block", F.array_min("entries").alias("low"), F.array_distinct("sources").alias("sources"))
-    blocks = sorted(owned.collect(), key=lambda r: (r["low"], r["block"]))
-    lows, sources = [r["low"] for r in blocks], len({s for r in blocks for s in r["sources"]})
+    blocks = sorted(postings.select("block", "low", "sources").collect(), key=lambda r: (r["low"], r["block"]))
+    sources = sorted({s for r in blocks for s in r["sources"]})
+    names = {s: i for i, s in enumerate(sources)}
     spark = entries.sparkSession
     numbers = F.broadcast(spark.createDataFrame([(r["block"], i) for i, r in enumerate(blocks)], "block bigint, nth int"))
 
-    tokens = sets.select("set_id", F.explode("weighted").alias("t")).select("set_id", "t.token", "t.w")
-    known = written(postings.where("token is not null").join(tokens.select("token").distinct(), "token", "left_semi").join(numbers, "block"), "asked")
-    own = postings.where("token is null").join(numbers, "block")
-    word = lambda j: F.bit_or(F.when(F.floor(F.col("nth") / 64) == j, F.expr("shiftleft(1L, nth % 64)")).otherwise(F.lit(0).cast("bigint")))
-    masks = known.groupBy("token").agg(F.array(*[word(j) for j in range(-(-len(blocks) // 64))]).alias("blocks")) if blocks else None
-    heads = known.select("token", F.explode(F.arrays_zip("entries", "sources")).alias("e")).select("token", F.col("e.sources").alias("source"), F.col("e.entries").alias("entry"))
-    heads = top_per_group(heads, ["token", "source"], [F.col("entry")], per_page)
-    heads = heads.groupBy("token", "source").agg(F.collect_list("entry").alias("entries"))
-    heads = heads.groupBy("token").agg(F.collect_list(F.struct("source", "entries")).alias("heads"))
-    firsts = salted_join(tokens, heads, ["token"], spread=["set_id"]).select(
-        "set_id", F.transform("heads", lambda h: F.struct(
-            h["source"].alias("source"),
-            F.transform(h["entries"], lambda e: F.struct((-F.col("w")).alias("m"), e.alias("entry"))).alias("best"))).alias("found")
-    )
-    best = None
-    if blocks:
-        # sets with their tokens' blocks, one row per set
-        asked = salted_join(tokens, masks, ["token"], spread=["set_id"]).groupBy("set_id").agg(
-            F.collect_list(F.struct("token", "w")).alias("weighted"), F.collect_list("blocks").alias("blocks")
-        )
-        asked = written(asked, "sets")
-        n_sets = asked.count()
-        start, end, least = 0, FIRST_BLOCKS, 1
-        while start < len(blocks):
-            if best is None:
-                floors = asked.withColumns({"floor": F.lit(None).cast("bigint"), "far": F.lit(None).cast(kind)})
-            else:
-                # what the worst of the last places has, if all sources have a full page
-                last = F.max(F.struct((-F.col("matched")).alias("m"), F.col("entry").alias("e"))).alias("last")
-                full = best.groupBy("set_id", "source").agg(last, F.count("*").alias("n")).where(F.col("n") == per_page)
-                full = full.groupBy("set_id").agg(F.count("*").alias("n"), (-F.max("last.m")).alias("floor"), F.max("last.e").alias("far"))
-                floors = asked.join(full.where(F.col("n") == sources).drop("n"), "set_id", "left")
-            end = min(end, len(blocks))
-            work = _to_read(floors, lows, start, end, least).join(numbers, "nth").drop("nth")
-            # only tokens that a set has
-            opened = known.unionByName(own).where((F.col("nth") >= start) & (F.col("nth") < end)).drop("nth")
-            found = _scored(work, opened, per_page, kind, end - start, n_sets)
-            both = found if best is None else best.unionByName(found)
-            best = written(top_per_group(both, ["set_id", "source"], [F.desc("matched"), F.col("entry")], per_page).drop("rank"), "pages")
-            # an entry with one token of the set is among that token's first
-            start, end, least = end, end * FURTHER, 2
-        pages = best.groupBy("set_id", "source").agg(F.collect_list(F.struct((-F.col("matched")).alias("m"), "entry")).alias("best"))
-        firsts = firsts.unionByName(pages.select("set_id", F.array(F.struct("source", "best")).alias("found")))
-    return firsts.groupBy("set_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-
-
-def _page(found: Column, source: Column, spare: Column, per_page: int) -> Column:
-    """The ``per_page`` best (-matched, entry) of one source, each entry once."""
-    mine = F.flatten(F.transform(F.filter(found, lambda f: f["source"] == source), lambda f: f["best"]))
-    ranked = F.array_sort(F.concat(mine, spare))
-    return F.aggregate(
-        ranked, F.slice(ranked, 1, 0),
-        lambda page, e: F.when((F.size(page) >= per_page) | F.exists(page, lambda p: p["entry"] == e["entry"]), page).otherwise(F.concat(page, F.array(e))),
-    )
+    words = sets.select("set_id", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("ws").alias("w"))).alias("t")).select("set_id", "t.word", "t.w")
+    uses = written(words.groupBy("word").agg(F.count("*").alias("n")), "uses")
+    deal = max(4 * len(blocks), spark.sparkContext.defaultParallelism)
+    heads = first_entries(postings, per_page, deal)
+    firsts = hot_join(words, heads, "word", uses, spread=["set_id"]).groupBy("set_id").agg(F.collect_list(F.struct("w", "heads")).alias("firsts"))
+    nothing = F.array().cast(f"array<struct<source:string,entry:{kind},matched:bigint>>")
+    if not blocks:
+        return firsts.withColumn("pairs", nothing)
+    bit = lambda j: F.bit_or(F.when(F.floor(F.col("nth") / 64) == j, F.expr("shiftleft(1L, nth % 64)")).otherwise(F.lit(0).cast("bigint")))
+    masks = postings.select("block", F.explode("words").alias("word")).join(numbers, "block").groupBy("word").agg(F.array(*[bit(j) for j in range(-(-len(blocks) // 64))]).alias("blocks"))
+    # sets with their words' blocks, one row per set
+    asked = hot_join(words, masks, "word", uses, spread=["set_id"]).groupBy("set_id").agg(
+        F.collect_list(F.struct("word", "w", "blocks")).alias("t")
+    ).select("set_id", F.col("t.word").alias("words"), F.col("t.w").alias("ws"), F.col("t.blocks").alias("blocks"))
+    asked = written(asked, "sets")
+    n_sets = asked.count()
+    best, start, end, least = None, 0, FIRST_BLOCKS, 1
+    while start < len(blocks):
+        held = F.array().cast("array<struct<of:int,m:bigint>>")
+        if best is None:
+            floors = asked.withColumn("held", held)
+        else:
+            full = best.groupBy("set_id", "of").agg(F.min("matched").alias("m"), F.count("*").alias("n")).where(F.col("n") == per_page)
+            floors = asked.join(full.groupBy("set_id").agg(F.collect_list(F.struct("of", "m")).alias("held")), "set_id", "left").withColumn("held", F.coalesce("held", held))
+        end = min(end, len(blocks))
+        work = _to_read(floors, len(sources), start, end, least).join(numbers, "nth").drop("nth")
+        opened = postings.join(numbers, "block").where((F.col("nth") >= start) & (F.col("nth") < end)).drop("nth")
+        found = _scored(work, opened, per_page, names, end - start, n_sets)
+        both = found if best is None else best.unionByName(found)
+        best = written(top_per_group(both, ["set_id", "of"], [F.desc("matched"), F.col("entry")], per_page).drop("rank"), "pages")
+        # an entry with one word of the set is among that word's first
+        start, end, least = end, end * FURTHER, 2
+    source = F.get(F.array(*[F.lit(s) for s in sources]), "of").alias("source")
+    pairs = best.groupBy("set_id").agg(F.collect_list(F.struct(source, "entry", "matched")).alias("pairs"))
+    return firsts.join(pairs, "set_id", "left").withColumn("pairs", F.coalesce("pairs", nothing))
+
+
+def _pages(found: DataFrame, per_page: int, named: list[str], spare: dict[str, list]) -> DataFrame:
+    """``found`` with ``page`` in place of ``firsts`` and ``pairs``: an array of (source, pos, entry, matched), the
+    ``per_page`` best entries of every source, each once.  ``named`` sources are filled with their
+    ``spare`` entries for all rows, others where they are found."""
+    kind = found.select(F.col("pairs")[0]["entry"].alias("entry")).schema["entry"].dataType.simpleString()
+    rest = [c for c in found.columns if c not in ("firsts", "pairs")]
+    codes = {s: i for i, s in enumerate(sorted({*named, *spare}))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 2048):
+                batch = whole.slice(start, 2048)
+                firsts, pairs = batch.column("firsts"), batch.column("pairs")
+                each = firsts.flatten()
+                lists, inner = each.field("heads"), each.field("heads").flatten()
+                at = _owners(lists)
+                owner = [_owners(firsts)[at], _owners(pairs)]
+                matched = [each.field("w").to_numpy(zero_copy_only=False)[at], pairs.flatten().field("matched").to_numpy(zero_copy_only=False)]
+                source, entry = [inner.field("source"), pairs.flatten().field("source")], [inner.field("entry"), pairs.flatten().field("entry")]
+                type_ = entry[0].type
+                coded = pa.concat_arrays(source).dictionary_encode()
+                local = dict(codes)
+                of = np.array([local.setdefault(s, len(local)) for s in coded.dictionary.to_pylist()], dtype=np.int64)[coded.indices.to_numpy()]
+                here = np.unique(np.concatenate(owner) * len(local) + of)
+                every = np.repeat(np.arange(len(batch)), len(named)) * len(local) + np.tile([local[s] for s in named], len(batch)).astype(np.int64)
+                filled = np.union1d(here, every)
+                names = list(local)
+                held = [spare.get(s, []) for s in names]
+                size = np.array([len(h) for h in held], dtype=np.int64)
+                n = size[filled % len(local)]
+                flat, begin = pa.array([e for h in held for e in h], type_), np.cumsum(size) - size
+                place = np.repeat(begin[filled % len(local)] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                owner = np.concatenate([*owner, np.repeat(filled // len(local), n)])
+                of = np.concatenate([of, np.repeat(filled % len(local), n)])
+                matched = np.concatenate([*matched, np.zeros(n.sum(), dtype=np.int64)]).astype(np.int64)
+                entry = pa.concat_arrays([*entry, flat.take(pa.array(place))])
+                by = _ordered(entry)
+                # an entry once, with its highest weight
+                order = np.lexsort((-matched, by, of, owner))
+                order = order[_runs(owner[order], of[order], by[order])]
+                order = order[np.lexsort((by[order], -matched[order], of[order], owner[order]))]
+                pos = _rank(_runs(owner[order], of[order]), len(order))
+                order, pos = order[pos < per_page], pos[pos < per_page]
+                page = pa.StructArray.from_arrays(
+                    [pa.array(names, pa.string()).take(pa.array(of[order])), pa.array(pos + 1, pa.int32()), entry.take(pa.array(order)), pa.array(matched[order])],
+                    names=["source", "pos", "entry", "matched"],
+                )
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], _nested(page, owner[order], len(batch))], names=[*rest, "page"])
+
+    fields = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in rest)
+    return found.select(*rest, "firsts", "pairs").mapInArrow(run, f"{fields}, page array<struct<source:string,pos:int,entry:{kind},matched:bigint>>")
 
 
 def _numbered(sets: DataFrame) -> DataFrame:
@@ -360,16 +546,51 @@ def set_pages(sets: DataFrame, entries: DataFrame, per_page: int) -> DataFrame:
     token set and source, of those that hold any of its tokens.
 
     ``sets``: set_key, weighted (array of token and positive weight), one row
-    per set.
+    per set; ``entries``: entry, source, tokens.
     """
-    kind = entries.schema["entry"].dataType.simpleString()
     sets = _numbered(sets)
-    rows = set_candidates(sets, entries, per_page).withColumn("source", F.explode(F.array_distinct("found.source")))
-    nothing = F.array().cast(f"array<struct<m:bigint,entry:{kind}>>")
-    rows = rows.select("set_id", "source", F.explode(_page(F.col("found"), F.col("source"), nothing, per_page)).alias("e"))
-    return rows.join(sets.select("set_id", "set_key"), "set_id").select(
-        "set_key", "source", "e.entry", (-F.col("e.m")).alias("matched")
+    coded = written(coded_sets(sets), "coded")
+    held = written(coded_entries(entries, known_words(coded), tokens=True), "entries")
+    rows = _pages(set_candidates(coded, held, per_page), per_page, [], {}).select("set_id", F.explode("page").alias("e"))
+    return rows.join(sets.select("set_id", "set_key"), "set_id").select("set_key", "e.source", "e.entry", "e.matched")
+
+
+def search(
+    phrases: DataFrame,
+    catalogue: DataFrame,
+    weights: DataFrame,
+    per_page: int = C.PER_PAGE,
+    sources: tuple[str, ...] | None = C.PROVIDERS_DEFAULT,
+    fill: bool = True,
+    entry: str = "doc_id",
+    text: str = "text",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, coded phrases, coded entries).
+
+    Pages: query, total, page (array of source, pos, entry, matched); coded phrases: query, words, ws of
+    those that have tokens; coded entries: entry, source, words, of the words that a phrase may have.
+    """
+    weighted = weighted_tokens(phrases.select("query"), "query", weights).select(
+        "query", "weighted", F.array_join("weighted.token", " ").alias("set_key"), total_weight("weighted").alias("total")
     )
+    weighted = written(weighted, "phrases")
+    sets = _numbered(weighted.dropDuplicates(["set_key"]).select("set_key", "weighted"))
+    coded = written(coded_sets(sets), "coded")
+    named = catalogue.where("source is not null").select(F.col(entry).alias("entry"), "source", F.col(text).cast("string").alias("text"))
+    entries = written(coded_entries(named, known_words(coded)), "entries")
+    with_set = weighted.select("query", "set_key", "total").join(sets.select("set_id", "set_key"), "set_key").drop("set_key")
+    asked = phrases.select("query").distinct().join(with_set, "query", "left")
+    rows = asked.join(set_candidates(coded, entries, per_page), "set_id", "left")
+    spare: dict[str, list] = {}
+    if fill:
+        # at most per_page entries per source
+        first = top_per_group(entries.select("source", "entry"), ["source"], [F.col("entry")], per_page)
+        for r in first.orderBy("source", "rank").collect():
+            spare.setdefault(r["source"], []).append(r["entry"])
+    pages = _pages(rows.drop("set_id"), per_page, (list(spare) if sources is None else list(sources)) if fill else [], spare)
+    pages = pages.withColumn("total", F.coalesce("total", F.lit(0).cast("bigint")))
+    words = weighted.select("query", "set_key").join(sets.select("set_id", "set_key"), "set_key").join(coded, "set_id").select("query", "words", "ws")
+    return pages, words, entries
 
 
 def retrieve(
@@ -390,37 +611,8 @@ def retrieve(
     without any overlap take the free places, in index order; ``sources`` are
     those that are filled, None all of the catalogue's.
     """
-    kind = dict(catalogue.dtypes)[entry]
-    page = f"array<struct<m:bigint,entry:{kind}>>"
-    weighted = written(
-        weighted_tokens(phrases.select("query"), "query", weights).select(
-            "query", "weighted", F.array_join("weighted.token", " ").alias("set_key"), total_weight("weighted").alias("total")
-        ),
-        "phrases",
-    )
-    entries = written(
-        catalogue.select(F.col(entry).alias("entry"), "source", overlap_tokens(text).alias("tokens")), "entries"
-    )
-    sets = _numbered(weighted.dropDuplicates(["set_key"]).select("set_key", "weighted"))
-    found = set_candidates(sets, entries, per_page).join(sets.select("set_id", "set_key"), "set_id").select("set_key", "found")
-    asked = phrases.select("query").distinct().join(weighted.select("query", "set_key", "total"), "query", "left")
-    rows = asked.join(found, "set_key", "left").withColumn("found", F.coalesce("found", F.array().cast(f"array<struct<source:string,best:{page}>>")))
-
-    named = F.array().cast("array<string>")
-    spare = F.array().cast(page)
-    if fill:
-        # at most per_page entries per source
-        first = top_per_group(entries.select("source", "entry"), ["source"], [F.col("entry")], per_page)
-        first = first.groupBy("source").agg(F.collect_list(F.struct(F.lit(0).cast("bigint").alias("m"), "entry")).alias("first"))
-        # one row: the first entries of all sources, bounded by their number
-        rows = rows.join(F.broadcast(first.agg(F.map_from_entries(F.collect_list(F.struct("source", "first"))).alias("firsts"))), F.lit(True))
-        named = F.map_keys("firsts") if sources is None else F.array(*[F.lit(s) for s in sources]).cast("array<string>")
-        spare = F.coalesce(F.try_element_at("firsts", F.col("source")), spare)
-    rows = rows.withColumn("source", F.explode(F.array_union(named, F.col("found.source"))))
-    rows = rows.select("query", "source", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"), F.posexplode(_page(F.col("found"), F.col("source"), spare, per_page)).alias("pos", "e"))
-    return rows.select(
-        "query", "source", (F.col("pos") + 1).cast("int").alias("pos"), F.col("e.entry").alias("entry"), (-F.col("e.m")).alias("matched"), "total"
-    )
+    pages, _, _ = search(phrases, catalogue, weights, per_page, sources, fill, entry, text)
+    return pages.select("query", "total", F.explode("page").alias("e")).select("query", "e.source", "e.pos", "e.entry", "e.matched", "total")
 
 
 def clip_phrases(clips: DataFrame) -> DataFrame:

@@ -43,6 +43,8 @@ QUERY_ROWS = 4096
 CELL_VECTORS, LEAST_CELLS, CELL_PAIRS = 65_536, 6, 1_000_000
 #: Pairs multiplied at once.
 PAIR_ROWS = 65_536
+#: Bytes of vectors that are sent to the tasks whole, and pairs multiplied at once there.
+HELD_BYTES, HELD_ROWS = 64 << 20, 2_048
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -357,6 +359,41 @@ def _padded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.where(lists.is_null().to_numpy(zero_copy_only=False) | broken.any(axis=1), -1, size)
 
 
+def _lookup(column: pa.Array, ids: pa.Array) -> np.ndarray:
+    """Place of every value among the ids, -1 if it is none."""
+    return np.array(pa.compute.index_in(column, value_set=ids).fill_null(-1))
+
+
+def _held_dots(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pair_dots`` with all vectors in every task: ``HELD_BYTES`` of them at most."""
+    rows = vectors.where("id is not null").select("id", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
+    ids = rows.column("id").combine_chunks() if len(rows) else pa.array([], rows.schema.field("id").type)
+    x, size = _padded(rows.column("vector").combine_chunks() if len(rows) else pa.array([], pa.list_(pa.float64())))
+    small = x.astype(np.float32)
+    # half the bytes where nothing is lost
+    known = pairs.sparkSession.sparkContext.broadcast((ids, small if (small == x).all() else x, size))
+    columns = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, size = known.value
+        for batch in batches:
+            at_a, at_b = (_lookup(batch.column(c), ids) for c in ("a", "b"))
+            there = np.flatnonzero((at_a >= 0) & (at_b >= 0))
+            a, b = at_a[there], at_b[there]
+            total = np.zeros(len(there))
+            for start in range(0, len(there), HELD_ROWS):
+                mine = slice(start, start + HELD_ROWS)
+                products = x[a[mine]].astype(np.float64) * x[b[mine]]
+                for d in range(products.shape[1]):
+                    total[mine] += products[:, d]
+            wrong = (size[a] != size[b]) | (size[a] < 0)
+            kept = batch.take(pa.array(there))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(total, mask=wrong)], names=[*columns, "dot"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    return pairs.mapInArrow(run, f"{fields}, dot double")
+
+
 def pair_dots(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """``pairs`` with their dot product as ``dot``, summed in the order of the dimensions; pairs with an
     unknown id are left out, a null or vectors of different lengths give null.
@@ -364,8 +401,12 @@ def pair_dots(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     ``pairs``: a, b and what else a pair carries; ``vectors``: id, vector, ids unique.  Pairs are dealt
     over a square grid by their two ids and stream past the vectors of their cell, so that a vector
     travels to one row and one column of cells, however many pairs it is in, and a pair travels once.
-    A cell with many pairs is cut.
+    A cell with many pairs is cut.  Vectors of ``HELD_BYTES`` at most are sent to the tasks instead, and
+    pairs stay where they are.
     """
+    shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    if shape["n"] * max(1, shape["width"] or 1) * 8 <= HELD_BYTES:
+        return _held_dots(pairs, vectors)
     side = max(LEAST_CELLS, math.ceil(vectors.count() / CELL_VECTORS))
     chunks = max(1, math.ceil(pairs.count() / (side * side * CELL_PAIRS)))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(side))

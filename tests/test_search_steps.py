@@ -74,3 +74,15 @@ def test_pairs_are_not_shuffled_for_few_vectors(spark, monkeypatch):
     assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(similarity, "HELD_BYTES", 0)
     assert sorted(held.collect()) == sorted(similarity.pair_dots(pairs, vectors).collect())
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    """A Python task holds a few MB of texts, however long they are."""
+    texts = spark.range(0, 300, 1, 1).select(F.expr("repeat('x', 100000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    got = [r["n"] for r in texts.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) >= 30_000_000 and max(got) < 10_000_000
